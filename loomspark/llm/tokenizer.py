@@ -3,8 +3,8 @@
 1. Texts are split into words once.  Each stretch of about ``block_chars`` characters of one input partition is a block: its
    documents are kept as word codes (places in the block's list of distinct words), the list as one row.
 2. The distinct words of all blocks are encoded, each once.
-3. Their ids are joined back to the blocks' word lists, and a document's ids are the ids at its codes, in order: an array
-   lookup per word, without another shuffle of words.
+3. Their ids are joined back to the blocks' word lists, and a document's ids are the ids at its codes, in order: one
+   vectorised gather per block, without another shuffle of words.
 
 What is shuffled is the codes and each block's distinct words, never one row per occurrence, so a word that makes up a third of
 all text is one row per block.
@@ -109,6 +109,40 @@ def _encode_words(vocabulary: str):
     return run
 
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the length of each list."""
+    one = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
+    one = one if isinstance(one, pa.ListArray) else pa.concat_arrays(one.chunks)
+    return one.flatten().to_numpy(zero_copy_only=False), one.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ids_by_position(key: str):
+    """Documents of a block (id, codes) and its words (at, ids) to the documents' ids: a gather, without a loop over words."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
+        if not docs.num_rows:
+            return schema.empty_table()
+        codes, doc_lengths = _flat(docs["codes"])
+        offsets = np.zeros(len(doc_lengths) + 1, dtype=np.int64)
+        if len(codes):
+            order = np.argsort(words["at"].to_numpy())
+            flat, lengths = _flat(words["ids"])
+            begins = np.cumsum(lengths) - lengths
+            begins, lengths = begins[order], lengths[order]
+            ends = np.cumsum(lengths[codes])
+            # the place of each output id: the start of its word's ids plus its place in the word
+            n = lengths[codes]
+            gather = np.repeat(begins[codes] - (ends - n), n) + np.arange(ends[-1])
+            ids = flat[gather].astype(np.int32)
+            offsets[1:] = np.concatenate([[0], ends])[np.cumsum(doc_lengths)]
+        else:
+            ids = np.zeros(0, np.int32)
+        return pa.table([docs["id"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], schema=schema)
+
+    return run
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, block_chars: int = 4_000_000) -> DataFrame:
     """key (bigint), ids (array<int>) of every document, without special tokens; a null or empty text gives an empty list.
 
@@ -122,11 +156,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     lists = blocks.filter("words IS NOT NULL").select("block", F.posexplode("words").alias("at", "word"))
     words = lists.select("word").distinct()
     words = words.mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
-    ids = lists.join(words, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("pairs")).select("block", F.col("pairs.ids").alias("by_code"))
+    ids = lists.join(words, "word").select(F.col("block").alias("of_block"), "at", "ids")
     coded = blocks.filter("words IS NULL").select("block", "id", "codes")
-    some = coded.filter("size(codes) > 0").join(ids.hint("shuffle_hash"), "block").select(F.col("id").alias(key), F.flatten(F.transform("codes", lambda c: F.get("by_code", c))).alias("ids"))
-    none = coded.filter("size(codes) = 0").select(F.col("id").alias(key), F.array().cast("array<int>").alias("ids"))
-    return some.unionByName(none)
+    return coded.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_ids_by_position(key), f"{key} bigint, ids array<int>")
 
 
 def vocabulary_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
