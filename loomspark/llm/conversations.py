@@ -29,11 +29,13 @@ SEGMENT, NO_NUMBER = 1024, -1
 #: Spellings of the two speakers.
 SPEAKERS = {"user": 1, "human": 1, "assistant": 2, "ai": 2, "model": 2}
 
-_ROW = np.dtype([("id", "<i8"), ("seq", "<i8"), ("hash", "<i8"), ("who", "<i1")])
+#: A row as the state keeps it, and as the JVM packs it: pandas would spend more on columns than the rules take.
+_ROW = np.dtype([("id", ">i8"), ("seq", ">i8"), ("hash", ">i8"), ("ms", ">i8"), ("who", "i1")])
 _SUMMARY = (
     "logical_session_id string, segment bigint, version int, closed boolean, n_numbers bigint, min_seq bigint, max_seq bigint, "
     "conflict boolean, n_turns bigint, first_who int, last_who int, unanswered boolean"
 )
+_BETWEEN = "\u001f"
 
 
 def speaker(role: Column, event_type: Column, content: Column) -> Column:
@@ -63,23 +65,27 @@ def message_rows(events: DataFrame, zones: list[str]) -> DataFrame:
     )
     rows = rows.withColumn("id", F.when(F.col("_anonymous"), F.xxhash64("logical_session_id", "seq", "hash")).otherwise(F.col("_eid")))
     rows = with_utc_micros(rows, F.col("_text"), F.col("_tz"), zones, "_us")
-    return rows.select("logical_session_id", "segment", "id", "seq", "hash", "who", F.timestamp_micros("_us").alias("event_time"))
+    ms = F.coalesce(F.floor(F.col("_us") / 1000).cast("bigint"), F.lit(0))
+    packed = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (F.col("id"), F.col("seq"), F.col("hash"), ms)], F.lpad(F.hex(F.col("who").cast("bigint")), 2, "0")))
+    return rows.select("logical_session_id", "segment", packed.alias("packed"), F.timestamp_micros("_us").alias("event_time"))
 
 
 def summarise(rows: np.ndarray) -> tuple:
-    """The summary of a stretch's distinct rows; rows of one id count once (the smallest hash, should copies differ)."""
-    rows = np.sort(rows, order=["seq", "hash", "id"])
-    seq = rows["seq"]
-    numbers = np.unique(seq)
-    conflict = bool(np.any((seq[1:] == seq[:-1]) & (rows["hash"][1:] != rows["hash"][:-1])))
-    who = rows["who"][rows["who"] > 0]
-    unanswered = bool(np.any((who[1:] == 1) & (who[:-1] == 1)))
+    """The summary of a stretch's distinct rows: count and bounds of its numbers, conflict, turns, first and last speaker, unanswered."""
+    order = np.lexsort((rows["hash"], rows["seq"]))
+    seq, body, who = rows["seq"][order], rows["hash"][order], rows["who"][order]
+    same = seq[1:] == seq[:-1]
+    conflict = bool((same & (body[1:] != body[:-1])).any())
+    who = who[who > 0]
+    unanswered = bool(((who[1:] == 1) & (who[:-1] == 1)).any())
     ends = (int(who[0]), int(who[-1])) if len(who) else (0, 0)
-    return len(numbers), int(numbers[0]), int(numbers[-1]), conflict, len(who), *ends, unanswered
+    return len(seq) - int(same.sum()), int(seq[0]), int(seq[-1]), conflict, len(who), *ends, unanswered
 
 
 def merge(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    rows = np.sort(np.concatenate([old, new]), order=["id", "hash"])
+    """Both sets of rows, one row per id (the smallest hash, should copies differ)."""
+    rows = np.concatenate([old, new]) if len(old) else new
+    rows = rows[np.lexsort((rows["hash"], rows["id"]))]
     return rows[np.concatenate([[True], rows["id"][1:] != rows["id"][:-1]])]
 
 
@@ -87,21 +93,16 @@ def _keeper(idle_ms: int, live: bool):
     """The state function: merges what arrived, emits the summary in a new version, closes on watermark or timeout."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, version, last_ms = state.get if state.exists else (b"", 0, 0)
+        buffer, version = state.get if state.exists else (b"", 0)
         rows = np.frombuffer(buffer, dtype=_ROW)
         if not state.hasTimedOut:
-            for frame in frames:
-                new = np.empty(len(frame), dtype=_ROW)
-                for name in _ROW.names:
-                    new[name] = frame[name].to_numpy()
-                rows = merge(rows, new)
-                times = frame["event_ms"].to_numpy()
-                last_ms = max(last_ms, int(times.max()) if len(times) else 0)
-        closed = state.getCurrentWatermarkMs() > last_ms + idle_ms
-        state.update((rows.tobytes(), version + 1, last_ms))
+            new = b"".join(b"".join(frame["packed"].array) for frame in frames)
+            rows = merge(rows, np.frombuffer(new, dtype=_ROW))
+        closed = state.getCurrentWatermarkMs() > int(rows["ms"].max()) + idle_ms
+        state.update((rows.tobytes(), version + 1))
         if live and not closed:
             state.setTimeoutDuration(max(1000, idle_ms))
-        yield pd.DataFrame([(*key, version + 1, closed, *summarise(rows))], columns=[c.split()[0] for c in _SUMMARY.split(", ")])
+        yield pd.DataFrame({"summary": [_BETWEEN.join(map(str, (*key, version + 1, closed, *summarise(rows))))]})
 
     return run
 
@@ -114,10 +115,9 @@ def conversation_stream(rows: DataFrame, watermark: str = "1 hour", idle_ms: int
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
     timed = rows.withWatermark("event_time", watermark)
-    timed = timed.withColumn("event_ms", F.coalesce(F.unix_millis("event_time"), F.lit(0)))
-    return timed.groupBy("logical_session_id", "segment").applyInPandasWithState(
-        _keeper(idle_ms, live), _SUMMARY, "buffer binary, version int, last_ms bigint", "append", timeout
-    )
+    kept = timed.groupBy("logical_session_id", "segment").applyInPandasWithState(_keeper(idle_ms, live), "summary string", "buffer binary, version int", "append", timeout)
+    parts = F.split("summary", _BETWEEN, -1)
+    return kept.select(*[parts[i].cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(_SUMMARY.split(", "))])
 
 
 def run_stream(spark: SparkSession, path: str, scratch: Scratch, max_bytes_per_trigger: int = 4_000_000_000) -> DataFrame:
