@@ -77,11 +77,11 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
 
     path = F.array(F.col("node")) if with_paths else F.lit(None).cast("array<string>")
     ends = nodes.select(F.col("parent").alias("node")).filter("node IS NOT NULL").distinct().join(nodes.select("node"), "node", "left_anti")
-    done = nodes.filter("parent IS NULL").select("node").unionByName(ends)
-    done = done.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), path.alias("path"))
+    done = nodes.filter("parent IS NULL").select("node", F.lit(True).alias("listed")).unionByName(ends.select("node", F.lit(False).alias("listed")))
+    done = done.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), path.alias("path"), "listed")
     if core is not None:
         labels = _cycle_labels(core, scratch)
-        done = done.unionByName(labels.select("node", F.col("label").alias("root"), F.lit(-1).cast("bigint").alias("depth"), path.alias("path")))
+        done = done.unionByName(labels.select("node", F.col("label").alias("root"), F.lit(-1).cast("bigint").alias("depth"), path.alias("path"), F.lit(True).alias("listed")))
     # replay: a node raked in round r points to one that is a root, in a cycle, or raked later
     parts = [scratch.keep(done, "done")]
     for r in reversed(range(len(raked))):
@@ -89,8 +89,8 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
         above = known.select(F.col("node").alias("ptr"), "root", "depth", "path")
         depth = F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + F.col("dist"))
         full = F.concat("path", "seg") if with_paths else F.col("seg")
-        parts.append(scratch.keep(raked[r].join(above, "ptr").select("node", "root", depth.alias("depth"), full.alias("path")), f"found{r}"))
-    out = reduce(lambda a, b: a.unionByName(b), parts).join(ends, "node", "left_anti")
+        parts.append(scratch.keep(raked[r].join(above, "ptr").select("node", "root", depth.alias("depth"), full.alias("path"), F.lit(True).alias("listed")), f"found{r}"))
+    out = reduce(lambda a, b: a.unionByName(b), parts).filter("listed").drop("listed")
     return out if with_paths else out.drop("path")
 
 
