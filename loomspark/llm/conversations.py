@@ -67,7 +67,8 @@ def message_rows(events: DataFrame, zones: list[str]) -> DataFrame:
     rows = with_utc_micros(rows, F.col("_text"), F.col("_tz"), zones, "_us")
     ms = F.coalesce(F.floor(F.col("_us") / 1000).cast("bigint"), F.lit(0))
     packed = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (F.col("id"), F.col("seq"), F.col("hash"), ms)], F.lpad(F.hex(F.col("who").cast("bigint")), 2, "0")))
-    return rows.select("logical_session_id", "segment", packed.alias("packed"), F.timestamp_micros("_us").alias("event_time"))
+    stretch = F.concat_ws(_BETWEEN, "logical_session_id", F.col("segment").cast("string"))
+    return rows.select(stretch.alias("stretch"), packed.alias("packed"), F.timestamp_micros("_us").alias("event_time"))
 
 
 def summarise(rows: np.ndarray) -> tuple:
@@ -98,7 +99,8 @@ def _keeper(idle_ms: int, live: bool):
         if not state.hasTimedOut:
             new = b"".join(b"".join(frame["packed"].array) for frame in frames)
             rows = merge(rows, np.frombuffer(new, dtype=_ROW))
-        closed = state.getCurrentWatermarkMs() > int(rows["ms"].max()) + idle_ms
+        # the end of a finished table closes every stretch; a live stream goes by the watermark
+        closed = not live or state.getCurrentWatermarkMs() > int(rows["ms"].max()) + idle_ms
         state.update((rows.tobytes(), version + 1))
         if live and not closed:
             state.setTimeoutDuration(max(1000, idle_ms))
@@ -115,7 +117,9 @@ def conversation_stream(rows: DataFrame, watermark: str = "1 hour", idle_ms: int
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
     timed = rows.withWatermark("event_time", watermark)
-    kept = timed.groupBy("logical_session_id", "segment").applyInPandasWithState(_keeper(idle_ms, live), "summary string", "buffer binary, version int", "append", timeout)
+    if not live:
+        timed = timed.drop("event_time")  # pandas would convert it for every stretch
+    kept = timed.groupBy("stretch").applyInPandasWithState(_keeper(idle_ms, live), "summary string", "buffer binary, version int", "append", timeout)
     parts = F.split("summary", _BETWEEN, -1)
     return kept.select(*[parts[i].cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(_SUMMARY.split(", "))])
 
