@@ -77,7 +77,7 @@ def summarise(rows: np.ndarray) -> tuple:
     seq, body, who = rows["seq"][order], rows["hash"][order], rows["who"][order]
     same = seq[1:] == seq[:-1]
     conflict = bool((same & (body[1:] != body[:-1])).any())
-    who = who[who > 0]
+    who = who[np.concatenate([[True], ~same | (who[1:] != who[:-1])]) & (who > 0)]  # one number is one turn
     unanswered = bool(((who[1:] == 1) & (who[:-1] == 1)).any())
     ends = (int(who[0]), int(who[-1])) if len(who) else (0, 0)
     return len(seq) - int(same.sum()), int(seq[0]), int(seq[-1]), conflict, len(who), *ends, unanswered

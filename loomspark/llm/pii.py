@@ -115,7 +115,7 @@ CLIENT = re.compile(rf"[\\/](?:clients?|customers?|patients?|people|persons?|sta
 
 #: What a row must have to hold anything at all (Java regex); each pattern above needs one of these.
 TRIGGER = (
-    r"(?iu)@|＠|%40|[\[(]\s?at\s?[\])]|\d(?:[ .\-()/]{0,2}\d){6}|passport|reisepass|passeport|pasaporte|护照|\d\s?(?:bis|ter|quater|[a-z])?,? \p{L}|\p{L}[.']? \d|号|"
+    r"(?iu)@|＠|%40|[\[(]\s?at\s?[\])]|\d(?:[ .\-()/]{0,2}\d){6}|\p{L}\s?\d{2}\s?\d{2}\s?\d{2}\s?\p{L}|passport|reisepass|passeport|pasaporte|护照|\d\s?(?:bis|ter|quater|[a-z])?,? \p{L}|\p{L}[.']? \d|号|"
     r"signed-off|co-authored|(?:reviewed|acked|reported|written|approved|signed)[- ]by|name|nom\b|nombre|conta[ck]t|kontakt|patient|owner|author|assign|reviewer|customer|caller|姓名|联系人|患者|"
     r"spoke|colleague|kolleg|coll[eè]gue|colega|gr[uü]ß|regards|best|cheers|thanks|cordialement|saludo|merci|[—–] |asked for|wrote|called|said|home|users|clients?|people|staff|employee|kunden|persons?"
 )

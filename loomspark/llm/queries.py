@@ -94,7 +94,7 @@ spoken AS (
   FROM once),
 turns AS (
   SELECT *, lead(who) OVER (PARTITION BY logical_session_id ORDER BY sequence) AS next_who, row_number() OVER (PARTITION BY logical_session_id ORDER BY sequence) AS nth
-  FROM spoken WHERE who > 0),
+  FROM (SELECT DISTINCT logical_session_id, sequence, who, content FROM spoken WHERE who > 0)),
 spoke AS (
   SELECT logical_session_id, bool_or(who = 1 AND coalesce(next_who, 1) = 1) AS missing, bool_or(nth = 1 AND who = 2) AS answer_first FROM turns GROUP BY 1),
 numbered AS (
