@@ -99,3 +99,17 @@ def derived_membership(assignments: DataFrame) -> DataFrame:
     merged = assignments.groupBy(F.col("target").alias("project_key")).agg(F.countDistinct("source").alias("n")).filter("n >= 2").select(F.lit("merge").alias("operation"), "project_key")
     parted = assignments.groupBy(F.col("source").alias("project_key")).agg(F.countDistinct("target").alias("n")).filter("n >= 2").select(F.lit("split").alias("operation"), "project_key")
     return merged.unionByName(parted)
+
+
+def membership(events: DataFrame, overrides: DataFrame) -> DataFrame:
+    """event_id, proposed, target: the project each event goes to, overridden per event; unnamed events keep their proposal."""
+    over = overrides.groupBy("event_id").agg(F.min("target").alias("override"))
+    joined = events.select("event_id", F.col("project_key").alias("proposed")).join(over, "event_id", "left")
+    return joined.select("event_id", "proposed", F.coalesce("override", "proposed").alias("target"))
+
+
+def membership_errors(events: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Overrides of unknown events, and events sent to two projects."""
+    unknown = overrides.join(events.select("event_id"), "event_id", "left_anti").select("event_id").distinct()
+    twice = overrides.groupBy("event_id").agg(F.countDistinct("target").alias("n")).filter("n > 1")
+    return violations("membership", F.col("event_id"), "event does not exist", unknown).unionByName(violations("membership", F.col("event_id"), "event goes to two projects", twice))
