@@ -58,14 +58,12 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     active = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("dist"), F.col("node").alias("low"), segment.alias("seg"))
     raked, core, round_no = [], None, 0
     while True:
-        active = scratch.keep(active, f"active{round_no}")
         children = active.groupBy("ptr").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ptr", "node")
-        state = scratch.keep(active.join(children, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))), f"state{round_no}")
-        left, leaves = state.agg(F.count(F.lit(1)), F.count_if(F.col("n") == 0)).first()
-        scratch.drop(f"active{round_no}")
-        if not left:
+        counted = active.join(children, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        state, seen = scratch.keep_counted(counted, f"state{round_no}", left=F.count(F.lit(1)), leaves=F.count_if(F.col("n") == 0))
+        if not seen["left"]:
             break
-        if not leaves:
+        if not seen["leaves"]:
             core = state
             break
         raked.append(state.filter("n = 0").select("node", "ptr", "dist", "seg"))
@@ -99,16 +97,15 @@ def _cycle_labels(core: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``low`` is the smallest id a pointer has passed, so that the nodes compressed out of a cycle count too.
     """
-    state = core.select("node", "ptr", F.col("low").alias("label"))
-    step = 0
+    state, step = core.select("node", "ptr", F.col("low").alias("label")), 0
     while True:
-        state = scratch.keep(state, f"cycle{step}")
         ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("label").alias("label2"))
-        moved = scratch.keep(state.join(ahead, "ptr").select("node", F.col("ptr2").alias("ptr"), F.least("label", "label2").alias("label"), (F.col("label2") < F.col("label")).alias("changed")), f"cycle{step}b")
-        if not moved.filter("changed").limit(1).count():
+        moved = state.join(ahead, "ptr").select("node", F.col("ptr2").alias("ptr"), F.least("label", "label2").alias("label"), (F.col("label2") < F.col("label")).alias("changed"))
+        step += 1
+        moved, seen = scratch.keep_counted(moved, f"cycle{step}", changed=F.count_if("changed"))
+        if not seen["changed"]:
             return moved
         state = moved.drop("changed")
-        step += 1
 
 
 def descendants(paths: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: str | None = None
@@ -46,6 +46,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+        """``keep``, and the aggregates ``counts`` observed while writing: no second job."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+        return kept, seen.get
+
     def drop(self, name: str = "") -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -55,6 +61,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, over as many partitions as there are cores if it has fewer: for work that costs far more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).select(F.lit(1)).collect()
 
