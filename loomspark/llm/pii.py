@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from loomspark.session import Scratch
+from loomspark.session import Scratch, spread
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
@@ -197,7 +197,7 @@ def detect(tables: dict[str, tuple[DataFrame, str, str, bool]]) -> DataFrame:
         df.select(F.lit(name).alias("record_table"), F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"), F.lit(is_path).alias("is_path"))
         for name, (df, key, text, is_path) in tables.items()
     ]
-    rows = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("record_id").isNotNull() & F.col("text").rlike(TRIGGER))
+    rows = reduce(lambda a, b: a.unionByName(b), [spread(p) for p in parts]).filter(F.col("record_id").isNotNull() & F.col("text").rlike(TRIGGER))
     return rows.withColumn("spans", spans_udf("text", "is_path")).filter("size(spans) > 0").drop("is_path")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.tokenizer import VOCABULARY, encoding, read_ranks, unique_by
+from loomspark.session import spread
 
 LIMIT, OVERLAP = 2048, 128
 
@@ -105,7 +106,7 @@ def split_oversized(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     rows = docs.select(F.col(key).cast("bigint").alias(key), text).filter(F.col(key).isNotNull() & (F.octet_length(text) > limit))
-    rows = unique_by(rows, key, text)
+    rows = unique_by(spread(rows), key, text)
     shaped = rows.mapInArrow(_prepare(vocabulary, limit, with_text), "id bigint, n_tokens int, shape string, offsets array<int>").withColumnRenamed("id", key)
     cut = shaped.select(key, "n_tokens", "offsets", piece_table(F.col("shape"), limit, overlap).alias("pieces"))
     if not with_text:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.session import Scratch
+from loomspark.session import Scratch, spread
 
 #: Where the vocabulary files lie; every executor must see this folder.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -151,7 +151,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "encode")
-    rows = unique_by(docs.select(F.col(key).cast("bigint").alias(key), text).filter(F.col(key).isNotNull()), key, text)
+    rows = unique_by(spread(docs.select(F.col(key).cast("bigint").alias(key), text).filter(F.col(key).isNotNull())), key, text)
     blocks = scratch.keep(rows.mapInArrow(_to_blocks(block_chars), _BLOCK_SCHEMA), "blocks")
     lists = blocks.filter("words IS NOT NULL").select("block", F.posexplode("words").alias("at", "word"))
     words = lists.select("word").distinct()
