@@ -1,0 +1,225 @@
+"""Queries of the snapshot, publication, membership, ingest and lifecycle operators over the whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as fx
+from loomspark.operators import evidence as ev
+from loomspark.operators import lifecycle, publication, ranges, retrieval, review, snapshots
+from loomspark.plans.evidence_queries import _ONCE, _SEMANTIC, _events
+from loomspark.session import table
+from loomspark.streaming import ingest
+
+QUERIES = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_SKIP = ", ".join(f"'{s}'" for s in snapshots.SKIPPED)
+
+
+@query(
+    rf"""WITH p AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM source_files), q AS (SELECT path, parts, parts[-1] AS name, lower(regexp_extract(parts[-1], '\.([A-Za-z0-9]+)$', 1)) AS suffix FROM p)
+    SELECT path, ((suffix IN ('jsonl', 'ndjson', 'json', 'md', 'db', 'sqlite', 'sqlite3') AND (suffix <> 'md' OR regexp_matches(name, '(?i)session|conversation|history|chat|transcript|rollout|project|composer') OR regexp_matches(name, '(?i)-chunk-\d+\.md$')))
+      OR (suffix = '' AND regexp_matches(name, '(?i)session|conversation|history|chat|transcript|rollout|project|composer')))
+      AND NOT list_has_any(list_transform(parts[1:-2], lambda x: lower(x)), [{_SKIP}]) AND len(parts) <= 12 AS candidate FROM q"""
+)
+def r_s02_candidates(spark, sf_dir):
+    """Which paths may hold sessions."""
+    return table(spark, sf_dir, "source_files").select("path").distinct().select("path", snapshots.is_candidate(F.col("path")).alias("candidate"))
+
+
+@query("SELECT root, count(DISTINCT path) AS candidates, count(DISTINCT path) FILTER (WHERE mtime_ns IS NOT NULL) AS accepted, CASE WHEN count(DISTINCT path) > 500 THEN 'truncated_by_max_files' END AS gap FROM source_files GROUP BY 1")
+def r_s07_coverage(spark, sf_dir):
+    """Files found and taken of each root."""
+    files = table(spark, sf_dir, "source_files")
+    return snapshots.coverage(files, files.filter("mtime_ns IS NOT NULL"), 500)
+
+
+@query(
+    """WITH f AS (SELECT source_file_id AS path, min(frozen_size) AS size, min(inode) AS inode FROM source_files GROUP BY 1), b AS (SELECT path, size, md5(coalesce(inode::VARCHAR, '')) AS sha256 FROM f WHERE path < 'e'),
+    a AS (SELECT path, size + CASE WHEN path < '4' THEN 10 ELSE 0 END AS size, CASE WHEN path < '8' THEN md5('x' || coalesce(inode::VARCHAR, '')) ELSE md5(coalesce(inode::VARCHAR, '')) END AS sha256 FROM f WHERE path > '1')
+    SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.sha256 IS NULL THEN 'added' WHEN a.sha256 IS NULL THEN 'missing' WHEN a.sha256 = b.sha256 THEN 'same' WHEN a.size > b.size AND (b.size < 65536) THEN 'appended' ELSE 'rewritten' END AS change
+    FROM b FULL OUTER JOIN a USING (path)) GROUP BY 1"""
+)
+def r_i01_source_changes(spark, sf_dir):
+    """Sources added, missing, same, appended or rewritten between two snapshots made of the file table."""
+    files = table(spark, sf_dir, "source_files").groupBy(F.col("source_file_id").alias("path")).agg(F.min("frozen_size").alias("size"), F.min("inode").alias("inode"))
+    plain = F.md5(F.coalesce(F.col("inode").cast("string"), F.lit("")))
+    moved = F.md5(F.concat(F.lit("x"), F.coalesce(F.col("inode").cast("string"), F.lit(""))))
+    before = files.filter("path < 'e'").select("path", "size", plain.alias("sha256"), plain.alias("head_sha256"))
+    now = F.when(F.col("path") < "8", moved).otherwise(plain)
+    after = files.filter("path > '1'").select("path", (F.col("size") + F.when(F.col("path") < "4", 10).otherwise(0)).alias("size"), now.alias("sha256"), now.alias("head_sha256"))
+    return snapshots.source_changes(before, after).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH k AS (SELECT lower(replace(trim(adapter), '-', '_')) AS adapter, record, unnest(json_keys(record::JSON)) AS field FROM adapter_records), t AS (SELECT adapter, field, json_type(record::JSON, '$."' || field || '"') AS kind FROM k)
+    SELECT adapter, list_sort(list(DISTINCT field || ':' || CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'UBIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'decimal' WHEN 'NULL' THEN 'void' ELSE lower(kind) END)) AS fields FROM t GROUP BY 1"""
+)
+def r_s14_fingerprints(spark, sf_dir):
+    """Field names and types seen for each adapter, without values."""
+    rows = table(spark, sf_dir, "adapter_records").select(F.lower(F.replace(F.trim("adapter"), F.lit("-"), F.lit("_"))).alias("adapter"), "record")
+    out = snapshots.fingerprints(rows, ["adapter"])
+    return out.select("adapter", F.array_sort(F.array_distinct(F.transform("fields", lambda f: F.regexp_replace(f, ":double$", ":decimal")))).alias("fields"))
+
+
+@query(f"WITH {_ONCE} SELECT project_key, count(*) AS n FROM (SELECT coalesce(CASE WHEN event_type = 'error' THEN 'prj-errors' END, project_key) AS project_key FROM e) WHERE project_key IS NOT NULL GROUP BY 1")
+def r_b01_membership(spark, sf_dir):
+    """Events of each project after sending all errors to a project of their own."""
+    events = _events(spark, sf_dir)
+    moved = events.filter("event_type = 'error'").select("event_id", F.lit("prj-errors").alias("target"))
+    return review.membership(events, moved).filter("target IS NOT NULL").groupBy(F.col("target").alias("project_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_ONCE}, a AS (SELECT DISTINCT project_key AS source, session_title AS target FROM e WHERE project_key IS NOT NULL AND session_title IS NOT NULL)
+    SELECT 'merge' AS operation, target AS project_key FROM a GROUP BY target HAVING count(DISTINCT source) >= 2 UNION ALL SELECT 'split', source FROM a GROUP BY source HAVING count(DISTINCT target) >= 2"""
+)
+def r_g14_merges_and_splits(spark, sf_dir):
+    """Titles that several projects share, and projects with several titles."""
+    rows = _events(spark, sf_dir).filter("project_key IS NOT NULL AND session_title IS NOT NULL").select(F.col("project_key").alias("source"), F.col("session_title").alias("target"))
+    return review.derived_membership(rows)
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, claims (contents of deliveries), feedback (user messages) and rules (repeated statements) as the data has them."""
+    docs = table(spark, sf_dir, "documents").groupBy("path").agg(F.min("title").alias("title"), F.min("project_key").alias("project_key"))
+    body = F.sha2(fx.collapsed(F.col("content")), 256)
+    events = _events(spark, sf_dir).filter("project_key IS NOT NULL")
+    none = F.array().cast("array<string>")
+    said = events.filter("event_type IN ('delivery', 'error')").groupBy("project_key", F.concat_ws("/", "project_key", body).alias("claim_id")).agg(F.min("content").alias("statement")).select("*", none.alias("conflicts"), none.alias("supersedes"))
+    asked = events.filter("event_type = 'message' AND role = 'user'").select("project_key", F.col("event_id").alias("feedback_id"), F.col("content").alias("statement"))
+    rules = asked.groupBy(F.sha2(fx.collapsed(F.col("statement")), 256).alias("evolution_id")).agg(F.min("statement").alias("rule"), F.array_sort(F.collect_set("feedback_id")).alias("feedback_ids")).filter("size(feedback_ids) > 1")
+    return docs, said, asked, rules.withColumn("promoted_claim_id", F.lit(None).cast("string"))
+
+
+_KNOWLEDGE_SQL = f"""docs AS (SELECT path, min(project_key) AS project_key FROM documents GROUP BY 1), p AS (SELECT *, {_SEMANTIC} AS body FROM e WHERE project_key IS NOT NULL),
+    claims AS (SELECT DISTINCT project_key, project_key || '/' || body AS claim_id FROM p WHERE event_type IN ('delivery', 'error')), asked AS (SELECT project_key, event_id, body FROM p WHERE event_type = 'message' AND role = 'user'),
+    rules AS (SELECT body FROM asked GROUP BY 1 HAVING count(DISTINCT event_id) > 1),
+    edges AS (SELECT d.path AS source, c.claim_id AS target, 'contains-claim' AS relation FROM docs d JOIN claims c USING (project_key) UNION SELECT d.path, a.event_id, 'records-feedback' FROM docs d JOIN asked a USING (project_key)
+      UNION SELECT a.event_id, r.body, 'supports-evolution' FROM asked a JOIN rules r USING (body))"""
+
+
+@query(f"WITH {_ONCE}, {_KNOWLEDGE_SQL} SELECT relation, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM edges GROUP BY 1")
+def r_h02_graph(spark, sf_dir):
+    """Edges of the knowledge graph by relation."""
+    return publication.edges(*_knowledge(spark, sf_dir)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+
+
+@query(f"WITH {_ONCE}, {_KNOWLEDGE_SQL} SELECT path, count(source) AS links FROM docs LEFT JOIN edges ON source = path GROUP BY 1")
+def r_g13_link_audit(spark, sf_dir):
+    """Links of every document."""
+    docs, *rest = _knowledge(spark, sf_dir)
+    return publication.link_audit(docs, publication.edges(docs, *rest))
+
+
+@query("SELECT NULL::VARCHAR AS location, NULL::VARCHAR AS message WHERE false")
+def r_h05_graph_errors(spark, sf_dir):
+    """Whatever is wrong with the graph made of the tables: nothing."""
+    parts = _knowledge(spark, sf_dir)
+    return publication.graph_errors(publication.nodes(*parts).distinct(), publication.edges(*parts), parts[0])
+
+
+@query(
+    """WITH d AS (SELECT path, min(project_key) AS project_key, min(doc_id) AS doc_id FROM documents GROUP BY 1), e AS (SELECT a.path AS source_path, b.path AS target_path, a.doc_id * 1000000 + b.doc_id AS edge_id FROM d a JOIN d b ON a.project_key = b.project_key AND b.doc_id = a.doc_id + 1)
+    SELECT edge_id, source_path AS path, target_path AS other, 'follows' AS relation FROM e UNION ALL SELECT edge_id, target_path, source_path, 'reverse of follows' FROM e"""
+)
+def r_h03_reciprocal_links(spark, sf_dir):
+    """Both directions of the links between neighbouring documents of a project."""
+    docs = table(spark, sf_dir, "documents").groupBy("path").agg(F.min("project_key").alias("project_key"), F.min("doc_id").alias("doc_id"))
+    after = docs.select("project_key", F.col("path").alias("target_path"), (F.col("doc_id") - 1).alias("doc_id"))
+    links = docs.join(after, ["project_key", "doc_id"]).select((F.col("doc_id") * 1_000_000 + F.col("doc_id") + 1).alias("edge_id"), F.col("path").alias("source_path"), "target_path", F.lit("follows").alias("relation"), F.lit("directed").alias("direction"), F.lit("confirmed").alias("status"))
+    return retrieval.reciprocal_links(links)
+
+
+@query(
+    f"""WITH {_ONCE}, o AS (SELECT event_id, source_file_id AS path, project_key, content FROM e WHERE event_type <> 'status'), n AS (SELECT event_id, source_file_id AS path, project_key, content FROM e WHERE event_type IN ('status', 'message')),
+    kept AS (SELECT * FROM o WHERE path >= '4') SELECT count(*) AS n, count(DISTINCT path) AS paths, sum(length(content)) AS chars FROM (SELECT * FROM kept UNION ALL SELECT * FROM n WHERE event_id NOT IN (SELECT event_id FROM kept))"""
+)
+def r_i03_merge(spark, sf_dir):
+    """The event table after a run that replaced some sources and extended the others."""
+    events = _events(spark, sf_dir).select("event_id", F.col("source_file_id").alias("path"), "project_key", "content", "event_type")
+    old, new = events.filter("event_type <> 'status'").drop("event_type"), events.filter("event_type IN ('status', 'message')").drop("event_type")
+    actions = events.select("path", F.when(F.col("path") < "4", "parse").otherwise("tail").alias("action")).distinct()
+    return ingest.merge(old, new, actions).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("paths"), F.sum(F.length("content")).alias("chars"))
+
+
+@query(f"WITH {_ONCE} SELECT DISTINCT project_key FROM e WHERE event_type IN ('error', 'delivery') AND project_key IS NOT NULL")
+def r_g09_affected_projects(spark, sf_dir):
+    """Projects with an event that changed, came or went between two versions."""
+    events = _events(spark, sf_dir)
+    after = events.filter("event_type <> 'delivery'").withColumn("content", F.when(F.col("event_type") == "error", F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return ingest.affected_projects(events, after, ["content"])
+
+
+@query(
+    """SELECT doc_id, list_filter([CASE WHEN recheck_after <= '2025-09-01' THEN 'recheck_after' END, CASE WHEN retain_until <= '2025-09-01' THEN 'retain_until' END], lambda x: x IS NOT NULL) AS reasons
+    FROM (SELECT DISTINCT doc_id, strftime(created_at + INTERVAL 90 DAY, '%Y-%m-%d') AS recheck_after, strftime(created_at + INTERVAL 365 DAY, '%Y-%m-%d') AS retain_until FROM documents) WHERE recheck_after <= '2025-09-01' OR retain_until <= '2025-09-01'"""
+)
+def r_l08_due(spark, sf_dir):
+    """Documents due for another look, or at the end of their keeping time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.date_format(F.col("created_at") + F.expr("INTERVAL 90 DAY"), "yyyy-MM-dd").alias("recheck_after"), F.date_format(F.col("created_at") + F.expr("INTERVAL 365 DAY"), "yyyy-MM-dd").alias("retain_until")).distinct()
+    return lifecycle.due(docs, "2025-09-01").select("doc_id", "reasons")
+
+
+_SPANS = """s AS (SELECT logical_session_id AS k, session_id, min(sequence) - 1 AS start, max(sequence) AS "end" FROM e GROUP BY ALL), l AS (SELECT *, max("end") OVER (PARTITION BY k) AS length FROM s),
+    o AS (SELECT *, coalesce(max("end") OVER (PARTITION BY k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM l)"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    spans = _events(spark, sf_dir).groupBy(F.col("logical_session_id").alias("k"), "session_id").agg((F.min("sequence") - 1).alias("start"), F.max("sequence").alias("end"))
+    return spans.withColumn("length", F.max("end").over(Window.partitionBy("k")))
+
+
+@query(f"""WITH {_ONCE}, {_SPANS} SELECT k, reach AS start, start AS "end" FROM o WHERE start > reach""")
+def r_w06_uncovered(spark, sf_dir):
+    """Stretches of conversations that none of their sessions covers."""
+    return ranges.uncovered(_spans(spark, sf_dir), "k")
+
+
+@query(f"""WITH {_ONCE}, {_SPANS} SELECT k, session_id, start, "end", length FROM o WHERE start < reach""")
+def r_j07_overlaps(spark, sf_dir):
+    """Sessions of a conversation that begin before an earlier one ends."""
+    return ranges.overlapping(_spans(spark, sf_dir), "k")
+
+
+@query(
+    f"""WITH {_ONCE}, i AS (SELECT logical_session_id AS k, project_key, CASE WHEN bool_or(event_type = 'error') THEN 'disputed' ELSE 'observed' END AS status, list(event_id) AS ids FROM e WHERE project_key IS NOT NULL GROUP BY ALL),
+    x AS (SELECT k, project_key, unnest(ids) AS event_id FROM i) SELECT count(*) AS violations FROM (
+      SELECT k FROM i GROUP BY k HAVING count(*) > 1 UNION ALL SELECT DISTINCT x.k FROM x JOIN e USING (event_id) WHERE e.project_key <> x.project_key UNION ALL SELECT DISTINCT k FROM x WHERE event_id NOT IN (SELECT event_id FROM e))"""
+)
+def r_j04_evidence_checks(spark, sf_dir):
+    """Violations among items made of conversations: ids that repeat, evidence that is missing or of another project."""
+    events = _events(spark, sf_dir)
+    items = events.filter("project_key IS NOT NULL").groupBy(F.col("logical_session_id").alias("k"), "project_key").agg(F.collect_list("event_id").alias("evidence_event_ids"))
+    parts = [review.repeated(items, "k", "id"), review.foreign_evidence(items, "k", events, "project"), review.unknown_evidence(items, "k", events, "event")]
+    return review.union(parts).agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(f"""WITH {_ONCE}, c AS (SELECT path, project_key FROM documents GROUP BY ALL) SELECT path FROM c WHERE project_key IS NOT NULL AND project_key NOT IN (SELECT project_key FROM e WHERE project_key IS NOT NULL)""")
+def r_u04_stale_paths(spark, sf_dir):
+    """Published paths of projects that have no events any more."""
+    docs = table(spark, sf_dir, "documents").filter("project_key IS NOT NULL").select("path", "project_key").distinct()
+    current = docs.join(_events(spark, sf_dir).select("project_key").distinct(), "project_key", "left_semi")
+    return publication.stale_paths(docs, current)
+
+
+@query()
+def r_h01_components(spark, sf_dir):
+    """Connected components of sessions that share a project, by large-star and small-star steps."""
+    events = _events(spark, sf_dir).filter("project_key IS NOT NULL")
+    return ev.connected_components(events.select(F.concat(F.lit("p:"), F.col("project_key")).alias("a"), F.concat(F.lit("s:"), F.col("session_id")).alias("b")).distinct())
