@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from loomspark.session import salted_lookup
+from loomspark.session import fenced, salted_lookup
 
 # Fixed values of the record contract.
 FIELDS = ("session_id", "sequence", "role", "event_type", "timestamp", "duration_ms")
@@ -61,9 +61,8 @@ def json_fields(line: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "is_object", *FIELDS])
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Not deterministic for the optimizer only: else filters on its fields would be pushed down and parse every line again.
+_json_once = json_fields.asNondeterministic()
 
 
 def quote_parts_ok(parts: Column, delimiter: Column) -> Column:
@@ -122,12 +121,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     first = F.when(~F.col("quotes_ok"), F.lit("quoting")).when(~F.col("count_ok"), F.lit("column_count"))
     body = _judged(body, first, lambda f: F.col(f), lambda f: F.col(f).rlike(r"^[0-9]+\z"))
 
-    docs = rows.filter("line_format = 'jsonl'").withColumn("j", json_fields("text")).select("source_file_id", "line_no", "line_format", "text", "terminated", "j.*")
-    # the last line of a file: only its unterminated lines that are no JSON have to be looked up, and those are few
+    docs = rows.filter("line_format = 'jsonl'").select("source_file_id", "line_no", "line_format", "text", "terminated")
+    # the last line of a file: only its unterminated lines have to be looked up, and those are few
     ends = lines.groupBy("source_file_id").agg(F.max("line_no").alias("last_line"))
-    is_tail = F.col("ok") | F.coalesce("terminated", F.lit(True))
-    sound, tails = docs.filter(is_tail).withColumn("last_line", F.lit(None).cast("bigint")), docs.filter(~is_tail)
-    docs = sound.unionByName(tails.join(ends, "source_file_id", "left").select(sound.columns))
+    whole = docs.filter("coalesce(terminated, true)").withColumn("last_line", F.lit(None).cast("bigint"))
+    docs = whole.unionByName(docs.filter("NOT terminated").join(ends, "source_file_id", "left"))
+    docs = docs.withColumn("j", _json_once("text")).select("source_file_id", "line_no", "line_format", "last_line", "j.*")
     first = F.when(~F.col("ok"), F.when(F.col("line_no") == F.col("last_line"), F.lit("incomplete_tail")).otherwise(F.lit("json"))).when(~F.col("is_object"), F.lit("not_object"))
     string = lambda f: F.when(F.col(f).startswith('"'), F.from_json(F.concat(F.lit("["), F.col(f), F.lit("]")), "array<string>")[0])
     docs = _judged(docs, first, string, lambda f: F.col(f).rlike(r"^-?[0-9]+\z"), json_null="null")
@@ -159,7 +158,7 @@ def _judged(rows: DataFrame, first: Column, string, is_integer, json_null: str |
     ]
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"invalid_value:{f}")) for f, ok in rules]))
     rows = rows.withColumn("_first", first)
-    return rows.withColumn("errors", F.when(F.col("_first").isNotNull(), F.array("_first")).otherwise(broken))
+    return fenced(rows.withColumn("errors", F.when(F.col("_first").isNotNull(), F.array("_first")).otherwise(broken)))
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:

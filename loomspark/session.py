@@ -8,14 +8,17 @@ is used only where the setting is absent (unit tests, a laptop).
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: str | None = None
+_shipped: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,6 +33,25 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _own_root
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the session's executors, which may not find it on their path; once per application."""
+    global _shipped
+    if _shipped == spark.sparkContext.applicationId:
+        return
+    folder = tempfile.mkdtemp(prefix="loomspark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(folder, f"loomspark-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for base, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped = spark.sparkContext.applicationId
+
+
 class Scratch:
     """A numbered set of Parquet tables in the shared folder; ``drop`` removes one once nothing reads it."""
 
@@ -67,6 +89,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` behind a fence for filters: one on a column that took a long chain of expressions would else be pushed down, the chain inlined into it and computed twice."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).filter("_fence >= 0").drop("_fence")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).select(F.lit(1)).collect()
 
