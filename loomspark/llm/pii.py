@@ -187,6 +187,10 @@ def spans_udf(text: pd.Series, is_path: pd.Series) -> pd.Series:
     return pd.Series([[(k, s, e, t[s:e]) for k, s, e in find_spans(t, bool(p))] if t else [] for t, p in zip(text, is_path, strict=True)], dtype=object)
 
 
+#: Not deterministic for the optimizer only: else a filter on the spans would be pushed down and find them a second time.
+_spans_once = spans_udf.asNondeterministic()
+
+
 def detect(tables: dict[str, tuple[DataFrame, str, str, bool]]) -> DataFrame:
     """record_table, record_id, text, spans of every record with personal data.
 
@@ -198,7 +202,7 @@ def detect(tables: dict[str, tuple[DataFrame, str, str, bool]]) -> DataFrame:
         for name, (df, key, text, is_path) in tables.items()
     ]
     rows = reduce(lambda a, b: a.unionByName(b), [spread(p) for p in parts]).filter(F.col("record_id").isNotNull() & F.col("text").rlike(TRIGGER))
-    return rows.withColumn("spans", spans_udf("text", "is_path")).filter("size(spans) > 0").drop("is_path")
+    return rows.withColumn("spans", _spans_once("text", "is_path")).filter("size(spans) > 0").drop("is_path")
 
 
 def found(detected: DataFrame) -> DataFrame:
