@@ -23,6 +23,11 @@ SKETCH_SIZE = 256
 #: Least score of a rename, and the weight of names in it.
 LEAST_SCORE, NAME_WEIGHT = 0.45, 0.3
 
+#: A field counts as one of few values if so many hold this share of its records, each four times on average.
+CATEGORICAL, MOST_VALUES = 0.9, 16
+#: Records below which numbers of few values are told by their name.
+FEW_RECORDS = 6
+
 _TYPE = {"BIGINT": "integer", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "number", "FLOAT": "number"}
 
 
@@ -60,7 +65,7 @@ def value_features(kind: Column, value: Column) -> Column:
     return F.array_compact(
         F.flatten(
             F.array(
-                F.array(F.concat(F.lit("type "), kind), F.when(~number, F.concat(F.lit("value "), F.xxhash64(value).cast("string")))),
+                F.array(F.concat(F.lit("type "), kind), F.when(kind != "number", F.concat(F.lit("value "), F.xxhash64(value).cast("string")))),
                 F.array(F.when(number, F.concat(F.lit("size "), magnitude)), F.when(kind == "string", F.concat(F.lit("shape "), shape)), F.when(kind == "string", F.concat(F.lit("long "), F.floor(F.log2(F.length(value) + 1.0))))),
                 F.when(kind == "object", F.transform(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), lambda k: F.concat(F.lit("key "), k))).otherwise(F.array().cast("array<string>")),
                 F.when((kind == "array") | (words > 1), F.transform(tokens, lambda t: F.concat(F.lit("word "), t))).otherwise(F.array().cast("array<string>")),
@@ -70,7 +75,7 @@ def value_features(kind: Column, value: Column) -> Column:
 
 
 def sketches(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sketch: map of a feature to the share of non-null values that show it; the ``SKETCH_SIZE`` most frequent."""
+    """keys, of (number of non-null values), sketch: map of a feature to the share of non-null values that show it; the ``SKETCH_SIZE`` most frequent."""
     rows = fields.filter("type <> 'null'")
     feature = rows.select(*keys, F.explode(value_features(F.col("type"), F.col("value"))).alias("feature"))
     counts = feature.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
@@ -78,13 +83,19 @@ def sketches(fields: DataFrame, keys: list[str]) -> DataFrame:
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "feature"))).filter(F.col("rank") <= SKETCH_SIZE)
     kept = ranked.groupBy(*keys).agg(F.collect_list(F.struct("feature", "n")).alias("kept"))
     joined = kept.join(totals, keys)
-    return joined.select(*keys, F.map_from_entries(F.transform("kept", lambda s: F.struct(s["feature"], s["n"] / F.col("of")))).alias("sketch"))
+    return joined.select(*keys, "of", F.map_from_entries(F.transform("kept", lambda s: F.struct(s["feature"], s["n"] / F.col("of")))).alias("sketch"))
+
+
+def is_categorical(sketch: dict, of: int) -> bool:
+    """Whether nearly all values of a field are a few that repeat."""
+    values = [v for k, v in sketch.items() if k.startswith("value ")]
+    return 0 < len(values) <= of / 4 and len(values) <= MOST_VALUES and sum(values) >= CATEGORICAL
 
 
-def sketch_similarity(reference: dict, own: dict) -> float:
+def sketch_similarity(reference: dict, own: dict, of: int = 0) -> float:
     """How well a field's sketch fits a reference sketch, 0 to 1, over the feature classes either shows.
 
-    A class counts by the mean of the shares both have and the share of the field's features the reference knows at
+    ``of`` is the number of values behind the reference.  A class counts by the mean of the shares both have and the share of the field's features the reference knows at
     all: a file with two records can't show the reference's shares, but what it shows must be known there.
     """
     weights = {"type": 1.0, "shape": 2.0, "value": 1.0, "word": 1.5, "key": 2.0, "size": 1.5, "long": 0.5}
@@ -99,7 +110,16 @@ def sketch_similarity(reference: dict, own: dict) -> float:
             shared = sum(min(v, x.get(k, 0.0)) for k, v in y.items()) / max(sum(x.values()), sum(y.values()))
             known = sum(v for k, v in y.items() if k in x) / sum(y.values()) if y else 0.0
             score += weight * (shared + known) / 2
-    return score / total if total else 0.0
+    rest = score / total if total else 0.0
+    known_values = {k: v for k, v in reference.items() if k.startswith("value ")}
+    own_values = {k: v for k, v in own.items() if k.startswith("value ")}
+    if own_values and is_categorical(reference, of):
+        # a field of few values: what matters is whether the values are among them
+        mass = sum(own_values.values())
+        known = sum(v for k, v in own_values.items() if k in known_values) / mass
+        shared = sum(min(v, known_values.get(k, 0.0)) for k, v in own_values.items()) / mass
+        return 0.25 * rest + 0.75 * (known + max(shared, known / 2)) / 2 if known < 1 else 0.25 * rest + 0.75 * known
+    return rest
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -155,9 +175,10 @@ def _renames(group: pd.DataFrame) -> pd.DataFrame:
     for row in group.itertuples(index=False):
         ref, own = dict(row.reference or {}), dict(row.sketch or {})
         names = name_similarity(row.contract_field, row.file_field)
-        flat = row.json_type == "boolean"  # two values say little: the name decides
+        # few values say little, least where only a few records show them: then the name decides
+        flat = row.json_type == "boolean" or (row.json_type == "integer" and (row.of or 0) < FEW_RECORDS and is_categorical(ref, row.ref_of or 0))
         weight = 0.6 if flat else NAME_WEIGHT
-        value = (1 - weight) * sketch_similarity(ref, own) + weight * names if ref and own else names * 0.6
+        value = (1 - weight) * sketch_similarity(ref, own, row.ref_of or 0) + weight * names if ref and own else names * 0.6
         score[wanted.index(row.contract_field)][extra.index(row.file_field)] = value if value >= LEAST_SCORE else 0.0
     pairs = [(wanted[i], extra[j]) for i, j in best_matching(score) if score[i][j] >= LEAST_SCORE]
     first = group.iloc[0]
@@ -207,9 +228,9 @@ class Drift:
         own = sketches(new, [*self.unit, "file_field"])
         wanted = pairs.select("adapter_key", "event_key", F.col("contract_field").alias("field"), F.col("json_type").alias("type")).distinct()
         held = self.fields.join(wanted, ["adapter_key", "event_key", "field", "type"], "left_semi")
-        reference = sketches(held, ["adapter_key", "event_key", "field"]).select("adapter_key", "event_key", F.col("field").alias("contract_field"), F.col("sketch").alias("reference"))
+        reference = sketches(held, ["adapter_key", "event_key", "field"]).select("adapter_key", "event_key", F.col("field").alias("contract_field"), F.col("of").alias("ref_of"), F.col("sketch").alias("reference"))
         scored = pairs.join(own, [*self.unit, "file_field"], "left").join(reference, ["adapter_key", "event_key", "contract_field"], "left")
-        scored = scored.select(*self.unit, "contract_field", "file_field", "json_type", "sketch", "reference")
+        scored = scored.select(*self.unit, "contract_field", "file_field", "json_type", "of", "ref_of", "sketch", "reference")
         schema = "source_file_id string, adapter_key string, event_key string, contract_field string, file_field string"
         self._renamed = self.scratch.keep(scored.groupBy(*self.unit).applyInPandas(_renames, schema), "renamed")
 
