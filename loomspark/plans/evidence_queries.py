@@ -430,7 +430,7 @@ def _search_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     docs = table(spark, sf_dir, "documents").dropDuplicates(["doc_id"])
     tasks = docs.filter("doc_id % 50 = 0 AND title IS NOT NULL").select(F.col("doc_id").cast("string").alias("task_id"), F.col("title").alias("task"))
     words = tk.keywords(docs, "doc_id", F.coalesce("text", F.lit("")))
-    return tasks.limit(retrieval.MAX_TASKS), docs.join(words, "doc_id").select(F.col("doc_id").cast("string").alias("doc_key"), "title", "path", F.array(F.col("source")).alias("aliases"), "keywords")
+    return tasks, docs.join(words, "doc_id").select(F.col("doc_id").cast("string").alias("doc_key"), "title", "path", F.array(F.col("source")).alias("aliases"), "keywords")
 
 
 @query()

@@ -117,6 +117,8 @@ def test_retrieval(spark):
     tasks = spark.createDataFrame([("t1", "Ledger"), ("t2", "please fix the code"), ("t3", "zebra")], "task_id string, task string")
     scored = {(r.task_id, r.doc_key): r.score for r in retrieval.scores(tasks, docs).collect()}
     assert scored == {("t1", "d1"): 4 + 3 + 4 + 20 + 24, ("t1", "d2"): 4}
+    assert {(r.task_id, r.doc_key): r.score for r in retrieval.scores(tasks, docs, block_tasks=1).collect()} == scored
+    assert retrieval.scores(tasks.limit(0), docs).count() == 0
     assert [(r.doc_key, r.rank) for r in retrieval.ranked(retrieval.scores(tasks, docs), limit=1).collect()] == [("d1", 1)]
     edges = spark.createDataFrame([(1, "e1", "a.md", "b.md", "uses", "directed", "confirmed"), (2, "e2", "c.md", "a.md", "near", "symmetric", "confirmed"), (3, "e3", "c.md", "a.md", "x", "directed", "candidate")], "position int, edge_id string, source_path string, target_path string, relation string, direction string, status string")
     hop = retrieval.one_hop(spark.createDataFrame([("t1", "a.md")], "task_id string, path string"), edges)
