@@ -71,3 +71,36 @@ def test_long_conversation_in_many_stretches(spark, stored):
 def test_empty_table(spark, stored):
     summaries = run_stream(spark, stored([]), Scratch(spark, "test"))
     assert verdicts(summaries).count() == 0
+
+
+def test_live_stream_closes_on_timeout_and_reopens(spark, tmp_path):
+    """A stretch closes once the watermark has passed it, without another row of its own; a row later than that brings a new version."""
+    import time
+
+    from loomspark.llm.conversations import conversation_stream, message_rows
+    from loomspark.operators.timestamps import known_zones
+
+    source = str(tmp_path / "in")
+    add = lambda *rows: spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    add(row(1, "a", 1, "user", at="1755845032"), row(2, "a", 2, "assistant", at="1755845033"))
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    summaries = conversation_stream(message_rows(stream, known_zones(spark)), "1 minute", idle_ms=1000)
+    query = summaries.writeStream.format("memory").queryName("live_summaries").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
+
+    def wait(condition):
+        for _ in range(60):
+            if query.exception():
+                raise query.exception()
+            if spark.sql(f"SELECT 1 FROM live_summaries WHERE {condition}").count():
+                return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert wait("logical_session_id = 'a' AND NOT closed AND n_turns = 2")
+        add(row(1, "b", 1, "user", at="1755945032"))
+        assert wait("logical_session_id = 'a' AND closed AND version > 1")
+        add(row(3, "a", 3, "user", at="1755845040"))
+        assert wait("logical_session_id = 'a' AND n_turns = 3 AND n_numbers = 3")
+    finally:
+        query.stop()
