@@ -129,3 +129,11 @@ def test_retrieval(spark):
     cases = spark.createDataFrame([("c1", "related", ["p"], 1), ("c2", "related", ["q"], 1), ("c3", "hard_negative", [], 0)], "case_id string, kind string, expected array<string>, min_matches int")
     got = spark.createDataFrame([("c1", "p"), ("c2", "p")], "case_id string, project_key string")
     assert {r.case_id: r.passed for r in retrieval.suite_verdicts(cases, got).collect()} == {"c1": True, "c2": False, "c3": True}
+
+
+def test_release_scan(spark):
+    from loomspark.operators import release
+
+    rows = spark.createDataFrame([(1, "fine\r\npassword = hunter22\nx Secret Project y\n-----BEGIN RSA PRIVATE KEY-----"), (2, None), (3, "")], "i int, t string")
+    out = sorted(map(tuple, release.scan(rows, "i", F.col("t"), denied=["secret project"]).collect()))
+    assert (1, 3, "DENIED_1") in out and (1, 4, "PRIVATE_KEY") in out and {(i, n) for i, n, _ in out} == {(1, 2), (1, 3), (1, 4)}
