@@ -81,6 +81,17 @@ def ordered_hash(ids: Column) -> Column:
     return F.sha2(F.array_join(ids, "\n"), 256)
 
 
+def set_hash(member: Column) -> Column:
+    """Aggregate: SHA-256 of a set of distinct texts, whatever their order.
+
+    Made of their number and the sums of two 60-bit parts of their own hashes, so that partial results merge and no set, however
+    large, is gathered.
+    """
+    digest = F.sha2(member, 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", F.count(member).cast("string"), part(1), part(16)), 256)
+
+
 def reliable_timestamp(text: Column) -> Column:
     """An ISO date-time with its offset, else null: a local time proves no order."""
     iso = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})$", 0)

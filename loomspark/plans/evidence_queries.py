@@ -273,10 +273,15 @@ def r_g03_accounting(spark, sf_dir):
     return ev.transport_accounting(_events(spark, sf_dir), seen)
 
 
-@query(f"WITH {_ONCE} SELECT coalesce(project_key, 'session:' || logical_session_id) AS project_key, count(*) AS event_count FROM e GROUP BY 1")
+def _set_hash(x: str) -> str:
+    part = lambda at: f"sum(('0x' || substr(sha256({x}), {at}, 15))::BIGINT::HUGEINT)::VARCHAR"
+    return f"sha256(concat(count(*)::VARCHAR, ':', {part(1)}, ':', {part(16)}))"
+
+
+@query(f"WITH {_ONCE} SELECT coalesce(project_key, 'session:' || logical_session_id) AS project_key, count(*) AS event_count, {_set_hash('event_id')} AS event_set_sha256 FROM e GROUP BY 1")
 def r_g05_manifest(spark, sf_dir):
-    """Events of each project; the hashes of the manifest are tested on fixtures."""
-    return ev.project_manifest(_events(spark, sf_dir)).select("project_key", "event_count")
+    """Number and set hash of each project's events."""
+    return ev.project_manifest(_events(spark, sf_dir))
 
 
 @query(
@@ -385,12 +390,15 @@ pairs AS (SELECT DISTINCT source_agent || ':' || session_id AS a, source_agent |
   UNION SELECT source_agent || ':' || session_id, source_agent || ':' || parent_session_id FROM unified_events WHERE coalesce(parent_session_id, '') <> ''),
 ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
-members AS (SELECT a AS node, string_agg(b, '|' ORDER BY b) AS list FROM (SELECT DISTINCT a, b FROM reach) GROUP BY 1)
+members AS (SELECT a AS node, {hash} AS set_hash FROM (SELECT DISTINCT a, b FROM reach) GROUP BY 1)
 """
 
 
+_STITCH = _STITCH.format(hash=_set_hash("b"))
+
+
 @query(
-    f"""WITH RECURSIVE {_STITCH} SELECT DISTINCT e.source_agent, e.session_id, 'session-' || substr(sha256(concat(m.list, chr(0))), 1, 24) AS logical_session_id
+    f"""WITH RECURSIVE {_STITCH} SELECT DISTINCT e.source_agent, e.session_id, 'session-' || m.set_hash[1:24] AS logical_session_id
     FROM unified_events e JOIN members m ON m.node = e.source_agent || ':' || e.session_id"""
 )
 def r_h01_logical_sessions(spark, sf_dir):
