@@ -2,7 +2,8 @@
 
 1. Items and documents are cut into overlapping passages of ``WIDTH`` words, every ``RUN`` words, so that any ``RUN`` consecutive words lie
    inside one passage on either side.  A document passage can only hold such a run if ``RUN`` of its words in a row are words
-   of some item; other passages are left out, which loses nothing.
+   of some item; other passages are left out, which loses nothing.  A paraphrase needs no such run: for it every passage counts
+   that holds as many words of the items as the least common subsequence asked for.
 2. Passages become TF-IDF vectors over the words of the items.  A distributed randomised SVD finds a latent basis: random
    directions are multiplied by the passages' Gram matrix in the executors, partial products summed by word, and the small
    result orthogonalised; what reaches the driver is bounded by the items' vocabulary times the rank.
@@ -104,8 +105,16 @@ def transposed_times(passages: list[np.ndarray], idf: np.ndarray, matrix: np.nda
     return out
 
 
-def _cut(items_bc):
-    """Documents to their eligible passages: id, passage number, word ids (-1 outside the items' vocabulary)."""
+def least_known(passages: list[np.ndarray], lcs_share: float) -> int:
+    """The least number of words a passage must share with some item passage for a common subsequence of ``lcs_share`` of it."""
+    return min(next(k for k in range(n + 1) if k / n >= lcs_share) for n in {len(p) for p in passages})
+
+
+def _cut(items_bc, least: int | None = None):
+    """Documents to their eligible passages: id, passage number, word ids (-1 outside the items' vocabulary).
+
+    Eligible are passages in which ``RUN`` known words in a row begin or, if ``least`` is given, that hold so many known words anywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items_bc.value.word.get
@@ -113,11 +122,15 @@ def _cut(items_bc):
             ids, numbers, passages = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.array([get(w, -1) for w in words_of(text)], dtype=np.int32)
-                if len(codes) < RUN:
+                if len(codes) < (RUN if least is None else 1):
                     continue
-                # places where RUN known words in a row begin
                 outside = np.concatenate([[0], np.cumsum(codes < 0)])
-                begins = np.flatnonzero(outside[RUN:] == outside[:-RUN])
+                if least is None:  # places where RUN known words in a row begin
+                    begins = np.flatnonzero(outside[RUN:] == outside[:-RUN])
+                else:
+                    begins = np.array(starts(len(codes)))
+                    ends = np.minimum(begins + WIDTH, len(codes))
+                    begins = begins[ends - begins - (outside[ends] - outside[begins]) >= least]
                 for k in np.unique(begins // RUN).tolist():
                     ids.append(doc)
                     numbers.append(k)
@@ -186,38 +199,65 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return row.bit_count()
 
 
+class Targets:
+    """The items' passages as a matrix of word ids, to tell for many pairs at once which can pass the checks of a paraphrase."""
+
+    def __init__(self, items: Items):
+        self.words = [p.tolist() for _, p in items.passages]
+        self.absent = len(items.word)
+        self.matrix = np.full((len(self.words), WIDTH), self.absent, dtype=np.int32)
+        self.rare = np.zeros(self.matrix.shape, dtype=bool)
+        rare = np.quantile(items.idf, 0.6)
+        for k, target in enumerate(self.words):
+            self.matrix[k, : len(target)] = target
+            for at, w in enumerate(target):  # every rare word once
+                self.rare[k, at] = items.idf[w] >= rare and w not in target[:at]
+        self.length = np.array([len(t) for t in self.words])
+        self.answers = self.rare.sum(axis=1)
+
+    def possible(self, passages: list[np.ndarray], near: np.ndarray, lcs_share: float) -> Iterator[tuple[int, int]]:
+        """The pairs (passage, target) of ``near`` with enough words in common, in any order, and half the target's rare words."""
+        held = np.zeros((len(passages), self.absent + 1), dtype=bool)
+        for i, passage in enumerate(passages):
+            held[i, passage[passage >= 0]] = True
+        rows, targets = np.nonzero(near)
+        for at in range(0, len(rows), 1 << 17):
+            i, p = rows[at : at + (1 << 17)], targets[at : at + (1 << 17)]
+            common = held[i[:, None], self.matrix[p]]
+            fits = common.sum(axis=1) / self.length[p] >= lcs_share
+            i, p, common = i[fits], p[fits], common[fits]
+            fits = (common & self.rare[p]).sum(axis=1) >= 0.5 * self.answers[p]
+            yield from zip(i[fits].tolist(), p[fits].tolist(), strict=True)
+
+
 def _search(items_bc, basis_bc, exact: bool, least: float, lcs_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, basis = items_bc.value, basis_bc.value
         own = [p for _, p in items.passages]
         latent = unit(times(own, items.idf, basis)).astype(np.float32)
-        rare = np.quantile(items.idf, 0.6) if len(items.idf) else 0.0
+        targets = None if exact else Targets(items)
+        step = max(1, min(2048, (1 << 27) // len(items.word)))
         for batch in batches:
             docs, hits, scores = [], [], []
             codes = [np.asarray(p, dtype=np.int32) for p in batch.column(1).to_pylist()]
             ids = batch.column(0).to_pylist()
-            for at in range(0, len(codes), 2048):
-                part = codes[at : at + 2048]
-                cosine = unit(times(part, items.idf, basis)).astype(np.float32) @ latent.T
-                for i, passage in enumerate(part):
-                    near = np.flatnonzero(cosine[i] >= least)
-                    if not len(near):
-                        continue
-                    if exact:
-                        for item in _common_run_items(passage, items.runs) & set(items.owner[near].tolist()):
+            for at in range(0, len(codes), step):
+                part = codes[at : at + step]
+                near = unit(times(part, items.idf, basis)).astype(np.float32) @ latent.T >= least
+                if exact:
+                    for i in np.flatnonzero(near.any(axis=1)).tolist():
+                        for item in _common_run_items(part[i], items.runs) & set(items.owner[near[i]].tolist()):
                             docs.append(ids[at + i])
                             hits.append(item)
                             scores.append(1.0)
-                        continue
-                    words = passage.tolist()
-                    for p in near.tolist():
-                        target = own[p].tolist()
-                        share = lcs_length(target, words) / max(1, len(target))
-                        answer = {w for w in target if items.idf[w] >= rare}
-                        if share >= lcs_share and len(answer & set(words)) >= 0.5 * len(answer):
-                            docs.append(ids[at + i])
-                            hits.append(int(items.owner[p]))
-                            scores.append(share)
+                    continue
+                for i, p in targets.possible(part, near, lcs_share):
+                    target = targets.words[p]
+                    share = lcs_length(target, part[i].tolist()) / len(target)
+                    if share >= lcs_share:
+                        docs.append(ids[at + i])
+                        hits.append(int(items.owner[p]))
+                        scores.append(share)
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(hits, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return run
@@ -243,7 +283,8 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, exact: bool = True, least
     items_bc = spark.sparkContext.broadcast(items)
     scratch = Scratch(spark, "leaks")
     source = spread(docs.select(F.col(key).cast("bigint").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()))
-    passages = scratch.keep(source.mapInArrow(_cut(items_bc), "id bigint, passage int, codes array<int>"), "passages")
+    least_words = None if exact else least_known([p for _, p in items.passages], lcs_share)
+    passages = scratch.keep(source.mapInArrow(_cut(items_bc, least_words), "id bigint, passage int, codes array<int>"), "passages")
     basis_bc = spark.sparkContext.broadcast(latent_basis(passages, items, items_bc))
     hits = passages.select("id", "codes").mapInArrow(_search(items_bc, basis_bc, exact, least_cosine, lcs_share), schema.replace(key, "doc_id"))
     return hits.groupBy(F.col("doc_id").alias(key), "item_id").agg(F.max("share").alias("share"))

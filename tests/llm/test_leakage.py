@@ -71,6 +71,15 @@ def test_paraphrases_include_what_is_nearly_copied(spark):
     assert {r.doc_id for r in out.collect()} == {1} and out.filter(F.col("share") < 0.6).count() == 0
 
 
+def test_paraphrases_need_no_run_of_known_words(spark):
+    _, items = corpus()
+    item, words = next((i, words_of(t)) for i, t in items if len(words_of(t)) > 40)
+    changed = " ".join(w if k % 8 else "zzz9" for k, w in enumerate(words))
+    short = next(t for _, t in items if len(words_of(t)) < 12)
+    out = find_leaks(*frames(spark, [(1, changed), (2, short + " zzz9"), (3, "zzz9 " * 40)], items), exact=False).collect()
+    assert (1, item) in {(r.doc_id, r.item_id) for r in out} and {r.doc_id for r in out} == {1, 2}
+
+
 def test_empty_sides(spark):
     docs, items = corpus()
     assert find_leaks(*frames(spark, [], items)).count() == 0 and find_leaks(*frames(spark, docs[:5], [])).count() == 0
