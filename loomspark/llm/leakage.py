@@ -3,7 +3,8 @@
 1. Items and documents are cut into overlapping passages of ``WIDTH`` words, every ``RUN`` words, so that any ``RUN`` consecutive words lie
    inside one passage on either side.  A document passage can only hold such a run if ``RUN`` of its words in a row are words
    of some item; other passages are left out, which loses nothing.  A paraphrase needs no such run: for it every passage counts
-   that holds as many words of the items as the least common subsequence asked for.
+   that holds as many words of the items as the least common subsequence asked for, and it takes in the ``RUN`` words on
+   either side, so that an item's passage lies in one wherever it begins in the document, also with a dozen words inserted.
 2. Passages become TF-IDF vectors over the words of the items.  A distributed randomised SVD finds a latent basis: random
    directions are multiplied by the passages' Gram matrix in the executors, partial products summed by word, and the small
    result orthogonalised; what reaches the driver is bounded by the items' vocabulary times the rank.
@@ -113,7 +114,8 @@ def least_known(passages: list[np.ndarray], lcs_share: float) -> int:
 def _cut(items_bc, least: int | None = None):
     """Documents to their eligible passages: id, passage number, word ids (-1 outside the items' vocabulary).
 
-    Eligible are passages in which ``RUN`` known words in a row begin or, if ``least`` is given, that hold so many known words anywhere.
+    Eligible are passages in which ``RUN`` known words in a row begin or, if ``least`` is given, that hold so many known words
+    anywhere, the ``RUN`` words on either side included.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +128,15 @@ def _cut(items_bc, least: int | None = None):
                     continue
                 outside = np.concatenate([[0], np.cumsum(codes < 0)])
                 if least is None:  # places where RUN known words in a row begin
-                    begins = np.flatnonzero(outside[RUN:] == outside[:-RUN])
+                    places, margin = np.unique(np.flatnonzero(outside[RUN:] == outside[:-RUN]) // RUN), 0
                 else:
-                    begins = np.array(starts(len(codes)))
-                    ends = np.minimum(begins + WIDTH, len(codes))
-                    begins = begins[ends - begins - (outside[ends] - outside[begins]) >= least]
-                for k in np.unique(begins // RUN).tolist():
-                    ids.append(doc)
-                    numbers.append(k)
-                    passages.append(codes[k * RUN : k * RUN + WIDTH])
+                    places, margin = np.arange(len(starts(len(codes)))), RUN
+                begins, ends = np.maximum(places * RUN - margin, 0), np.minimum(places * RUN + WIDTH + margin, len(codes))
+                for k, begin, end in zip(places.tolist(), begins.tolist(), ends.tolist(), strict=True):
+                    if least is None or end - begin - (outside[end] - outside[begin]) >= least:
+                        ids.append(doc)
+                        numbers.append(k)
+                        passages.append(codes[begin:end])
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(passages, pa.list_(pa.int32()))], names=["id", "passage", "codes"])
 
     return run

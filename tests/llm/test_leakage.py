@@ -80,6 +80,16 @@ def test_paraphrases_need_no_run_of_known_words(spark):
     assert (1, item) in {(r.doc_id, r.item_id) for r in out} and {r.doc_id for r in out} == {1, 2}
 
 
+def test_paraphrases_do_not_depend_on_their_place(spark):
+    _, items = corpus()
+    item, words = next((i, words_of(t)) for i, t in items if 36 <= len(words_of(t)))
+    changed = [w if k % 4 else "zzz9" for k, w in enumerate(words[:24])]  # three quarters of a passage
+    longer = changed[:8] + ["zzz8"] * 5 + changed[8:16] + ["zzz7"] * 5 + changed[16:]
+    docs = [(100 * n + at, " ".join(["zzz6"] * at + text + ["zzz5"] * 40)) for n, text in enumerate((changed, longer)) for at in range(25)]
+    out = find_leaks(*frames(spark, docs, items), exact=False).filter(F.col("item_id") == item).collect()
+    assert {r.doc_id for r in out} == {d for d, _ in docs} and {r.share for r in out} == {0.75}
+
+
 def test_empty_sides(spark):
     docs, items = corpus()
     assert find_leaks(*frames(spark, [], items)).count() == 0 and find_leaks(*frames(spark, docs[:5], [])).count() == 0
