@@ -47,7 +47,7 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     """Root and depth of every node of ``links`` (node unique; parent null, or a node).
 
     Returns node, root, depth (bigint; -1 in or below a cycle) and, with ``with_paths``, path: the ids from the
-    root down to the node (for nodes in or below a cycle: from the cycle's first met node).  Parents that are
+    root down to the node (for nodes in or below a cycle: from the cycle's first met node), and in_cycle.  Parents that are
     no node themselves end the way up and count as roots without a row.  An empty table gives no rows.
     """
     spark = links.sparkSession
@@ -89,7 +89,13 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
         full = F.concat("path", "seg") if with_paths else F.col("seg")
         parts.append(scratch.keep(raked[r].join(above, "ptr").select("node", "root", depth.alias("depth"), full.alias("path"), F.lit(True).alias("listed")), f"found{r}"))
     out = reduce(lambda a, b: a.unionByName(b), parts).filter("listed").drop("listed")
-    return out if with_paths else out.drop("path")
+    if not with_paths:
+        return out.drop("path")
+    if core is None:
+        return out.withColumn("in_cycle", F.lit(False))
+    # the segments of the core, which may overlap, hold the nodes compressed out of the cycles too
+    cyclic = core.select(F.explode("seg").alias("node")).distinct().withColumn("in_cycle", F.lit(True))
+    return out.join(cyclic, "node", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
 
 
 def _cycle_labels(core: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,7 +117,19 @@ def _cycle_labels(core: DataFrame, scratch: Scratch) -> DataFrame:
 def descendants(paths: DataFrame) -> DataFrame:
     """All ancestor-descendant pairs from ``resolve(..., with_paths=True)``: ancestor, descendant, distance.
 
-    Its rows are the sum of all depths, which is what the result asks for; nodes in or below a cycle have none.
+    Its rows are the sum of all depths, which is what the result asks for; nodes in or below a cycle have none (as in the
+    query's SQL), ``descendant_counts`` counts those too.
     """
     rows = paths.filter("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "ancestor"))
     return rows.select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def descendant_counts(paths: DataFrame) -> DataFrame:
+    """The rows of ``resolve(..., with_paths=True)`` with n_descendants (bigint): how many other nodes have the node on their way up.
+
+    For a node of a cycle these are the rest of its cycle and all that hangs below it.
+    """
+    below = paths.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_below"))
+    around = paths.filter("depth < 0").groupBy("root").agg(F.count(F.lit(1)).alias("n_around"))
+    n = F.when(F.col("in_cycle"), F.col("n_around") - 1).otherwise(F.coalesce("n_below", F.lit(0)))
+    return paths.join(below, "node", "left").join(around, "root", "left").withColumn("n_descendants", n.cast("bigint")).drop("n_below", "n_around")

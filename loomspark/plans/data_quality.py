@@ -18,13 +18,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session with root, depth, full path from the root and the number of its descendants."""
     paths = hierarchy.resolve(hierarchy.session_links(table(spark, sf_dir, "unified_events")), with_paths=True)
-    below = hierarchy.descendants(paths).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    joined = paths.join(below, "node", "left")
-    return joined.select(F.col("node").alias("session_id"), F.col("root").alias("root_session_id"), "depth", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
+    counted = hierarchy.descendant_counts(paths)
+    return counted.select(F.col("node").alias("session_id"), F.col("root").alias("root_session_id"), "depth", F.array_join("path", "/").alias("path"), "n_descendants")
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ancestor-descendant pair with its distance."""
+    """Every ancestor-descendant pair with its distance; sessions in or below a cycle have none."""
     return hierarchy.descendants(hierarchy.resolve(hierarchy.session_links(table(spark, sf_dir, "unified_events")), with_paths=True))
 
 

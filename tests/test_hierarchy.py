@@ -1,6 +1,6 @@
 import random
 
-from loomspark.operators.hierarchy import descendants, resolve, session_links
+from loomspark.operators.hierarchy import descendant_counts, descendants, resolve, session_links
 
 
 def brute(parent):
@@ -56,6 +56,25 @@ def test_descendants(spark):
     assert sorted(map(tuple, descendants(rows).collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
 
 
+def test_descendants_in_and_below_cycles_are_counted(spark):
+    rng = random.Random(6)
+    parent = {"a": None, "b": "a", "c": "b", "d": "a"}
+    for size, tag in ((1, "w"), (2, "x"), (3, "y"), (8, "z")):
+        parent |= {f"{tag}{i}": f"{tag}{(i + 1) % size}" for i in range(size)}
+        for i in range(40):  # trees and chains below it
+            parent[f"{tag}-t{i}"] = f"{tag}-t{rng.randrange(i)}" if i > 4 else f"{tag}{rng.randrange(size)}"
+    expected = dict.fromkeys(parent, 0)
+    for node in parent:
+        above, seen = parent[node], {node}
+        while above and above not in seen:
+            seen.add(above)
+            expected[above] += 1
+            above = parent[above]
+    rows = descendant_counts(resolve(spark.createDataFrame(list(parent.items()), "node string, parent string"), with_paths=True)).collect()
+    assert {r.node: r.n_descendants for r in rows} == expected and len(rows) == len(expected)
+    assert {r.node for r in rows if r.in_cycle} == {f"{tag}{i}" for size, tag in ((1, "w"), (2, "x"), (3, "y"), (8, "z")) for i in range(size)}
+
+
 def test_unlisted_parents_end_the_way(spark):
     rows = resolve(spark.createDataFrame([("a", "gone"), ("b", "a")], "node string, parent string")).collect()
     assert sorted((r.node, r.root, r.depth) for r in rows) == [("a", "gone", 1), ("b", "gone", 2)]
