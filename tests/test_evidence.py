@@ -42,6 +42,17 @@ def test_redaction(spark):
     assert out[98] is None and out[99] == ""
 
 
+def test_typed_literals_and_their_echoes_are_redacted(spark):
+    typed = r"""write_stdin({"session_id": 7, "chars": "%s\n"})"""
+    long, short, other = "hunter2-hunter2-long", "hunter2-hunter2", "zebra.crossing+9"
+    texts = [f"before: {long}!", typed % short, typed % long, f"x{short}x and {long} 10.0.0.7", None, "", "Write_Stdin ({chars: '" + other + "\\n'})", f"({other})", "write_stdin({chars: 'ls -la\\n'})"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    out = {r.i: r.sanitized for r in sanitize.sanitize(rows).collect()}
+    hidden = "[REDACTED:TERMINAL_INPUT]"
+    assert out[0] == f"before: {hidden}!" and out[1] == out[2] == typed % hidden and out[3] == f"x{hidden}x and {hidden} [REDACTED:PRIVATE_IP]"
+    assert (out[4], out[5], out[7], out[8]) == (None, "", f"({hidden})", texts[8]) and other not in out[6]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(200)] + [("z", "z")] + [(f"h{i}", "hub") for i in range(100)] + [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(50)]
