@@ -113,12 +113,15 @@ _NOT_NAMES = set("The This That These Those It I We You They He She A An In On A
 HOME = re.compile(r"(?i:(?:/home|/Users|[a-z]:[\\/]+(?:Users|Documents and Settings)|/mnt/[a-z]/Users|\\\\[\w.\-]+\\(?:home|users))[\\/]+)(?P<n>[^\\/\n\"<>|:*?]+?)(?=[\\/]|$|\n|[ ](?=[a-z]))")
 CLIENT = re.compile(rf"[\\/](?:clients?|customers?|patients?|people|persons?|staff|employees?|kunden)[\\/](?P<n>{_NAME})(?=[\\/]|$)", re.I)
 
+_SPACE = r"[\s\x1c-\x1f]"
 #: What a row must have to hold anything at all (Java regex); each pattern above needs one of these.
 TRIGGER = (
-    r"(?iu)@|＠|%40|[\[(]\s?at\s?[\])]|\d(?:[ .\-()/]{0,2}\d){6}|\p{L}\s?\d{2}\s?\d{2}\s?\d{2}\s?\p{L}|passport|reisepass|passeport|pasaporte|护照|\d\s?(?:bis|ter|quater|[a-z])?,? \p{L}|\p{L}[.']? \d|号|"
+    rf"(?iU)@|＠|%40|[\[(]{_SPACE}?at{_SPACE}?[\])]|\d(?:[\s\x1c-\x1f.\-()/]{{0,3}}\d){{6}}|tel:\d|\p{{L}}{_SPACE}?\d{{2}}{_SPACE}?\d{{2}}{_SPACE}?\d{{2}}{_SPACE}?\p{{L}}|passport|reisepass|passeport|pasaporte|护照|"
+    r"\d\s?(?:bis|ter|quater|[a-z])?,? [\w'’\-]|[\w.,'’\-] \d|(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|travesía|carretera|glorieta|c/) |号|"
     r"signed-off|co-authored|(?:reviewed|acked|reported|written|approved|signed)[- ]by|name|nom\b|nombre|conta[ck]t|kontakt|patient|owner|author|assign|reviewer|customer|caller|姓名|联系人|患者|"
-    r"spoke|colleague|kolleg|coll[eè]gue|colega|gr[uü]ß|regards|best|cheers|thanks|cordialement|saludo|merci|[—–] |asked for|wrote|called|said|home|users|clients?|people|staff|employee|kunden|persons?"
+    r"spoke|colleague|kolleg|coll[eè]gue|colega|gr[uü]ß|regards|best|cheers|thanks|cordialement|saludo|merci|[—–] |asked for|wrote|called|said|home|users|documents and settings|clients?|people|staff|employee|kunden|persons?"
 )
+_HOMELIKE = re.compile("home|users|documents and settings", re.I)
 
 
 def _hide(text: str, start: int, end: int) -> str:
@@ -146,7 +149,7 @@ def find_spans(text: str, is_path: bool = False) -> list[tuple[str, int, int]]:
             if "://" not in left[max(0, m.start() - 12) : m.start()]:
                 take("EMAIL", *m.span())
     # names before numbers: a name may stand next to an address
-    if is_path or "sers" in text or "home" in text:
+    if is_path or _HOMELIKE.search(text):
         for m in HOME.finditer(left):
             account = m["n"].strip()
             low = account.lower()

@@ -29,6 +29,14 @@ def test_the_trigger_loses_nothing(spark):
     assert spark.createDataFrame([(t,) for t in hit], "t string").filter(~F.col("t").rlike(TRIGGER)).count() == 0
 
 
+def test_the_trigger_is_as_wide_as_the_patterns(spark):
+    texts = [("C:\\Documents and Settings\\erika\\proj", "NAME"), ("/HOME/erika/proj", "NAME"), ("C:\\USERS\\erika\\proj", "NAME"), ("Calle Mayor, 12.", "ADDRESS"), ("Calle Mayor nº12", "ADDRESS"), ("AVENIDA Sol n.º 7", "ADDRESS"), ("c/ Sol, n12", "ADDRESS"), ("Am Bach- 12, x", "ADDRESS")]
+    texts += [("+49 (0) (30) 231", "PHONE"), ("tel:1----234567", "PHONE"), ("1\t85\t03\t75\t116\t001", "ID_NUMBER"), ("９６３-２３-８９４３", "ID_NUMBER"), ("ana\u00a0(\u00a0at\u00a0)\u00a0site.example", "EMAIL"), ("QQ\u00a006\u00a013\u00a026\u00a0B", "ID_NUMBER")]
+    assert [(t, k) for t, k in texts if k not in {kind for kind, _, _ in find_spans(t)}] == []
+    rows = spark.createDataFrame([(t,) for t, _ in texts], "t string")
+    assert [r.t for r in rows.filter(~F.col("t").rlike(TRIGGER)).collect()] == []
+
+
 def _tables(spark, rows):
     return detect({"unified_events": (spark.createDataFrame(rows, "event_id string, content string, kind int, spans string"), "event_id", "content", False)})
 
