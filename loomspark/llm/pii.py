@@ -19,6 +19,7 @@ import hmac
 import re
 import unicodedata
 from functools import reduce
+from itertools import cycle
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -238,34 +239,58 @@ def _gender(title: str, core: str) -> str:
     return "f" if first.split()[0].lower().endswith(FEMALE_ENDINGS) else "m"
 
 
+#: Words of an address that may stay: of the street, before its name, after its number.
+_KEEP = {w.lower() for w in STREETS_EN} | set("calle avenida avda plaza paseo camino carrera ronda travesía carretera glorieta flat".split())
+_KEEP_ALSO = set("rue avenue boulevard impasse quai place allée chemin cours route square passage villa sentier faubourg bis ter quater de des du la le les l d au aux del los las y c n nº n° a b".split())
+_CJK_STREET = re.compile(r"[一-鿿]{2,12}(?=(?:路|街|巷|大道|胡同|弄)\d)")
+
+
 def surrogate(kind: str, value: str, key: bytes, counter: int = 0) -> str:
-    """The replacement for a value: same kind, format, script, case and (names) gender; from the keyed hash of its normal form."""
+    """The replacement for a value: same kind, format, script, case and (names) gender; from the keyed hash of its normal form.
+
+    Mail addresses, names and the names of streets grow with ``counter``, so that there are always more of them than values.
+    """
     digest = hmac.new(key, f"{kind}\0{normalise(kind, value)}\0{counter}".encode(), hashlib.sha512).digest()
-    stream = iter(digest * (len(value) // 32 + 2))
+    stream = cycle(digest)
+    cjk = lambda n: "".join(chr(0x4E00 + (next(stream) * 256 + next(stream)) % 5000) for _ in range(n))
     if kind == "EMAIL":
-        return f"{GIVEN['fm'[digest[0] % 2]][digest[1] % 24].lower()}.{SURNAMES[digest[2] % 24].lower()}{int.from_bytes(digest[3:6], 'big')}@mail.example"
+        return f"{GIVEN['fm'[digest[0] % 2]][digest[1] % 24].lower()}.{SURNAMES[digest[2] % 24].lower()}{int.from_bytes(digest[3 : 6 + counter], 'big')}@mail.example"
     if kind == "NAME":
         title = re.match(_TITLE, value)
         core = value[title.end() :] if title else value
         gender = _gender(title.group() if title else "", core)
-        given, family = GIVEN[gender][digest[0] % 24], SURNAMES[digest[1] % 24] + "".join(chr(97 + b % 26) for b in digest[2:5])
+        given, family = GIVEN[gender][digest[0] % 24], SURNAMES[digest[1] % 24] + "".join(chr(97 + b % 26) for b in digest[2 : 5 + counter])
         if re.search(r"[一-鿿]", core):
-            return "".join(chr(0x4E00 + (digest[i] * 256 + digest[i + 1]) % 5000) for i in range(0, 2 * max(2, len(core)), 2))
+            return cjk(max(2, len(core)) + counter)
         words = core.split()
         out = f"{family}, {given}" if "," in core else f"{given} {family}" if len(words) > 1 else family
         out = out.upper() if core.isupper() and len(core) > 2 else out.lower() if core.islower() else out
         return (title.group() if title else "") + out.replace(" ", "_" if "_" in core else "." if "." in core and " " not in core else " ")
 
     if kind == "ADDRESS":  # numbers and the proper part of the street's name change, the street word stays
-        keep = {w.lower() for w in STREETS_EN} | {"calle", "avenida", "plaza", "paseo", "flat"}
+        named = False
+
+        def name(word: str) -> str:
+            nonlocal named
+            named = True
+            longer = "".join(chr(97 + next(stream) % 26) for _ in range(counter))
+            return SURNAMES[next(stream) % 24] + longer + next((w for w in ("straße", "weg", "gasse") if word.endswith(w)), "")
 
         def swap(m: re.Match) -> str:
             word = m.group()
             if word.isdigit():
                 return str(next(stream) % 10)
-            return word if word.lower() in keep else SURNAMES[next(stream) % 24] + next((w for w in ("straße", "weg", "gasse") if word.endswith(w)), "")
+            return word if word.lower() in _KEEP else name(word)
+
+        def street(m: re.Match) -> str:
+            nonlocal named
+            named = True
+            return cjk(len(m.group()) + counter)
 
-        return re.sub(rf"\d|(?<!\w)[{_UP}]\w{{3,}}", swap, value)
+        out = re.sub(rf"\d|(?<!\w)[{_UP}]\w{{3,}}", swap, _CJK_STREET.sub(street, value))
+        if not named:  # a street's name of short or small words
+            out = re.sub(r"[^\W\d_]+(?!\w)", lambda m: m.group() if m.group().lower() in _KEEP | _KEEP_ALSO else name(m.group()), out)
+        return out if named else f"{out} {name('')}"
     return "".join(str(next(stream) % 10) if ch.isdigit() else chr(65 + next(stream) % 26) if kind == "ID_NUMBER" and ch.isupper() else ch for ch in value)
 
 
@@ -273,7 +298,8 @@ def surrogate_table(detected: DataFrame, key: bytes, rounds: int = 8) -> DataFra
     """kind, value, replacement of every distinct value, distinct normal forms having distinct replacements.
 
     The collision check groups replacements by their normal form; all but the first of the values that share one are derived
-    again with the next counter.  Each round only carries the values still in collision.
+    again with the next counter, until none do.  Numbers keep their digits: if more of one format are in use than can be told
+    apart, so that ``rounds`` rounds in a row bring no fewer values in collision, an error is raised.
     """
     scratch = Scratch(detected.sparkSession, "surrogates")
 
@@ -288,13 +314,19 @@ def surrogate_table(detected: DataFrame, key: bytes, rounds: int = 8) -> DataFra
     values = detected.select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct()
     values = scratch.keep(values.withColumn("normal", norm("kind", "value")), "values")
     forms = values.groupBy("kind", "normal").agg(F.min("value").alias("lead"), F.lit(0).alias("counter"))
-    for k in range(rounds):
+    k, fewest, stuck = 0, None, 0
+    while True:
         forms = scratch.keep(forms.withColumn("target", norm("kind", derive("kind", "lead", "counter"))), f"forms{k}")
         first = forms.groupBy("kind", "target").agg(F.min("normal").alias("keeps"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        clash = forms.join(first, ["kind", "target"], "left")
-        if not first.limit(1).count():
+        clashes = first.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+        if not clashes:
             break
+        fewest, stuck = (clashes, 0) if fewest is None or clashes < fewest else (fewest, stuck + 1)
+        if stuck >= rounds:
+            raise ValueError(f"{clashes} values still share a replacement after {k + 1} rounds")
+        clash = forms.join(first, ["kind", "target"], "left")
         forms = clash.select("kind", "normal", "lead", (F.col("counter") + F.when(F.col("keeps") != F.col("normal"), 1).otherwise(0)).alias("counter"))
+        k += 1
     return values.join(forms.select("kind", "normal", "counter"), ["kind", "normal"]).select("kind", "value", derive("kind", "value", "counter").alias("replacement"))
 
 

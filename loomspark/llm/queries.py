@@ -33,7 +33,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record that holds personal data, with keyed type-consistent surrogates instead."""
-    detected = _detected(spark, sf_dir)
+    detected = Scratch(spark, "detected").keep(_detected(spark, sf_dir), "detected")  # it is read twice
     return pii.redact(detected, pii.surrogate_table(detected, SURROGATE_KEY))
 
 

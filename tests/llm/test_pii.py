@@ -69,6 +69,15 @@ def test_surrogates(spark):
     assert len(texts) == 201 and not any("Bertoli" in t or "@site" in t for t in texts)
 
 
+def test_more_addresses_than_short_surrogates(spark):
+    letters = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    texts = [f"at {i % 9 + 1} Ced{w}field Road" for i, w in enumerate(letters)] + [f"{chr(0x5100 + i)}{chr(0x5200 + i)}路7号" for i in range(40)] + [f"{i % 9 + 1} rue du {w.title()}z" for i, w in enumerate(letters[:40])]
+    table = surrogate_table(_tables(spark, [(str(i), t, 0, "") for i, t in enumerate(texts)]), b"key").collect()
+    assert len(table) == 480 == len({normalise(r.kind, r.replacement) for r in table})
+    assert all(r.replacement.endswith("号") and "路" in r.replacement and r.value[:2] not in r.replacement for r in table if r.value.endswith("号"))
+    assert all(r.replacement.split()[1:3] == ["rue", "du"] and r.value.split()[3] not in r.replacement for r in table if " rue " in r.value)
+
+
 def test_formats():
     assert surrogate("PHONE", "+49 (0)30 23125 319", b"k")[0] == "+" and len(surrogate("PHONE", "617.555.0144", b"k").split(".")) == 3
     assert surrogate("NAME", "Ms. Bertoli", b"k").startswith("Ms. ") and surrogate("NAME", "ANA BERTOLI", b"k").isupper() and ", " in surrogate("NAME", "Bertoli, Ana", b"k")
