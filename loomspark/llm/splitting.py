@@ -79,9 +79,9 @@ def _prepare(vocabulary: str, limit: int, with_offsets: bool):
 
 
 def cut_pattern(limit: int) -> str:
-    """The alternation for pieces of at most ``limit`` tokens; boundaries count in the second half of a piece only."""
+    """The alternation for pieces of at most ``limit`` tokens; boundaries in the first half of a piece count if the second has none."""
     low = max(1, limit // 2)
-    cuts = [rf".{{{low},{limit}}}(?={code})" for code in STRENGTHS]
+    cuts = [rf".{{{least},{most}}}(?={code})" for least, most in ((low, limit), (1, low)) for code in STRENGTHS]
     return "|".join([rf".{{1,{limit}}}\z", *cuts, rf".{{1,{limit}}}(?!{INSIDE})", rf".{{1,{limit}}}"])
 
 

@@ -73,3 +73,13 @@ def test_boundaries_win_by_strength():
 def test_limits_are_checked(spark):
     with pytest.raises(ValueError):
         splitting.split_oversized(frame(spark, []), limit=5, overlap=5)
+
+
+def test_a_boundary_in_the_first_half_is_better_than_none():
+    import re
+
+    cut = re.compile(splitting.cut_pattern(20).replace(r"\z", r"\Z"))
+    weak, strong, plain = splitting.STRENGTHS[-1], splitting.STRENGTHS[0], splitting.NONE
+    assert len(cut.match(plain * 4 + strong + plain * 2 + weak + plain * 60).group()) == 4
+    assert len(cut.match(plain * 4 + strong + plain * 8 + weak + plain * 60).group()) == 13
+    assert len(cut.match(plain * 80).group()) == 20
