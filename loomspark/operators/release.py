@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.sanitize import CREDENTIALS, PERSONAL
 
-#: Rules a line can show by itself; those with neighbours over several lines are for ``sanitize``.
+#: Rules a line can show by itself (an object of a cookie jar needs its fields looked at, a private key shows in its first line).
 RULES = [(label, pattern) for label, pattern in [*CREDENTIALS, *PERSONAL] if label not in ("PRIVATE_KEY", "COOKIE_JAR")] + [("PRIVATE_KEY", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")]
 
 

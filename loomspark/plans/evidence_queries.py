@@ -145,6 +145,29 @@ def r_r17_placeholders(spark, sf_dir):
     return sanitize.counters(_events(spark, sf_dir), "content")
 
 
+@query()
+def r_r17_counters(spark, sf_dir):
+    """How often each redaction rule strikes in the contents."""
+    return sanitize.counters(sanitize.sanitize(_events(spark, sf_dir).select("event_id", "content")), original="content")
+
+
+@query(
+    """WITH r AS (SELECT source_file_id, line_no, min(record) AS record FROM adapter_records WHERE record IS NOT NULL GROUP BY 1, 2), k AS (SELECT unnest(json_keys(record::JSON)) AS field FROM r)
+    SELECT field, count(*) AS n FROM k WHERE regexp_matches(replace(lower(field), '-', '_'), 'token|password|cookie|secret|credential|api_key|apikey|private_key|access_key|passwd|密码|口令|密钥') GROUP BY 1"""
+)
+def r_r16_records(spark, sf_dir):
+    """Fields of the adapter records that a nested redaction hides by their name."""
+    rows = table(spark, sf_dir, "adapter_records").filter("record IS NOT NULL").groupBy("source_file_id", "line_no").agg(F.min("record").alias("record"))
+    fields = rows.select(F.explode(F.from_json(sanitize.sanitized_json("record"), "map<string,string>")).alias("field", "value"))
+    return fields.filter("value = '[REDACTED:CREDENTIAL_FIELD]'").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def r_p03_shown_paths(spark, sf_dir):
+    """The working directories as they may be shown."""
+    return table(spark, sf_dir, "raw_events").select("working_dir").distinct().select("working_dir", sanitize.display_path(F.col("working_dir")).alias("shown"))
+
+
 _FLAG_TESTS = {flag: " OR ".join(f"contains(low, '{m}')" for m in markers) for flag, markers in ev.MARKERS.items()}
 _FLAG_TESTS["runtime_injection"] += " OR " + " OR ".join(f"starts_with(low, '{m}')" for m in ev.INJECTED_STARTS)
 _FLAG_TESTS["nested_approval"] += (
@@ -152,8 +175,12 @@ _FLAG_TESTS["nested_approval"] += (
 )
 _FLAG_TESTS["compacted_summary"] = " OR ".join(f"contains(low[1:2000], '{m}')" for m in ev.COMPACTION)
 _FLAG_TESTS["synthetic_fixture"] = " OR ".join(f"starts_with(low, '{m}')" for m in ev.SYNTHETIC_STARTS) + r" OR regexp_full_match(trim(content) || ' ', 'Response \d+: (?:Answer |Detailed response )+')"
-_FLAG_TESTS["test_role"] = r"regexp_matches(content[1:2000], '(?i)\bonly (?:reply|respond) (?:with )?(?:ok|yes|no)\b|只回复\s*[`''\x22]?(?:ok|好的|是|否)|^\s*(?:you are|act as)\s+.{0,80}\n?$')"
-_FLAG_TESTS["old_memory_reference"] = r"regexp_matches(content[1:8000], '(?i)(?:^|[/\\])(?:memor(?:y|ies?)|old[-_ ]?knowledge[-_ ]?base)(?:[/\\]|\b)')"
+_ROLE_LINE = r"regexp_replace(content[1:2000], '^\s+|\n$', '', 'g')"
+_FLAG_TESTS["test_role"] = (
+    r"regexp_matches(content[1:2000], '(?i)\bonly (reply|respond) (with )?(ok|yes|no)\b') OR regexp_matches(content[1:2000], '(?i)只回复\s*[`''\x22]?(ok|好的|是|否)')"
+    rf" OR (NOT contains({_ROLE_LINE}, chr(10)) AND regexp_matches({_ROLE_LINE}, '(?i)^(you are|act as)\s') AND length(regexp_replace({_ROLE_LINE}, '(?i)^(you are|act as)\s+', '')) <= 80)"
+)
+_FLAG_TESTS["old_memory_reference"] = r"regexp_matches(content[1:8000], '(?i)(^|[/\\])(memory|memories|memorie|old[-_ ]?knowledge[-_ ]?base)([^a-z0-9_]|$)')"
 _FLAG_TESTS["binary_removed"] = "contains(content, '[BINARY_REMOVED')"
 _FLAG_TESTS["private_data_redacted"] = "contains(content, '[REDACTED:')"
 _FLAGS_SQL = (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
 from loomspark.functions import tokens as tk
-from loomspark.operators import evidence, lifecycle, ranges, retrieval, review, sanitize
+from loomspark.operators import evidence, lifecycle, ranges, retrieval, review
 
 
 def test_tokens():
@@ -27,32 +27,6 @@ def test_hashes(spark):
     assert row.h == hashlib.sha256(b"a\0None\0").hexdigest()[:16] and row.s == "my-ünit-x-" + hashlib.sha256(b"k").hexdigest()[:10] + ".md"
 
 
-def test_redaction(spark):
-    b64 = "QUJD" * 1100
-    cases = [
-        ("mail bob@site.example now", "bob@", "[REDACTED:EMAIL]"), ("/home/bob/x", "bob", "~/x"), ("/home/${USER}/x", "[RED", "${USER}"), ("C:\\Users\\Bob\\x", "Bob", "~\\x"), ("password = hunter22", "hunter22", "[REDACTED:"),
-        ("ghp_" + "a" * 30, "aaaa", "[REDACTED:GITHUB_TOKEN]"), ("https://u:secretpw@h/x", "secretpw", "[REDACTED:URI_USERINFO]"), ("ip 10.0.0.7 and 8.8.8.8", "10.0.0.7", "8.8.8.8"), ("fe80::1 here", "fe80::1", "[REDACTED:PRIVATE_IP]"),
-        ("call +49 30 123456 78", "123456", "[REDACTED:PHONE]"), ("on 2025-01-02 10:11", "[RED", "2025-01-02"), ("<think>secret</think>ok", "secret", "ok"), ("<think>open", "open", "[EXPLICIT_REASONING_REMOVED]"),
-        (f"x {b64} y", "QUJDQUJD", "[BINARY_REMOVED"), ("data:image/png;base64,QUJDQUJD", "QUJDQUJD", "kind=image/png"), ("\n".join(["QUJD" * 16] * 5), "QUJDQUJD", "base64-block"), ("a\0b", "\0", "[NUL]"), ("id 110105199003071234 x", "110105", "[REDACTED:NATIONAL_ID]"),
-    ]
-    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)] + [(98, None), (99, "")], "i int, content string")
-    out = {r.i: r.sanitized for r in sanitize.sanitize(rows).collect()}
-    for i, (_, gone, there) in enumerate(cases):
-        assert gone not in out[i] and there in out[i], (cases[i], out[i])
-    assert out[98] is None and out[99] == ""
-
-
-def test_typed_literals_and_their_echoes_are_redacted(spark):
-    typed = r"""write_stdin({"session_id": 7, "chars": "%s\n"})"""
-    long, short, other = "hunter2-hunter2-long", "hunter2-hunter2", "zebra.crossing+9"
-    texts = [f"before: {long}!", typed % short, typed % long, f"x{short}x and {long} 10.0.0.7", None, "", "Write_Stdin ({chars: '" + other + "\\n'})", f"({other})", "write_stdin({chars: 'ls -la\\n'})"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
-    out = {r.i: r.sanitized for r in sanitize.sanitize(rows).collect()}
-    hidden = "[REDACTED:TERMINAL_INPUT]"
-    assert out[0] == f"before: {hidden}!" and out[1] == out[2] == typed % hidden and out[3] == f"x{hidden}x and {hidden} [REDACTED:PRIVATE_IP]"
-    assert (out[4], out[5], out[7], out[8]) == (None, "", f"({hidden})", texts[8]) and other not in out[6]
-
-
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(200)] + [("z", "z")] + [(f"h{i}", "hub") for i in range(100)] + [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(50)]
