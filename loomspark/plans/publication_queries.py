@@ -10,6 +10,7 @@ from loomspark.operators import evidence as ev
 from loomspark.operators import lifecycle, publication, ranges, retrieval, review, snapshots
 from loomspark.plans.evidence_queries import _ONCE, _SEMANTIC, _events
 from loomspark.session import table
+from loomspark.sources import adapters
 from loomspark.streaming import ingest
 
 QUERIES = {}
@@ -48,20 +49,41 @@ def r_s07_coverage(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT source_file_id AS path, min(frozen_size) AS size, min(inode) AS inode FROM source_files GROUP BY 1), b AS (SELECT path, size, md5(coalesce(inode::VARCHAR, '')) AS sha256 FROM f WHERE path < 'e'),
-    a AS (SELECT path, size + CASE WHEN path < '4' THEN 10 ELSE 0 END AS size, CASE WHEN path < '8' THEN md5('x' || coalesce(inode::VARCHAR, '')) ELSE md5(coalesce(inode::VARCHAR, '')) END AS sha256 FROM f WHERE path > '1')
-    SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.sha256 IS NULL THEN 'added' WHEN a.sha256 IS NULL THEN 'missing' WHEN a.sha256 = b.sha256 THEN 'same' WHEN a.size > b.size AND (b.size < 65536) THEN 'appended' ELSE 'rewritten' END AS change
-    FROM b FULL OUTER JOIN a USING (path)) GROUP BY 1"""
+    """WITH f AS (SELECT source_file_id AS path, min(frozen_size) AS size, coalesce(min(inode)::VARCHAR, '') AS body FROM source_files GROUP BY 1), b AS (SELECT path, size, md5(body) AS sha256 FROM f WHERE path < 'e'),
+    a AS (SELECT path, size + CASE WHEN path < '6' THEN 10 ELSE 0 END AS size, md5(CASE WHEN path < '8' THEN 'x' ELSE '' END || body) AS sha256, md5(CASE WHEN path BETWEEN '3' AND '5' THEN 'y' ELSE '' END || body) AS prefix FROM f WHERE path > '1')
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.sha256 IS NULL THEN 'added' WHEN a.sha256 IS NULL THEN 'missing' WHEN a.sha256 = b.sha256 THEN 'same' WHEN a.size > b.size AND a.prefix = b.sha256 THEN 'appended' ELSE 'rewritten' END AS change
+    FROM b FULL OUTER JOIN a USING (path)"""
 )
 def r_i01_source_changes(spark, sf_dir):
-    """Sources added, missing, same, appended or rewritten between two snapshots made of the file table."""
-    files = table(spark, sf_dir, "source_files").groupBy(F.col("source_file_id").alias("path")).agg(F.min("frozen_size").alias("size"), F.min("inode").alias("inode"))
-    plain = F.md5(F.coalesce(F.col("inode").cast("string"), F.lit("")))
-    moved = F.md5(F.concat(F.lit("x"), F.coalesce(F.col("inode").cast("string"), F.lit(""))))
-    before = files.filter("path < 'e'").select("path", "size", plain.alias("sha256"), plain.alias("head_sha256"))
-    now = F.when(F.col("path") < "8", moved).otherwise(plain)
-    after = files.filter("path > '1'").select("path", (F.col("size") + F.when(F.col("path") < "4", 10).otherwise(0)).alias("size"), now.alias("sha256"), now.alias("head_sha256"))
-    return snapshots.source_changes(before, after).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    """Sources added, missing, same, appended or rewritten (also such as grew) between two snapshots made of the file table."""
+    files = table(spark, sf_dir, "source_files").groupBy(F.col("source_file_id").alias("path")).agg(F.min("frozen_size").alias("size"), F.coalesce(F.min("inode").cast("string"), F.lit("")).alias("body"))
+    before = files.filter("path < 'e'").select("path", "size", F.md5("body").alias("sha256"))
+    now = F.md5(F.concat(F.when(F.col("path") < "8", "x").otherwise(""), F.col("body")))
+    prefix = F.md5(F.concat(F.when(F.col("path").between("3", "5"), "y").otherwise(""), F.col("body")))
+    after = files.filter("path > '1'").select("path", (F.col("size") + F.when(F.col("path") < "6", 10).otherwise(0)).alias("size"), now.alias("sha256"), prefix.alias("prefix_sha256"))
+    return snapshots.source_changes(before, after)
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT path, lower(replace(trim(adapter), '_', '-')) AS adapter, CASE WHEN regexp_matches(path, '[0-4][^/]*$') THEN 2 ELSE 1 END AS score FROM source_files),
+    t AS (SELECT path, count(*) AS n, min(adapter) AS adapter FROM (SELECT *, rank() OVER (PARTITION BY path ORDER BY score DESC) AS place FROM s) WHERE place = 1 GROUP BY 1)
+    SELECT path, CASE WHEN n = 1 THEN adapter END AS adapter, CASE WHEN n > 1 THEN 'tie' END AS reason FROM t"""
+)
+def r_s04_identified(spark, sf_dir):
+    """The adapter of each path of the file table; paths that several claim alike have none."""
+    files = table(spark, sf_dir, "source_files")
+    scores = files.select("path", F.lower(F.replace(F.trim("adapter"), F.lit("_"), F.lit("-"))).alias("adapter"), F.when(F.col("path").rlike(r"[0-4][^/]*$"), 2).otherwise(1).alias("score")).distinct()
+    return snapshots.identified(files, scores)
+
+
+@query(
+    """WITH f AS (SELECT path, min(lower(replace(trim(adapter), '_', '-'))) AS adapter, max(frozen_size) AS size FROM source_files GROUP BY 1), k AS (SELECT unnest(['codex-jsonl', 'clacky-json', 'clacky-chunk', 'claude-code-jsonl', 'workbuddy-jsonl', 'neo-claude-jsonl', 'cursor-agent-jsonl', 'opened-later']) AS adapter),
+    g AS (SELECT adapter, count(*) AS files, sum(size) AS bytes FROM f GROUP BY 1) SELECT adapter, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, CASE WHEN files IS NULL THEN 'no_current_sample' ELSE 'found' END AS status FROM k FULL JOIN g USING (adapter)"""
+)
+def r_s13_inventory(spark, sf_dir):
+    """Files and bytes of every adapter known, and of those only the files name."""
+    files = table(spark, sf_dir, "source_files").groupBy("path").agg(F.min(F.lower(F.replace(F.trim("adapter"), F.lit("_"), F.lit("-")))).alias("adapter"), F.max("frozen_size").alias("size"))
+    return snapshots.inventory(files, [*adapters.ADAPTERS, "opened-later"])
 
 
 @query(

@@ -234,6 +234,10 @@ LINE_FORMATS: dict[str, tuple[Callable[[], Column], Callable[[], dict[str, Colum
 }
 
 
+#: The seven formats: five of lines, two of whole documents.
+ADAPTERS = (*LINE_FORMATS, "clacky-json", "clacky-chunk")
+
+
 def probe_scores(first: DataFrame) -> DataFrame:
     """path, adapter, score of files by their first record: path, v (variant of the first record), head (first lines as text)."""
     kind, has = text_at("type"), lambda p: F.expr(f"try_variant_get(v, '$.{p}', 'variant') IS NOT NULL")
@@ -322,11 +326,18 @@ def parse_clacky_json(docs: DataFrame) -> DataFrame:
 
 
 def parse_clacky_chunk(docs: DataFrame) -> DataFrame:
-    """Events of Markdown chunks: sections by speaker, with embedded calls and results.  path, value as above."""
+    """Events of Markdown chunks: sections by speaker, with embedded calls and results.  path, value as above.
+
+    What stands before the first speaker's heading (all of it, where there is none) is a section of an unknown speaker, without its front matter.
+    """
     session = F.nullif(F.regexp_extract("value", r"(?m)\A[\s\S]{0,4000}?^session_id:\s*['\"]?([^'\"\s]+)", 1), F.lit(""))
     sections = F.split(F.concat(F.lit("\n"), F.col("value")), r"(?im)^##\s+(?=(?:User|Assistant)\s*$)")
-    rows = docs.select("path", F.coalesce(session, session_from_filename(F.col("path"))).alias("session_id"), F.posexplode(sections).alias("n", "section")).filter("n > 0")
-    parts = rows.select("path", "session_id", "n", F.lower(F.regexp_extract("section", r"^(\w+)", 1)).alias("role"), F.posexplode(F.split(F.regexp_replace("section", r"^\w+[^\n]*\n?", ""), r"(?im)(?=^_Tool calls?:|^###\s+Tool Result:)")).alias("at", "part"))
+    rows = docs.select("path", F.coalesce(session, session_from_filename(F.col("path"))).alias("session_id"), F.posexplode(sections).alias("n", "section"))
+    headed = F.col("section").rlike(r"(?i)^(?:user|assistant)[ \t]*(?:\r?\n|\z)") & (F.col("n") > 0)
+    front = r"^\s*(?:---[ \t]*\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|\z)|(?:[A-Za-z_]+:[^\n]*(?:\r?\n|\z))+)"
+    rows = rows.withColumn("role", F.when(headed, F.lower(F.regexp_extract("section", r"^(\w+)", 1))).otherwise("unknown"))
+    rows = rows.withColumn("section", F.when(headed, F.regexp_replace("section", r"^\w+[^\n]*\n?", "")).otherwise(F.regexp_replace("section", front, "")))
+    parts = rows.select("path", "session_id", "n", "role", F.posexplode(F.split("section", r"(?im)(?=^_Tool calls?:|^###\s+Tool Result:)")).alias("at", "part"))
     call, result = F.regexp_extract("part", r"(?i)^_(?:Tool calls?:)?\s*(.*?)_[ \t]*(?:\n|\z)", 1), F.regexp_extract("part", r"(?i)^###\s+Tool Result:[ \t]*([^\n]+)", 1)
     is_call, is_result = F.col("part").rlike(r"(?i)^_Tool calls?:"), result != ""
     rest = F.trim(F.regexp_replace("part", r"(?i)^_Tool calls?:[^\n]*\n?", ""), F.lit(" \n\r\t"))

@@ -12,10 +12,10 @@ from loomspark.sources.lines import register
 def plan(changes: DataFrame, append_only: DataFrame, policy_changed: bool = False) -> DataFrame:
     """path, action (skip, tail, parse, keep): what to do with each source after ``snapshots.source_changes``.
 
-    A changed policy parses everything anew; a missing source keeps its rows.
+    A changed policy parses everything anew; a source that is missing, or changed while it was read, keeps its rows.
     """
     known = changes.join(append_only, "path", "left").withColumn("tail_ok", F.coalesce("append_only", F.lit(False)))
-    action = F.when(F.col("change") == "missing", "keep").when(F.lit(policy_changed), "parse").when(F.col("change") == "same", "skip").when((F.col("change") == "appended") & F.col("tail_ok"), "tail").otherwise("parse")
+    action = F.when(F.col("change").isin("missing", "unstable"), "keep").when(F.lit(policy_changed), "parse").when(F.col("change") == "same", "skip").when((F.col("change") == "appended") & F.col("tail_ok"), "tail").otherwise("parse")
     return known.select("path", "change", action.alias("action"))
 
 

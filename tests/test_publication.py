@@ -15,25 +15,43 @@ def test_candidates(spark):
 def test_snapshots_and_incremental_runs(spark, tmp_path):
     root = tmp_path / "src"
     root.mkdir()
-    for name, text in {"same": "1", "grown": "1\n", "changed": "abc", "gone": "x"}.items():
+    for name, text in {"same": "1", "grown": "1\n", "changed": "abc", "gone": "x", "rewritten and grown": "short", "shrunk": "long text"}.items():
         (root / name).write_text(text)
-    first = spark.createDataFrame(snapshots.freeze(spark, str(root)).collect())
+    frozen = snapshots.freeze(spark, str(root))
+    first = spark.createDataFrame(frozen.collect(), frozen.schema)
     (root / "grown").write_text("1\n2\n")
     (root / "changed").write_text("xyz")
+    (root / "rewritten and grown").write_text("another text")
+    (root / "shrunk").write_text("long")
     (root / "new").write_text("n")
     (root / "gone").unlink()
-    second = snapshots.freeze(spark, str(root))
+    second = snapshots.freeze(spark, str(root), first)
     changes = snapshots.source_changes(first, second)
     got = {r.path.rsplit("/", 1)[-1]: r.change for r in changes.collect()}
-    assert got == {"same": "same", "grown": "appended", "changed": "rewritten", "new": "added", "gone": "missing"}
+    assert got == {"same": "same", "grown": "appended", "changed": "rewritten", "new": "added", "gone": "missing", "rewritten and grown": "rewritten", "shrunk": "rewritten"}
     flags = second.select("path", F.col("path").endswith("grown").alias("append_only"))
     actions = {r.path.rsplit("/", 1)[-1]: r.action for r in ingest.plan(changes, flags).collect()}
-    assert actions == {"same": "skip", "grown": "tail", "changed": "parse", "new": "parse", "gone": "keep"}
+    assert actions == {"same": "skip", "grown": "tail", "changed": "parse", "new": "parse", "gone": "keep", "rewritten and grown": "parse", "shrunk": "parse"}
     assert {r.action for r in ingest.plan(changes, flags, policy_changed=True).collect()} == {"parse", "keep"}
     errors = {(r.path.rsplit("/", 1)[-1], r.message) for r in snapshots.snapshot_errors(second, first).collect()}
     assert errors == {("gone", "missing"), ("new", "unexpected")}
 
 
+def test_unstable_sources_keep_their_rows(spark):
+    rows = "path string, size bigint, sha256 string, prefix_sha256 string, stable boolean"
+    before, after = spark.createDataFrame([("a", 1, "x", None, True)], rows), spark.createDataFrame([("a", 2, "y", "x", False), ("b", 2, "y", None, False)], rows)
+    changes = snapshots.source_changes(before, after)
+    assert {r.path: r.change for r in changes.collect()} == {"a": "unstable", "b": "unstable"}
+    assert {r.action for r in ingest.plan(changes, spark.createDataFrame([("a", True)], "path string, append_only boolean"), policy_changed=True).collect()} == {"keep"}
+
+
+def test_forced_adapters(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("d",)], "path string")
+    scores = spark.createDataFrame([("a", "x", 9), ("a", "y", 5), ("b", "x", 5), ("b", "y", 5), ("c", "x", 0), ("d", "x", 1)], "path string, adapter string, score int")
+    forced = spark.createDataFrame([("a", "y"), ("d", "y")], "path string, adapter string")
+    assert sorted(map(tuple, snapshots.identified(files, scores, forced).collect())) == [("a", "y", None), ("b", None, "tie"), ("c", None, "no_adapter"), ("d", None, "forced_adapter_refused")]
+
+
 def test_merge(spark):
     schema = "path string, event_id string, project_key string, content string"
     old = spark.createDataFrame([("a", "1", "p", "x"), ("b", "2", "p", "x"), ("c", "3", "q", "x")], schema)

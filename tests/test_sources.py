@@ -130,3 +130,29 @@ def test_tie_identifies_nothing(spark):
     rows = spark.createDataFrame([("/x/.neo/projects/a.jsonl", '{"type": "session_meta", "payload": {}, "sessionId": "s", "message": {}}', '"type":"queue-operation"')], "path string, line string, head string")
     scored = adapters.probe_scores(rows.withColumn("v", F.expr("parse_json(line)")))
     assert scored.filter("score = 100").count() == 2 and adapters.identify(rows.withColumn("v", F.expr("parse_json(line)"))).count() == 0
+
+
+def test_stream_reads_rewritten_files_anew(spark, tmp_path):
+    lines.register(spark)
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+
+    def run(**files):
+        for name, text in files.items():
+            (source / f"{name}.jsonl").write_text(text)
+        stream = spark.readStream.format("session_lines").load(str(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        return sorted((r.path[-7:-6], r.byte_offset, r.line, r.rewritten) for r in rows)
+
+    first = run(a="1\n2\n", b="1\n2\n", c="1\n2\n")
+    assert len(first) == 6 and not any(r[3] for r in first)
+    again = run(a="1\n2\n3\n", b="9\n2\n3\n", c="1\n")
+    assert sorted(set(again) - set(first)) == [("a", 4, "3", False), ("b", 0, "9", True), ("b", 2, "2", True), ("b", 4, "3", True), ("c", 0, "1", True)]
+    assert run() == again
+
+
+def test_chunk_without_headings(spark):
+    rows = spark.createDataFrame([("x/t-chunk-1.md", "session_id: s1\n\njust text\nmore"), ("x/t-chunk-2.md", "before\n## User\nasked\n## Assistant\nsaid"), ("x/t-chunk-3.md", "")], "path string, value string")
+    got = sorted((r.path[-4:-3], r.session_id, r.sequence, r.role, r.content) for r in adapters.parse_clacky_chunk(rows).collect())
+    assert got == [("1", "s1", 1, "unknown", "just text\nmore"), ("2", "t", 1, "unknown", "before"), ("2", "t", 2, "user", "asked"), ("2", "t", 3, "assistant", "said")]
