@@ -1,17 +1,16 @@
 """Evaluation texts leaking into training text: latent semantic retrieval with exact and paraphrase checks.
 
 1. Items and documents are cut into overlapping passages of ``WIDTH`` words, every ``RUN`` words, so that any ``RUN`` consecutive words lie
-   inside one passage on either side.  A document passage can only hold such a run if ``RUN`` of its words in a row are words
-   of some item; other passages are left out, which loses nothing.  A paraphrase needs no such run: for it every passage counts
-   that holds as many words of the items as the least common subsequence asked for, and it takes in the ``RUN`` words on
-   either side, so that an item's passage lies in one wherever it begins in the document, also with a dozen words inserted.
+   inside one passage on either side.  What follows from the check alone is used to leave passages out: a run of ``RUN`` words needs as many
+   words of items in a row; a paraphrase needs no run, only as many words of items, anywhere in its reach, as the common subsequence asked for.
 2. Passages become TF-IDF vectors over the words of the items.  A distributed randomised SVD finds a latent basis: random
    directions are multiplied by the passages' Gram matrix in the executors, partial products summed by word, and the small
-   result orthogonalised; what reaches the driver is bounded by the items' vocabulary times the rank.
-3. Every document passage is projected and compared by cosine with all item passages (a matrix bounded by the evaluation
-   set, whose size is checked).  Pairs above ``LEAST_COSINE`` are candidates.
-4. Candidates are verified: ``RUN`` consecutive words in common (a leak), or, for paraphrases, a longest common
-   subsequence of words that covers most of the item's passage together with its numbers and rare words (the answer check).
+   result orthogonalised; what reaches the driver is bounded by the vocabulary of a block of items times the rank.
+3. Every document passage is projected and compared by cosine with all item passages: the items are a stated set of queries, taken in
+   blocks of ``BLOCK_CHARS`` characters.  Pairs above the threshold are the candidates; only they are looked at again.
+4. Each candidate pair is verified: enough words in common, then a longest common subsequence that is long enough, then either ``RUN``
+   consecutive words in common (a leak) or, for paraphrases, the item passage's numbers and rare words (the answer check).  For a paraphrase
+   the subsequence is looked for in the passage and ``RUN`` words on either side, wherever it begins.
 
 Documents are processed whole; nothing is sampled or capped.
 """
@@ -22,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from loomspark.session import Scratch, spread
 
 RUN, WIDTH, RANK = 12, 24, 96
-#: Least cosine of a candidate; low, because an exact check follows (recall against brute force is in the README).
-LEAST_COSINE = 0.15
-#: Largest evaluation set that may be handed to every task, in characters.
-MAX_ITEM_CHARS = 64_000_000
+#: Least cosine of a candidate, of leaks and of paraphrases; low, because a check follows (recall against brute force is in the README).
+LEAST_COSINE, PARAPHRASE_COSINE = 0.2, 0.25
+#: Characters of items searched at once: their vocabulary, vectors and passages are handed to every task.
+BLOCK_CHARS = 2_000_000
+#: Cells of the matrix of cosines a task holds at once.
+CELLS = 1 << 23
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,7 +52,7 @@ def starts(n: int) -> range:
 
 
 class Items:
-    """The evaluation side: vocabulary with idf, passages, and the runs of every item.  Small: ``MAX_ITEM_CHARS`` at most."""
+    """The evaluation side of a block: vocabulary with idf, and the passages of every item."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         texts = [(i, words_of(t)) for i, t in sorted(rows)]
@@ -59,15 +61,10 @@ class Items:
             for w in words:
                 self.word.setdefault(w, len(self.word))
         self.passages: list[tuple[int, np.ndarray]] = []
-        self.runs: dict[bytes, list[int]] = {}
         for item, words in texts:
             ids = np.array([self.word[w] for w in words], dtype=np.int32)
             for s in starts(len(ids)) if len(ids) else []:
                 self.passages.append((item, ids[s : s + WIDTH]))
-            for s in range(len(ids) - RUN + 1):
-                found = self.runs.setdefault(ids[s : s + RUN].tobytes(), [])
-                if item not in found:
-                    found.append(item)
         df = Counter(w for _, p in self.passages for w in set(p.tolist()))
         n = max(1, len(self.passages))
         self.idf = np.array([math.log((1 + n) / (1 + df.get(k, 0))) + 1.0 for k in range(len(self.word))])
@@ -112,16 +109,16 @@ def least_known(passages: list[np.ndarray], lcs_share: float) -> int:
 
 
 def _cut(items_bc, least: int | None = None):
-    """Documents to their eligible passages: id, passage number, word ids (-1 outside the items' vocabulary).
+    """Documents to their passages: id, word ids (-1 outside the items' vocabulary) with the margin on either side, and the length of the left margin.
 
-    Eligible are passages in which ``RUN`` known words in a row begin or, if ``least`` is given, that hold so many known words
-    anywhere, the ``RUN`` words on either side included.
+    Without ``least`` only passages in which ``RUN`` known words in a row begin, without margins; else those that hold so many known words, the
+    margins of ``RUN`` words included.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = items_bc.value.word.get
         for batch in batches:
-            ids, numbers, passages = [], [], []
+            ids, lefts, passages = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 codes = np.array([get(w, -1) for w in words_of(text)], dtype=np.int32)
                 if len(codes) < (RUN if least is None else 1):
@@ -132,16 +129,22 @@ def _cut(items_bc, least: int | None = None):
                 else:
                     places, margin = np.arange(len(starts(len(codes)))), RUN
                 begins, ends = np.maximum(places * RUN - margin, 0), np.minimum(places * RUN + WIDTH + margin, len(codes))
-                for k, begin, end in zip(places.tolist(), begins.tolist(), ends.tolist(), strict=True):
-                    if least is None or end - begin - (outside[end] - outside[begin]) >= least:
-                        ids.append(doc)
-                        numbers.append(k)
-                        passages.append(codes[begin:end])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(passages, pa.list_(pa.int32()))], names=["id", "passage", "codes"])
+                known = ends - begins - (outside[ends] - outside[begins])
+                for k in np.flatnonzero(known >= (least or 0)).tolist():
+                    ids.append(doc)
+                    lefts.append(places[k] * RUN - begins[k])
+                    passages.append(codes[begins[k] : ends[k]])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lefts, pa.int32()), pa.array(passages, pa.list_(pa.int32()))], names=["id", "left", "codes"])
 
     return run
 
 
+def _passages(batch: pa.RecordBatch, left: int, codes: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The passages of a batch, without their margins and with them."""
+    wide = [np.asarray(p, dtype=np.int32) for p in batch.column(codes).to_pylist()]
+    return [p[k : k + WIDTH] for p, k in zip(wide, batch.column(left).to_pylist(), strict=True)], wide
+
+
 def _gram_product(items_bc, matrix_bc):
     """Per partition: the partial product of the passages' Gram matrix with the broadcast matrix, a row per word."""
 
@@ -149,7 +152,7 @@ def _gram_product(items_bc, matrix_bc):
         idf, matrix = items_bc.value.idf, matrix_bc.value
         total = np.zeros(matrix.shape)
         for batch in batches:
-            passages = [np.asarray(p, dtype=np.int32) for p in batch.column(0).to_pylist()]
+            passages, _ = _passages(batch, 0, 1)
             if passages:
                 total += transposed_times(passages, idf, times(passages, idf, matrix))
         yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["word", "part"])
@@ -167,7 +170,7 @@ def latent_basis(passages: DataFrame, items: Items, items_bc, rank: int = RANK,
     for last in (False, True):
         product = transposed_times(own, items.idf, times(own, items.idf, q))
         matrix_bc = sc.broadcast(q)
-        parts = passages.select("codes").mapInArrow(_gram_product(items_bc, matrix_bc), "word int, part array<double>")
+        parts = passages.select("left", "codes").mapInArrow(_gram_product(items_bc, matrix_bc), "word int, part array<double>")
         cells = parts.select("word", F.posexplode("part").alias("k", "v")).groupBy("word", "k").agg(F.sum("v").alias("v"))
         for word, k, v in cells.toPandas().itertuples(index=False):  # width x rank numbers
             product[word, k] += v
@@ -182,11 +185,10 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
 
-def _common_run_items(codes: np.ndarray, runs: dict[bytes, list[int]]) -> set[int]:
-    found: set[int] = set()
-    for s in range(len(codes) - RUN + 1):
-        found.update(runs.get(codes[s : s + RUN].tobytes(), ()))
-    return found
+def shares_run(a: list[int], b: list[int], n: int = RUN) -> bool:
+    """Whether ``n`` consecutive known words of ``a`` are consecutive in ``b``."""
+    runs = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+    return any(tuple(a[i : i + n]) in runs for i in range(len(a) - n + 1))
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -217,76 +219,73 @@ class Targets:
         self.length = np.array([len(t) for t in self.words])
         self.answers = self.rare.sum(axis=1)
 
-    def possible(self, passages: list[np.ndarray], near: np.ndarray, lcs_share: float) -> Iterator[tuple[int, int]]:
-        """The pairs (passage, target) of ``near`` with enough words in common, in any order, and half the target's rare words."""
-        held = np.zeros((len(passages), self.absent + 1), dtype=bool)
-        for i, passage in enumerate(passages):
+    def possible(self, wide: list[np.ndarray], near: np.ndarray, least: np.ndarray, answers: float) -> Iterator[tuple[int, int]]:
+        """The pairs (passage, target) of ``near`` with ``least`` words of the target in common, in any order, and a share ``answers`` of its rare words."""
+        held = np.zeros((len(wide), self.absent + 1), dtype=bool)
+        for i, passage in enumerate(wide):
             held[i, passage[passage >= 0]] = True
         rows, targets = np.nonzero(near)
         for at in range(0, len(rows), 1 << 17):
             i, p = rows[at : at + (1 << 17)], targets[at : at + (1 << 17)]
             common = held[i[:, None], self.matrix[p]]
-            fits = common.sum(axis=1) / self.length[p] >= lcs_share
+            fits = common.sum(axis=1) >= least[p]
             i, p, common = i[fits], p[fits], common[fits]
-            fits = (common & self.rare[p]).sum(axis=1) >= 0.5 * self.answers[p]
+            fits = (common & self.rare[p]).sum(axis=1) >= answers * self.answers[p]
             yield from zip(i[fits].tolist(), p[fits].tolist(), strict=True)
 
 
-def _search(items_bc, basis_bc, exact: bool, least: float, lcs_share: float):
+def _search(items_bc, basis_bc, exact: bool, least_cosine: float, lcs_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, basis = items_bc.value, basis_bc.value
-        own = [p for _, p in items.passages]
-        latent = unit(times(own, items.idf, basis)).astype(np.float32)
-        targets = None if exact else Targets(items)
-        step = max(1, min(2048, (1 << 27) // len(items.word)))
+        latent = unit(times([p for _, p in items.passages], items.idf, basis)).astype(np.float32)
+        targets = Targets(items)
+        least = np.full(len(targets.words), RUN) if exact else np.ceil(lcs_share * targets.length - 1e-9)
+        step = max(1, min(2048, CELLS // max(len(items.word), len(targets.words))))
         for batch in batches:
             docs, hits, scores = [], [], []
-            codes = [np.asarray(p, dtype=np.int32) for p in batch.column(1).to_pylist()]
+            codes, wide = _passages(batch, 1, 2)
             ids = batch.column(0).to_pylist()
             for at in range(0, len(codes), step):
-                part = codes[at : at + step]
-                near = unit(times(part, items.idf, basis)).astype(np.float32) @ latent.T >= least
-                if exact:
-                    for i in np.flatnonzero(near.any(axis=1)).tolist():
-                        for item in _common_run_items(part[i], items.runs) & set(items.owner[near[i]].tolist()):
-                            docs.append(ids[at + i])
-                            hits.append(item)
-                            scores.append(1.0)
-                    continue
-                for i, p in targets.possible(part, near, lcs_share):
-                    target = targets.words[p]
-                    share = lcs_length(target, part[i].tolist()) / len(target)
-                    if share >= lcs_share:
+                near = unit(times(codes[at : at + step], items.idf, basis)).astype(np.float32) @ latent.T >= least_cosine
+                part = wide[at : at + step]
+                for i, p in targets.possible(part, near, least, 0.0 if exact else 0.5):
+                    target, passage = targets.words[p], part[i].tolist()
+                    common = lcs_length(target, passage)
+                    if common >= least[p] and (not exact or shares_run(target, passage)):
                         docs.append(ids[at + i])
                         hits.append(int(items.owner[p]))
-                        scores.append(share)
+                        scores.append(1.0 if exact else common / len(target))
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(hits, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, eval_items: DataFrame, exact: bool = True, least_cosine: float = LEAST_COSINE, lcs_share: float = 0.6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_leaks(
+    docs: DataFrame, eval_items: DataFrame, exact: bool = True, least_cosine: float | None = None, lcs_share: float = 0.6, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """doc_id, item_id, share of every document that leaks an item, each pair once.
 
     ``exact``: at least ``RUN`` consecutive words of the item occur consecutively (share 1).  Otherwise paraphrases: candidates whose
     longest common subsequence with an item's passage covers ``lcs_share`` of it and which hold half its rare words and
-    numbers; share is the best such cover.  Other columns are not read; null and empty texts, and items of fewer than ``RUN``
-    words, leak nothing; repeated rows change nothing; an empty table on either side gives no rows.
+    numbers; share is the best such cover.  Items of any number are searched, in blocks.  Other columns are not read; null and empty texts,
+    and items of fewer than ``RUN`` words, leak nothing; repeated rows change nothing; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
-    schema = f"{key} bigint, item_id bigint, share double"
-    rows = eval_items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"the evaluation set has {chars} characters, more than {MAX_ITEM_CHARS}: search it in parts")
+    rows = eval_items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    source = spread(docs.select(F.col(key).cast("bigint").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()))
+    cosine = least_cosine if least_cosine is not None else LEAST_COSINE if exact else PARAPHRASE_COSINE
+    found = [_block_leaks(source, rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), exact, cosine, lcs_share) for b in range(blocks)]
+    return reduce(lambda a, b: a.unionByName(b), found).groupBy(F.col("doc_id").alias(key), "item_id").agg(F.max("share").alias("share"))
+
+
+def _block_leaks(source: DataFrame, rows: DataFrame, exact: bool, least_cosine: float, lcs_share: float) -> DataFrame:
+    spark = source.sparkSession
+    schema = "doc_id bigint, item_id bigint, share double"
     items = Items([tuple(r) for r in rows.collect()])
     if not items.word:
         return spark.createDataFrame([], schema)
     items_bc = spark.sparkContext.broadcast(items)
-    scratch = Scratch(spark, "leaks")
-    source = spread(docs.select(F.col(key).cast("bigint").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()))
     least_words = None if exact else least_known([p for _, p in items.passages], lcs_share)
-    passages = scratch.keep(source.mapInArrow(_cut(items_bc, least_words), "id bigint, passage int, codes array<int>"), "passages")
+    passages = Scratch(spark, "leaks").keep(source.mapInArrow(_cut(items_bc, least_words), "id bigint, left int, codes array<int>"), "passages")
     basis_bc = spark.sparkContext.broadcast(latent_basis(passages, items, items_bc))
-    hits = passages.select("id", "codes").mapInArrow(_search(items_bc, basis_bc, exact, least_cosine, lcs_share), schema.replace(key, "doc_id"))
-    return hits.groupBy(F.col("doc_id").alias(key), "item_id").agg(F.max("share").alias("share"))
+    return passages.select("id", "left", "codes").mapInArrow(_search(items_bc, basis_bc, exact, least_cosine, lcs_share), schema)

@@ -93,7 +93,7 @@ spoken AS (
     THEN CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 1 WHEN lower(trim(role)) IN ('assistant', 'ai', 'model') THEN 2 ELSE 0 END ELSE 0 END AS who
   FROM once),
 turns AS (
-  SELECT *, lead(who) OVER (PARTITION BY logical_session_id ORDER BY sequence) AS next_who, row_number() OVER (PARTITION BY logical_session_id ORDER BY sequence) AS nth
+  SELECT *, lead(who) OVER (PARTITION BY logical_session_id ORDER BY sequence, who) AS next_who, row_number() OVER (PARTITION BY logical_session_id ORDER BY sequence, who) AS nth
   FROM (SELECT DISTINCT logical_session_id, sequence, who, content FROM spoken WHERE who > 0)),
 spoke AS (
   SELECT logical_session_id, bool_or(who = 1 AND coalesce(next_who, 1) = 1) AS missing, bool_or(nth = 1 AND who = 2) AS answer_first FROM turns GROUP BY 1),

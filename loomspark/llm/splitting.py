@@ -90,7 +90,8 @@ def piece_table(shape: Column, limit: int, overlap: int) -> Column:
     first = F.regexp_extract(shape, f"^(?:{cut_pattern(limit)})", 0)
     rest = F.regexp_extract_all(F.substring(shape, F.length(first) + 1, F.length(shape)), F.lit(f"({cut_pattern(limit - overlap)})"), F.lit(1))
     lengths = F.transform(F.concat(F.array(first), rest), lambda s: F.length(s))
-    ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n))
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
+    ends = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), add, lambda acc: acc["ends"])
     cuts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
     return F.zip_with(cuts, ends, lambda cut, end: F.struct(F.greatest(cut - overlap, F.lit(0)).alias("start"), cut.alias("cut"), end.alias("end")))
 
