@@ -1,12 +1,13 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-Rows stream in, in any order, some late, some twice.  State is kept per conversation and stretch of ``SEGMENT`` sequence numbers: the
+Rows stream in, in any order, some late, some twice.  What is buffered is, per conversation and stretch of ``SEGMENT`` sequence numbers, the
 packed (row id, sequence, speaker, content hash) of the rows seen, without their texts.  A stretch is bounded, so a conversation
-that makes up a third of all rows is many small states, not one.  The stream carries an event-time watermark; a stretch is buffered until the
-watermark has passed its last row by ``idle``, then its timeout fires: it is given out, closed, and its state removed.
+that makes up a third of all rows is many small stretches, not one.  The state's key is a bucket of some stretches, as every key costs a call; the
+number of buckets grows with the table.  The stream carries an event-time watermark; a stretch is buffered until the watermark has passed its
+last row by ``idle``, then its bucket's timeout fires: it is given out, closed, and forgotten.
 
 ``lateness`` bounds how long after later events a row may still arrive; Spark drops what is later than that (and counts it).  A finished table
-has no order of arrival, so ``run_stream`` takes the whole span of its event times as the lateness: nothing is ever late, and everything is
+has no order of arrival, so ``run_stream`` takes all the time there is as the lateness: nothing is ever late, and everything is
 buffered until a last, empty row with the time ``FOREVER`` moves the watermark past all others and closes what is open.  In an endless
 stream a stretch that goes on after it was closed is given out again, as another part; parts are merged by row id.
 
@@ -17,6 +18,7 @@ stretches before it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from loomspark.session import Scratch
 #: Sequence numbers per state; stretches (numbered below 0) that share the rows without a number.
 SEGMENT, UNNUMBERED = 1024, 256
 #: Event times (in milliseconds): from 2100 on a row counts as without a time; stretches without any close then; the row that ends a finished table
-#: is of 2261 (pandas knows no later years), so that the watermark, later by the table's span at most, is past everything.
-LAST, FOREVER = 4_102_444_800_000, 9_183_110_400_000
+#: is of 2261 (pandas knows no later years), so that the watermark, behind it by ``ALL_TIME`` (1970 to 2100), is past everything.
+LAST, FOREVER, ALL_TIME = 4_102_444_800_000, 9_183_110_400_000, "47482 days"
+#: Rows of a finished table per bucket of stretches, on average; buckets of an endless stream.
+BUCKET_ROWS, BUCKETS = 4096, 4096
 #: Spellings of the two speakers.
 SPEAKERS = {"user": 1, "human": 1, "assistant": 2, "ai": 2, "model": 2}
 
@@ -107,30 +111,40 @@ def merge(rows: np.ndarray) -> np.ndarray:
 
 
 def _keeper(idle_ms: int):
-    """The state function: buffers what arrives; when the watermark has passed the last row by ``idle_ms``, gives the stretch out and forgets it."""
+    """The state function of a bucket: buffers what arrives by stretch; gives out and forgets the stretches whose last row the watermark has passed by ``idle_ms``."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not key[0]:  # the end of a table
+        if key[0] < 0:  # the end of a table
             return
-        if state.hasTimedOut:
-            (buffer,) = state.get
+        kept: dict[str, tuple[bytes, int]] = pickle.loads(bytes(state.get[0])) if state.exists else {}  # stretch to rows, time it closes
+        arrived: dict[str, list[bytes]] = {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for stretch, packed in zip(frame["stretch"].array, frame["packed"].array, strict=True):
+                    arrived.setdefault(stretch, []).append(packed)
+        for stretch, packed in arrived.items():
+            rows = merge(np.frombuffer(kept.get(stretch, (b"",))[0] + b"".join(packed), dtype=_ROW))
+            last = int(rows["ms"].max())
+            # a stretch none of whose rows has a time stays open to the end
+            kept[stretch] = rows.tobytes(), (last or LAST) + idle_ms
+        watermark = state.getCurrentWatermarkMs()
+        closed = [stretch for stretch, (_, at) in kept.items() if at <= watermark] if state.hasTimedOut else []
+        if closed:
+            yield pd.DataFrame({"stretch": closed, "rows": [kept.pop(stretch)[0] for stretch in closed]})
+        if kept:
+            state.update((pickle.dumps(kept, pickle.HIGHEST_PROTOCOL),))
+            state.setTimeoutTimestamp(max(min(at for _, at in kept.values()), watermark + 1))
+        else:
             state.remove()
-            yield pd.DataFrame({"stretch": [key[0]], "rows": [bytes(buffer)]})
-            return
-        old = bytes(state.get[0]) if state.exists else b""
-        rows = merge(np.frombuffer(old + b"".join(b"".join(frame["packed"].array) for frame in frames), dtype=_ROW))
-        state.update((rows.tobytes(),))
-        last = int(rows["ms"].max())
-        # a stretch none of whose rows has a time stays open to the end
-        closes = last + idle_ms if last else LAST + idle_ms
-        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
 
     return run
 
 
-def conversation_stream(rows: DataFrame, lateness: str = "1 day", idle_ms: int = 1_800_000) -> DataFrame:
+def conversation_stream(rows: DataFrame, lateness: str = "1 day", idle_ms: int = 1_800_000, buckets: int = BUCKETS) -> DataFrame:
     """The stream of closed stretches (stretch, rows) of a stream of ``message_rows``; the row that ends a finished table names no stretch."""
-    return rows.withWatermark("event_time", lateness).groupBy("stretch").applyInPandasWithState(_keeper(idle_ms), "stretch string, rows binary", "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.when(F.col("stretch") == "", -1).otherwise(F.pmod(F.xxhash64("stretch"), F.lit(buckets)))
+    timed = rows.withColumn("bucket", bucket.cast("bigint")).withWatermark("event_time", lateness)
+    return timed.groupBy("bucket").applyInPandasWithState(_keeper(idle_ms), "stretch string, rows binary", "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @pandas_udf(StructType([StructField(name, _TYPES[kind]) for name, kind in map(str.split, _SUMMARY.split(", "))]))
@@ -154,9 +168,7 @@ def run_stream(spark: SparkSession, path: str, scratch: Scratch, max_bytes_per_t
     """
     table = spark.read.parquet(path)
     zones = known_zones(spark)
-    rows = message_rows(table, zones)
-    low, high = rows.agg(F.min("event_time"), F.max("event_time")).first()
-    seconds = int((high - low).total_seconds()) + 1 if low is not None else 1
+    buckets = max(1, table.count() // BUCKET_ROWS)  # a count reads no column
     folder, _, name = path.rstrip("/").rpartition("/")
     # a pattern, because the streaming source takes a plain path for a folder and a table may be a single file
     source = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(f"{folder}/{{{name}}}")
@@ -164,7 +176,7 @@ def run_stream(spark: SparkSession, path: str, scratch: Scratch, max_bytes_per_t
     ends = scratch.path("end")
     end.limit(0).write.parquet(ends)
     every = message_rows(source, zones).unionByName(spark.readStream.schema(end.schema).parquet(ends))
-    closed = conversation_stream(every, f"{seconds} seconds", idle_ms)
+    closed = conversation_stream(every, ALL_TIME, idle_ms, buckets)
     out = scratch.path("closed")
     for step in ("all rows", "the end"):
         if step == "the end":
