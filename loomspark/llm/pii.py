@@ -1,15 +1,16 @@
 """Personal information in free text: detection, typed placeholders, and keyed surrogates.
 
-Detection looks for email addresses, telephone numbers, identity numbers, street addresses and people's names.  A cheap
-test in the JVM lets through every row that could hold one (it only asks for what each pattern cannot do
-without); the spans are then found by one Arrow-batched function, in which spans found earlier hide
-their text from later kinds.
-
-Surrogate generation: every distinct (kind, normalised value) gets a replacement derived from an HMAC of the value under a
-secret key.  Replacements keep type and format: digits stay digits with their grouping, letters keep script and case,
-names are drawn from a list of their gender, titles stay, mail goes to a reserved domain.  Equal values get equal
-replacements everywhere (coreference); a collision check finds distinct values that drew the same replacement and
-derives again with the next counter until all are distinct.
+Detection looks for email addresses, telephone numbers, identity numbers, street addresses and people's names, in one Arrow-batched
+function in which spans found earlier hide their text from later kinds.  Every rule states the words or signs it can't do without; texts
+without them never meet its expression.  Names are found by a grammar: capitalised words (Latin, Cyrillic, Greek) or a Chinese family name
+with what follows, next to something only a person goes with: a title, a label, a greeting or closing, a verb of saying or meeting, a street address, a
+home directory.  Words of roles, groups and machines are no names.
+
+Surrogate generation: every distinct (kind, normal form) gets a replacement derived from an HMAC under a secret key.  Replacements keep type and
+format: numbers go through a keyed permutation of their digits and keep grouping and prefix, names are drawn from lists of their script and, where
+a title or given name tells it, gender; titles, mail notation and street words stay, mail goes to a reserved domain.  Spellings of one value get
+the same replacement in their own spelling (coreference).  The collision check looks at every spelling of every value: a replacement that two values share, or
+that is itself a value of the data, is derived again with the next counter until there is none.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import cycle
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,32 +32,53 @@ from loomspark.session import Scratch, spread
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
-# Accounts of machines and roles, street words, titles, name particles, given names by gender.
+# Accounts of machines and roles; words that are no person's; words before names; titles; name particles; Chinese family names.
 MACHINE_ACCOUNTS = set(
     "node ubuntu runner build builder vscode public shared root admin administrator jenkins default guest deploy service user users ci bot agent "
     "daemon nobody www www-data git github gitlab travis circleci codespace coder ec2-user azureuser vagrant docker postgres mysql nginx oracle hadoop "
     "spark airflow app dev test tester operator system local developer worker pi debian centos fedora jovyan sandbox workspace defaultuser public.all".split()
 )
-TITLES = "Dr Ms Mr Mrs Miss Mx Mme Mlle M Herr Frau Prof Sr Sra Srta Señor Señora Don Doña".split()
+NO_PERSON = set(
+    "team teams server servers thread threads platform build builds builder main practices practice service services system systems group groups department desk support admin administrator bot agent agents worker workers "
+    "runner pipeline project company inc ltd gmbh corp university bank office release branch module queue job jobs task tasks process manager engine cluster node database api client customer host user users assistant "
+    "everyone everybody nobody somebody anyone all world there folks sir madam friends colleagues both nothing something next test tests none null unknown todo done run keep please could would should "
+    "the this that these those it i we you they he she a an in on at to of after before why where when which what who how if and or but not no yes so as is was were are be been has have had do does did "
+    "my our your their his her its one two three first last new old many most some any each every other another".split()
+)
+#: Words that begin a sentence before a name.
+LEADING = set("yesterday today tomorrow then later finally also meanwhile when while after before because since although gestern heute hier ayer hoy вчера сегодня".split())
+TITLES = "Dr Ms Mr Mrs Miss Mx Mme Mlle M Herr Frau Prof Sr Sra Srta Señor Señora Don Doña г-н г-жа".split()
 PARTICLES = "van von der den de del la le di da dos du ten ter al bin ibn af zu".split()
-GIVEN = {
-    "f": "Alma Berit Clara Dunja Edda Freya Gilda Hanna Irma Juno Karin Lotte Mona Nora Olga Paula Runa Stina Thea Vera Wilma Xenia Ylva Zita".split(),
-    "m": "Anton Bruno Carl Dario Emil Felix Georg Hugo Ivar Jakob Klaus Leon Magnus Nestor Oskar Pavel Ruben Simon Theo Viktor Willem Xaver Yannis Zeno".split(),
-}
-FEMALE_TITLES = ("ms", "mrs", "miss", "mme", "mlle", "frau", "sra", "srta", "señora", "doña")
-MALE_TITLES = ("mr", "herr", "m", "sr", "señor", "don")
-FEMALE_ENDINGS = ("a", "e", "ine", "ouk", "or", "án", "ie")
-SURNAMES = "Abelmark Borgwyn Corvanne Dahlquist Estervald Fenwright Grauberg Holmquast Ingervold Jarlsby Kestwick Lorimont Mandeville Norbrook Ostermann Pellworth Quistgard Rothwell Sandoval Thornbury Ulvestad Vestergard Wolfhagen Ysengard".split()
-STREETS_EN = "Street St Road Rd Avenue Ave Lane Ln Close Court Ct Drive Dr Way Terrace Gardens Garden Square Crescent Hill Place Row Walk Boulevard Blvd Parade Mews Green Grove Park Quay Wharf Bridge View Rise".split()
-
-_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĹŁŃŇŌŐŘŚŠŤŪŮŰŹŻŽ"
+CJK_FAMILIES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+LABELS = (
+    "signed-off-by co-authored-by reviewed-by acked-by reported-by name fullname nom nombre contact kontakt contacto patient patientin patiente paciente owner author auteur autor assignee reviewer customer caller recipient "
+    "имя фио контакт όνομα επαφή"
+).split()
+CJK_LABELS = "姓名 联系人 患者 收件人 作者 负责人".split()
+#: What is done by, or with, a person who is named next.
+NAMED_AFTER = ["assign it to", "assign this to", "assign to", "assigned to", "assigned it to", "assigned this to", "reviewed by", "written by", "approved by", "reported by", "signed by", "spoke to", "spoke with", "talked to", "talked with", "my colleague", "our colleague", "mein kollege", "meine kollegin", "ma collègue", "mon collègue", "mi colega"]
+MET = "met meeting phoned emailed visited thanked contacted interviewed hired".split()
+SAYING = "asked wrote said called told replied answered reported presented suggested confirmed agreed joined mentioned explained emailed phoned requested proposed signed thinks says asks writes".split()
+GREETINGS = ["dear", "hi", "hello", "hey", "hallo", "liebe", "lieber", "sehr geehrte", "sehr geehrter", "cher", "chère", "bonjour", "hola", "estimado", "estimada", "querido", "querida", "уважаемый", "уважаемая"]
+CLOSINGS = ["gruß", "grüße", "viele grüße", "mit freundlichen grüßen", "regards", "kind regards", "best regards", "best", "cheers", "thanks", "cordialement", "saludos", "un saludo", "merci", "с уважением"]
+#: Street words: such as are hardly anything else, and such as need an address around them.
+STREETS, SOFT_STREETS = "Street St Road Rd Avenue Ave Lane Ln Court Ct Drive Dr Terrace Gardens Square Crescent Boulevard Blvd Mews Quay Wharf".split(), "Close Way Garden Hill Place Row Walk Parade Green Grove Park Bridge View Rise".split()
+FRENCH_STREETS = "rue avenue boulevard impasse quai place allée chemin cours route square passage villa sentier faubourg".split()
+SPANISH_STREETS = "calle avenida avda plaza paseo camino carrera ronda travesía carretera glorieta c/".split()
+OTHER_STREETS = "Via Viale Piazza Corso Largo Rua Avenida Praça Travessa ul. Ulica ulica улица ул. проспект переулок Οδός οδός".split()
+GERMAN_ENDINGS, NORTHERN_ENDINGS = "straße strasse str. weg gasse platz allee ufer damm ring markt".split(), "gatan vägen gade vej straat laan plein gracht katu veien".split()
+
+_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĹŁŃŇŌŐŘŚŠŤŪŮŰŹŻŽА-ЯЁЄІЇҐΑ-ΩΆΈΉΊΌΎΏ"
+_any = lambda words: "(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
 _WORD = rf"[{_UP}][\w'’\-]*"
-_TITLE = rf"(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s+)"
-_PART = rf"(?:(?:{'|'.join(PARTICLES)})\s+)"
-_NAME = rf"{_TITLE}?(?:{_PART}*)(?:{_WORD}|[{_UP}]\.)(?:(?:,?[ \t]+|\.[ \t]+){_PART}*{_WORD}){{0,3}}"
+_TITLE = rf"(?:{_any(TITLES)}\.?\s+)"
+_PART = rf"(?:{_any(PARTICLES)}\s+)"
+_CORE = rf"(?:{_PART}*)(?:{_WORD}|[{_UP}]\.)(?:(?:,?[ \t]+|\.[ \t]+){_PART}*{_WORD}){{0,3}}"
+_NAME = rf"{_TITLE}?{_CORE}"
+#: The same in plain order and at least two words: for places where one capitalised word says too little.
+_FULL = rf"{_TITLE}?(?:{_WORD}|[{_UP}]\.)(?:[ \t]+{_PART}*{_WORD}){{1,3}}"
 _AT = r"(?:@|＠|%40|\s?[\[(]\s?at\s?[\])]\s?)"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)"
-
 PLACEHOLDER = re.compile(r"\[(?:REDACTED|EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)[^\]\n]{0,40}\]|<[A-Za-z_ ]{1,30}>|\$\{?\w+\}?|%[A-Z]+%|\{\{\w+\}\}")
 #: What looks like personal data but is none: hidden before the numbers are looked for.
 NOISE = re.compile(
@@ -89,40 +111,59 @@ PHONE = re.compile(
     r")(?![\w]|[\-.]\d)"
 )
 _STREET_NAME = rf"(?:[{_UP}][\w'’\-]*[ ]){{1,3}}"
+_BIG_STREET = rf"(?<!\w)[{_UP}][\w\-]*"
+_HOUSE = r"\d{1,4}(?:[ ]?[a-z])?\b"
+#: Where a house number may begin, and end, if the street word is also something else.
+_AROUND = (r"(?:(?<=^)|(?<=[\n:=,;(\"])|(?<=[:=,;.] )|(?<= at )|(?<= to )|(?<= in )|(?<= is )|(?<= from )|(?<= near )|(?<=^at )|(?<=^to ))", r"(?=\s*(?:$|[,\n;)\"]|\.(?:\s|$)))")
 ADDRESS = re.compile(
     "|".join(
         [
-            rf"(?:Flat[ ]\d{{1,4}}[a-z]?,[ ])?(?<![\d.])\d{{1,5}}[ ]?[a-z]?,?[ ]{_STREET_NAME}(?i:{'|'.join(STREETS_EN)})\b\.?",
-            rf"(?<!\w)[{_UP}][\w\-]*(?:[Ss]tra(?:ß|ss)e|STRA(?:ß|SS)E|[Ss]tr\.|weg|gasse|platz|allee|ufer|damm|ring|markt)[ ]\d{{1,4}}[ ]?[a-z]?\b",
-            rf"(?<!\w)[{_UP}][\w\-]*[ ](?:Stra(?:ß|ss)e|STRA(?:ß|SS)E|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring)[ ]\d{{1,4}}[ ]?[a-z]?\b",
-            rf"(?<!\w)(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den|Hinter dem|AM|IM)[ ](?:[A-Za-zÄÖÜäöüß]+[ ])?[{_UP}][\w\-]+[ ]\d{{1,4}}[ ]?[a-z]?\b(?=,|$|\n|[ ]in\b)",
-            r"(?<![\d.])\d{1,5}(?:[ ]?(?:bis|ter|quater|[A-D])\b)?,?[ ](?i:rue|avenue|boulevard|impasse|quai|place|allée|chemin|cours|route|square|passage|villa|sentier|faubourg)[ ](?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les|aux?)[ ]?)?[\w'’\-]+",
-            rf"(?<!\w)(?i:calle|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|travesía|carretera|glorieta|c/)[ ](?:[\w'’\-]+[ ]){{0,4}}[\w'’\-]+,?[ ](?:n[.º°]*[ ]?)?\d{{1,4}}\b",
+            rf"(?:Flat[ ]\d{{1,4}}[a-z]?,[ ])?(?<![\d.])\d{{1,5}}[ ]?[a-z]?,?[ ]{_STREET_NAME}(?i:{'|'.join(STREETS)})\b\.?",
+            rf"(?:Flat[ ]\d{{1,4}}[a-z]?,[ ])(?<![\d.])\d{{1,5}}[ ]?[a-z]?,?[ ]{_STREET_NAME}(?i:{'|'.join(SOFT_STREETS)})\b",
+            rf"{_AROUND[0]}(?<![\d.])\d{{1,5}}[ ]?[a-z]?,?[ ]{_STREET_NAME}(?i:{'|'.join(SOFT_STREETS)})\b{_AROUND[1]}",
+            rf"(?<=[/\\])\d{{1,5}}[ ]?[a-z]?,?[ ]{_STREET_NAME}(?i:{'|'.join(SOFT_STREETS)})\b",  # a folder of an address
+            rf"{_BIG_STREET}(?i:{'|'.join(map(re.escape, GERMAN_ENDINGS + NORTHERN_ENDINGS))})[ ]{_HOUSE}",
+            rf"{_BIG_STREET}[ ](?:Stra(?:ß|ss)e|STRA(?:ß|SS)E|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring)[ ]{_HOUSE}",
+            rf"(?<!\w)(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den|Hinter dem|AM|IM)[ ](?:[A-Za-zÄÖÜäöüß]+[ ])?[{_UP}][\w\-]+[ ]{_HOUSE}(?=,|$|\n|[ ]in\b)",
+            rf"(?<![\d.])\d{{1,5}}(?:[ ]?(?:bis|ter|quater|[A-D])\b)?,?[ ](?i:{'|'.join(FRENCH_STREETS)})[ ](?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les|aux?)[ ]?)?[\w'’\-]+",
+            rf"(?<!\w)(?i:{'|'.join(map(re.escape, SPANISH_STREETS))})\.?[ ](?:[\w'’\-]+[ ]){{0,4}}[\w'’\-]+,?[ ](?:n[.º°]*[ ]?)?\d{{1,4}}\b",
+            rf"(?<!\w)(?:{'|'.join(map(re.escape, OTHER_STREETS))})[ ](?:(?:{_WORD}|{'|'.join(PARTICLES)}|dei|delle|della|degli)[ ])*{_WORD},?[ ](?:n[.º°]*[ ]?)?{_HOUSE}",
             r"[一-鿿]{2,12}(?:路|街|巷|大道|胡同|弄)\d{1,5}(?:弄\d+)?号",
         ]
     )
 )
-_END = r"(?=\s*(?:$|[\n.,;<(\"'）)，。；]|\byesterday\b|\bwrote\b|\basked\b))"
-NAME_IN_TEXT = [
-    re.compile(rf"(?<!\w)(?i:signed-off-by|co-authored-by|reviewed-by|acked-by|reported-by|name|full name|nom|nombre|contact|kontakt|patient|patientin|owner|author|assignee|reviewer|customer|caller|姓名|联系人|患者)[ ]?[:=：][ ]?\"?(?P<n>{_NAME})"),
-    re.compile(rf"(?i:assign(?:ed)?(?: it| this)? to|reviewed by|written by|approved by|reported by|signed by|spoke (?:to|with)|my colleague|our colleague|mein kollege|meine kollegin|ma collègue|mon collègue|mi colega)[ ](?P<n>{_NAME})"),
-    re.compile(rf"(?i:gruß|grüße|viele grüße|regards|best|cheers|thanks|cordialement|saludos|un saludo|merci),?[ \n](?P<n>{_NAME})\s*(?=$|\n)", re.M),
-    re.compile(rf"(?<![\w—])[—–][ ](?P<n>{_NAME})\s*(?=$|\n)", re.M),
-    re.compile(rf"(?<![\w.])(?P<n>{_NAME})[ ](?i:asked for this|wrote the first|wrote to|called (?:me|us)|said (?:that|so))"),
+
+
+def _needs(words: list[str], pattern: str, flags: int = 0) -> tuple[tuple[str, ...], re.Pattern]:
+    """A rule, with the lower-case words one of which a text must hold to match it."""
+    return tuple(w.lower() for w in words), re.compile(pattern, flags)
+
+
+_HAN = rf"[{CJK_FAMILIES}][一-鿿]{{1,2}}"
+NAME_RULES = [
+    _needs(LABELS, rf"(?<![\w])(?i:full[ ]name|{'|'.join(map(re.escape, LABELS))})[ ]?[:=：][ ]?\"?(?P<n>{_NAME})"),
+    _needs(CJK_LABELS, rf"(?:{'|'.join(CJK_LABELS)})[ ]?[:=：]?[ ]?(?P<n>[一-鿿·]{{2,8}}(?=$|[\s,;，。；、)）])|{_NAME})", re.M),
+    _needs(NAMED_AFTER, rf"(?i:{_any(NAMED_AFTER)})[ ](?P<n>{_NAME})"),
+    _needs(CLOSINGS, rf"(?i:(?<!\w){_any(CLOSINGS)})(?:,[ \n]|\n)(?P<n>{_NAME})\s*(?=$|\n)", re.M),
+    _needs(GREETINGS, rf"(?im:^(?:[>\s]*){_any(GREETINGS)})[ ](?P<n>{_NAME})(?=\s*[,!:\n])", re.M),
+    _needs(["— ", "– "], rf"(?<![\w—])[—–][ ](?P<n>{_NAME})\s*(?=$|\n)", re.M),
+    _needs([f" {v}" for v in SAYING], rf"(?<![\w.])(?P<n>{_NAME})[ ]{_any(SAYING)}[ ](?:for|to|me|us|that|so|the|a|an|this|it|about|if|whether|why)\b"),
+    _needs([f"{v} " for v in MET], rf"(?i:(?<!\w){_any(MET)})[ ](?:with[ ])?(?P<n>{_FULL})"),
+    _needs([f"{t}{end}" for t in TITLES if len(t) > 1 for end in (" ", ".")], rf"(?<![\w.])(?P<n>{_any([t for t in TITLES if t not in ('M', 'Miss')])}\.?[ ]{_CORE})"),
+    _needs(["先生", "女士", "小姐", "老师"], rf"(?P<n>{_HAN})(?=先生|女士|小姐|老师)"),
 ]
-_NOT_NAMES = set("The This That These Those It I We You They He She A An In On At After Before Why Where When Which Both Run Keep Done Next Nothing Please Could Counted Observed Digest Test None Null N/A Unknown Todo".split())
+_BEFORE_ADDRESS = re.compile(rf"(?:^|[\n.?!。？！]\s?|\s)(?P<n>{_NAME}),?\s(?:Flat[ ]\d+\w?,[ ])?$")
 HOME = re.compile(r"(?i:(?:/home|/Users|[a-z]:[\\/]+(?:Users|Documents and Settings)|/mnt/[a-z]/Users|\\\\[\w.\-]+\\(?:home|users))[\\/]+)(?P<n>[^\\/\n\"<>|:*?]+?)(?=[\\/]|$|\n|[ ](?=[a-z]))")
 CLIENT = re.compile(rf"[\\/](?:clients?|customers?|patients?|people|persons?|staff|employees?|kunden)[\\/](?P<n>{_NAME})(?=[\\/]|$)", re.I)
+_SERVICE = re.compile(r"(?:^|[-_])(?:bot|ci|svc|service|runner|agent|daemon)(?:$|[-_\d])")
+_HOMES, _AT_SIGN = ("home", "users", "documents and settings"), re.compile(r"[@＠]|%40|at\s?[\])]")
+_FIVE_DIGITS, _DIGIT = re.compile(r"(?:\d[\s.\-()/]{0,3}){5}"), re.compile(r"\d")
 
-_SPACE = r"[\s\x1c-\x1f]"
-#: What a row must have to hold anything at all (Java regex); each pattern above needs one of these.
-TRIGGER = (
-    rf"(?iU)@|＠|%40|[\[(]{_SPACE}?at{_SPACE}?[\])]|\d(?:[\s\x1c-\x1f.\-()/]{{0,3}}\d){{6}}|tel:\d|\p{{L}}{_SPACE}?\d{{2}}{_SPACE}?\d{{2}}{_SPACE}?\d{{2}}{_SPACE}?\p{{L}}|passport|reisepass|passeport|pasaporte|护照|"
-    r"\d\s?(?:bis|ter|quater|[a-z])?,? [\w'’\-]|[\w.,'’\-] \d|(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|travesía|carretera|glorieta|c/) |号|"
-    r"signed-off|co-authored|(?:reviewed|acked|reported|written|approved|signed)[- ]by|name|nom\b|nombre|conta[ck]t|kontakt|patient|owner|author|assign|reviewer|customer|caller|姓名|联系人|患者|"
-    r"spoke|colleague|kolleg|coll[eè]gue|colega|gr[uü]ß|regards|best|cheers|thanks|cordialement|saludo|merci|[—–] |asked for|wrote|called|said|home|users|documents and settings|clients?|people|staff|employee|kunden|persons?"
-)
-_HOMELIKE = re.compile("home|users|documents and settings", re.I)
+
+def is_person(words: list[str]) -> bool:
+    """Whether capitalised words can be a person's name: none of them is a word of roles, groups, machines or grammar."""
+    whole = [w for w in words if len(w.strip(".")) > 1]  # initials are letters, whatever words they look like
+    return bool(whole) and not any(w.lower().strip(".") in NO_PERSON for w in whole)
 
 
 def _hide(text: str, start: int, end: int) -> str:
@@ -135,9 +176,11 @@ def find_spans(text: str, is_path: bool = False) -> list[tuple[str, int, int]]:
     ``is_path`` adds what only directories have: account folders of home directories and client folders.
     """
     spans: list[tuple[str, int, int]] = []
-    left = text
-    for m in list(PLACEHOLDER.finditer(left)):
-        left = _hide(left, *m.span())
+    left, low = text, text.lower()
+    holds = lambda needles: any(n in low for n in needles)
+    if any(ch in text for ch in "[<$%{"):
+        for m in list(PLACEHOLDER.finditer(left)):
+            left = _hide(left, *m.span())
 
     def take(kind: str, start: int, end: int) -> None:
         nonlocal left
@@ -145,41 +188,47 @@ def find_spans(text: str, is_path: bool = False) -> list[tuple[str, int, int]]:
             spans.append((kind, start, end))
             left = _hide(left, start, end)
 
-    for pattern in (EMAIL, EMAIL_PATH):
-        for m in pattern.finditer(left):
-            if "://" not in left[max(0, m.start() - 12) : m.start()]:
-                take("EMAIL", *m.span())
+    if _AT_SIGN.search(low):
+        for pattern in (EMAIL, EMAIL_PATH):
+            for m in pattern.finditer(left):
+                if "://" not in left[max(0, m.start() - 12) : m.start()]:
+                    take("EMAIL", *m.span())
     # names before numbers: a name may stand next to an address
-    if is_path or _HOMELIKE.search(text):
+    if holds(_HOMES):
         for m in HOME.finditer(left):
             account = m["n"].strip()
-            low = account.lower()
-            if account and low not in MACHINE_ACCOUNTS and not re.search(r"(?:^|[-_])(?:bot|ci|svc|service|runner|agent|daemon)(?:$|[-_\d])", low) and re.search(r"[^\W\d_]{2}", account) and "\u0000" not in account:
+            lowered = account.lower()
+            if account and lowered not in MACHINE_ACCOUNTS and not _SERVICE.search(lowered) and re.search(r"[^\W\d_]{2}", account) and "\u0000" not in account:
                 take("NAME", m.start("n"), m.start("n") + len(m["n"].rstrip()))
     if is_path:
         for m in CLIENT.finditer(left):
             take("NAME", *m.span("n"))
-    for m in ADDRESS.finditer(left):
-        take("ADDRESS", *m.span())
-        before = re.search(rf"(?:^|[\n.?!。？！]\s?|\s)(?P<n>{_NAME}),?\s(?:Flat[ ]\d+\w?,[ ])?$", left[: m.start()])
-        if before and not is_path and before["n"].split()[0].strip(",") not in _NOT_NAMES and re.search(r",\s", left[before.start("n") : m.start()]):
-            take("NAME", *before.span("n"))
-    for pattern in NAME_IN_TEXT:
-        for m in pattern.finditer(left):
-            words = m["n"].replace(",", " ").split()
-            if words and words[0] not in _NOT_NAMES and any(ch.islower() or ch.isupper() for ch in m["n"]):
-                take("NAME", *m.span("n"))
-    noise = left
-    for m in list(NOISE.finditer(noise)):
-        noise = _hide(noise, *m.span())
-    for kind, pattern in (("ID_NUMBER", ID_NUMBER), ("PHONE", PHONE)):
-        for m in pattern.finditer(noise):
-            digits = sum(ch.isdigit() for ch in m.group())
-            if kind == "PHONE" and not 7 <= digits <= 15:
-                continue
-            if "\u0000" not in left[m.start() : m.end()]:
-                take(kind, *m.span())
-                noise = _hide(noise, *m.span())
+    if _DIGIT.search(text):
+        for m in ADDRESS.finditer(left):
+            take("ADDRESS", *m.span())
+            before = None if is_path else _BEFORE_ADDRESS.search(left[max(0, m.start() - 160) : m.start()])
+            if before and is_person(before["n"].replace(",", " ").split()) and re.search(r",\s", before.group()):
+                shift = max(0, m.start() - 160)
+                take("NAME", shift + before.start("n"), shift + before.end("n"))
+    for needles, pattern in NAME_RULES:
+        if holds(needles):
+            for m in pattern.finditer(left):
+                start, words = m.start("n"), m["n"].replace(",", " ").split()
+                while len(words) > 1 and words[0].lower() in LEADING:
+                    start = left.index(words[1], start + len(words.pop(0)))
+                if is_person(words):
+                    take("NAME", start, m.end("n"))
+    if _FIVE_DIGITS.search(text):
+        noise = left
+        for m in list(NOISE.finditer(noise)):
+            noise = _hide(noise, *m.span())
+        for kind, pattern in (("ID_NUMBER", ID_NUMBER), ("PHONE", PHONE)):
+            for m in pattern.finditer(noise):
+                if kind == "PHONE" and not 7 <= sum(ch.isdigit() for ch in m.group()) <= 15:
+                    continue
+                if "\u0000" not in left[m.start() : m.end()]:
+                    take(kind, *m.span())
+                    noise = _hide(noise, *m.span())
     return sorted(spans, key=lambda s: s[1])
 
 
@@ -205,7 +254,7 @@ def detect(tables: dict[str, tuple[DataFrame, str, str, bool]]) -> DataFrame:
         df.select(F.lit(name).alias("record_table"), F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"), F.lit(is_path).alias("is_path"))
         for name, (df, key, text, is_path) in tables.items()
     ]
-    rows = reduce(lambda a, b: a.unionByName(b), [spread(p) for p in parts]).filter(F.col("record_id").isNotNull() & F.col("text").rlike(TRIGGER))
+    rows = reduce(lambda a, b: a.unionByName(b), [spread(p) for p in parts]).filter(F.col("record_id").isNotNull() & (F.col("text") != ""))
     return rows.withColumn("spans", _spans_once("text", "is_path")).filter("size(spans) > 0").drop("is_path")
 
 
@@ -214,120 +263,266 @@ def found(detected: DataFrame) -> DataFrame:
     return detected.select("record_table", "record_id", F.explode(F.array_distinct(F.col("spans.kind"))).alias("kind")).distinct()
 
 
+_LABEL = re.compile(r"(?i)^(?:passport|reisepass|passeport|pasaporte|护照)\s*(?:no\.?|nr\.?|number|num\.?|n[°º]|#|号码?)?\s*[:：#]?\s*")
+_TRUNK = re.compile(r"\(0\)")
+
+
 def normalise(kind: str, value: str) -> str:
     """The value as it counts for coreference: spelling variants of one value are equal."""
     text = unicodedata.normalize("NFKC", value)
     if kind == "EMAIL":
-        text = re.sub(r"(?i)^mailto:", "", text)
-        text = re.sub(r"(?i)%40|\s?[\[(]\s?at\s?[\])]\s?", "@", text)
-        return re.sub(r"(?i)\s?[\[(]\s?dot\s?[\])]\s?", ".", text).lower()
-    if kind in ("PHONE", "ID_NUMBER"):
-        digits = re.sub(r"[^0-9A-Za-z+]", "", re.sub(r"(?i)^tel:|\(0\)|passport\s*no\.?", "", text)).upper()
+        text = re.sub(_AT, "@", re.sub(r"(?i)^mailto:", "", text), flags=re.I)
+        return re.sub(_DOT, ".", text, flags=re.I).lower()
+    if kind == "PHONE":
+        digits = re.sub(r"[^0-9+]", "", _TRUNK.sub("", text))
         return re.sub(r"^00", "+", digits)
+    if kind == "ID_NUMBER":
+        return re.sub(r"[^0-9A-Z]", "", _LABEL.sub("", text).upper())
     if kind == "NAME":
-        text = re.sub(_TITLE, "", text + " ").strip()
+        text = re.sub(rf"^{_TITLE}", "", text + " ").strip()
         a, comma, b = text.partition(",")
-        return " ".join((f"{b} {a}" if comma else text).lower().split())
-    return " ".join(text.lower().split())
+        return " ".join((f"{b} {a}" if comma else text).casefold().split())
+    return " ".join(text.casefold().split())
+
+
+# Names to draw from by script and gender (n: it isn't known), and names that tell a gender.
+DRAWN = {
+    "latin": {
+        "f": "Alma Berit Clara Dunja Edda Freya Gilda Hanna Irma Juno Karin Lotte Mona Nora Olga Paula Runa Stina Thea Vera Wilma Xenia Ylva Zita".split(),
+        "m": "Anton Bruno Carl Dario Emil Felix Georg Hugo Ivar Jakob Klaus Leon Magnus Nestor Oskar Pavel Ruben Simon Theo Viktor Willem Xaver Yannis Zeno".split(),
+        "n": "Ariel Blake Charlie Devin Eden Finley Gray Harper Indigo Jules Kit Lennox Morgan Noel Oakley Peyton Quinn Robin Sasha Toni Umber Val Winter Zion".split(),
+        "family": "Abelmark Borgwyn Corvanne Dahlquist Estervald Fenwright Grauberg Holmquast Ingervold Jarlsby Kestwick Lorimont Mandeville Norbrook Ostermann Pellworth Quistgard Rothwell Sandoval Thornbury Ulvestad Vestergard Wolfhagen Ysengard".split(),
+    },
+    "cyrillic": {
+        "f": "Алина Вера Дарина Злата Инна Карина Лада Мила".split(), "m": "Антон Богдан Виктор Глеб Денис Захар Кирилл Матвей".split(), "n": "Женя Мика Паша Саша Слава Тоня Шура Юля".split(),
+        "family": "Белогорск Ветлужан Громовец Добринец Заречник Каменец Лесовик Озерецк".split(),
+    },
+    "greek": {
+        "f": "Αλίκη Δάφνη Ελπίδα Ηρώ Καλλιόπη Λυδία Μυρτώ Ροδάνθη".split(), "m": "Άγγελος Βίκτωρ Γιάννης Θέμης Ίωνας Κίμων Λέανδρος Ορέστης".split(), "n": "Άρτεμις Βάιος Δάμων Ήλιος Ίρις Λητώ Νιόβη Φαίδων".split(),
+        "family": "Αμπελάς Βρυώνης Γαλανός Δροσινός Ελατός Καλαμάς Λειβαδάς Πεύκος".split(),
+    },
+}
+GENDERED = {
+    "f": "anna maria ruth beatrix ingrid elena sofia julia laura sarah emma lena greta ines ilse leila aiko yuki noor élodie anouk siobhán zanele marta tamsin claire camille agnes helen karen susan linda mary elizabeth jennifer patricia carmen pilar lucía irene olga vera мария анна елена ольга наталья ирина татьяна μαρία ελένη κατερίνα".split(),
+    "m": "thomas luca andrea peter paul hans jonas nils mateo dmitri kwame chidi tomás john james robert michael david richard charles joseph daniel mark george kenneth carlos juan josé luis pedro pierre jean jacques klaus jürgen otto иван пётр сергей алексей дмитрий николай γιώργος νίκος δημήτρης".split(),
+}
+FEMALE_TITLES, MALE_TITLES = "ms mrs miss mme mlle frau sra srta señora doña г-жа".split(), "mr herr m sr señor don г-н".split()
+#: Words of an address that stay.
+STAYING = {w.lower().strip(".") for w in [*STREETS, *SOFT_STREETS, *FRENCH_STREETS, *SPANISH_STREETS, *OTHER_STREETS, *GERMAN_ENDINGS, *PARTICLES]} | set("flat bis ter quater des les l d au aux del los las y c n nº n° a b am an im in zum zur auf dem unter den hinter dei delle della degli".split())
+_SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}
+_GIVEN_HAN = "安博晨丹恩芳刚海嘉凯兰明宁平庆瑞思婷文晓雅云泽志佳军丽敏琪然诗涛伟欣阳莹"
+_CJK_STREET = re.compile(r"[一-鿿]{2,12}(?=(?:路|街|巷|大道|胡同|弄)\d)")
 
 
-def _gender(title: str, core: str) -> str:
-    title = title.strip(". ").lower()
+def script_of(text: str) -> str:
+    """latin, cyrillic, greek, han or other, by the first letter."""
+    letter = next((ch for ch in text if ch.isalpha()), "a")
+    name = unicodedata.name(letter, "")
+    return next((s for s in ("latin", "cyrillic", "greek") if name.startswith(s.upper())), "han" if name.startswith("CJK") else "other")
+
+
+def gender_of(title: str, core: str) -> str:
+    """f or m where a title or a given name tells it, else n."""
+    title = title.strip(". \t").lower()
     if title in FEMALE_TITLES or title in MALE_TITLES:
         return "f" if title in FEMALE_TITLES else "m"
-    first = core.partition(",")[2].strip() or core
-    return "f" if first.split()[0].lower().endswith(FEMALE_ENDINGS) else "m"
+    first = (core.partition(",")[2].strip() or core).split()
+    return next((g for g, names in GENDERED.items() if first and first[0].casefold() in names), "n")
 
 
-#: Words of an address that may stay: of the street, before its name, after its number.
-_KEEP = {w.lower() for w in STREETS_EN} | set("calle avenida avda plaza paseo camino carrera ronda travesía carretera glorieta flat".split())
-_KEEP_ALSO = set("rue avenue boulevard impasse quai place allée chemin cours route square passage villa sentier faubourg bis ter quater de des du la le les l d au aux del los las y c n nº n° a b".split())
-_CJK_STREET = re.compile(r"[一-鿿]{2,12}(?=(?:路|街|巷|大道|胡同|弄)\d)")
+def _stream(key: bytes, *parts: object) -> Iterator[int]:
+    """Keyed bytes without end."""
+    block = 0
+    while True:
+        yield from hmac.new(key, "\0".join(map(str, (*parts, block))).encode(), hashlib.sha512).digest()
+        block += 1
+
+
+def permuted(symbols: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of the sequences of these radices: different sequences never come out alike (Feistel rounds over two halves)."""
+    half = (len(radices) + 1) // 2
+
+    def pack(values: list[int], sizes: list[int]) -> tuple[int, int]:
+        number, size = 0, 1
+        for v, r in zip(values, sizes, strict=True):
+            number, size = number * r + v, size * r
+        return number, size
+
+    def unpack(number: int, sizes: list[int]) -> list[int]:
+        out = []
+        for r in reversed(sizes):
+            number, v = divmod(number, r)
+            out.append(v)
+        return out[::-1]
+
+    (left, a), (right, b) = pack(symbols[:half], radices[:half]), pack(symbols[half:], radices[half:])
+    for n in range(8):
+        digest = hmac.new(key, f"{tweak}\0{radices}\0{n}\0{right if n % 2 else left}".encode(), hashlib.sha512).digest()
+        if n % 2:
+            left = (left + int.from_bytes(digest, "big")) % a
+        else:
+            right = (right + int.from_bytes(digest, "big")) % b
+    return unpack(left, radices[:half]) + unpack(right, radices[half:])
+
+
+def _renumbered(kind: str, value: str, key: bytes, counter: int) -> str:
+    """A number with the characters of its normal form permuted, in its own spelling: digits stay digits, letters letters, a leading zero stays."""
+    normal = normalise(kind, value).lstrip("+")
+    radices = [26 if ch.isalpha() else 1 if ch == "0" and i == 0 else 9 if i == 0 else 10 for i, ch in enumerate(normal)]
+    base = [ord("A") if ch.isalpha() else ord("0") if i or ch == "0" else ord("1") for i, ch in enumerate(normal)]
+    symbols = [ord(ch) - b for ch, b in zip(normal, base, strict=True)]
+    fresh = iter(chr(b + v) for b, v in zip(base, permuted(symbols, radices, key, f"{kind}\0{counter}"), strict=True))
+    label = _LABEL.match(value).end() if kind == "ID_NUMBER" and _LABEL.match(value) else 0
+    if kind == "PHONE":
+        label = next((m.end() for m in (re.match(r"(?i)(?:tel:)?\D*", value),)), 0)
+        label += 2 if value[label : label + 2] == "00" and normalise(kind, value).startswith("+") else 0
+    trunk = [m.start() + 1 for m in _TRUNK.finditer(value)] if kind == "PHONE" else []
+    changes = lambda i, ch: i >= label and i not in trunk and (ch.isdigit() or (kind == "ID_NUMBER" and ch.isascii() and ch.isalpha()))
+    out = []
+    for i, ch in enumerate(value):
+        new = next(fresh, ch) if changes(i, ch) else ch
+        out.append(new.lower() if ch.islower() else new)
+    return "".join(out)
+
+
+def _letters(word: str, stream: Iterator[int]) -> str:
+    """Other letters of the same script and case, for scripts without a list of names."""
+    out = []
+    for ch in word:
+        low = ord(ch) & ~31
+        near = [chr(c) for c in range(low, low + 64) if unicodedata.category(chr(c)) == unicodedata.category(ch) and unicodedata.name(chr(c), "").split(" ")[0] == unicodedata.name(ch, "").split(" ")[0]]
+        out.append(near[next(stream) % len(near)] if ch.isalpha() and near else ch)
+    return "".join(out)
+
+
+def _cased(new: str, like: str) -> str:
+    return new.upper() if like.isupper() and len(like) > 1 else new.lower() if like.islower() else new
+
+
+def _family(script: str, stream: Iterator[int], syllables: int) -> str:
+    names, (consonants, vowels) = DRAWN[script]["family"], _SYLLABLES[script]
+    return names[next(stream) % len(names)] + "".join(consonants[next(stream) % len(consonants)] + vowels[next(stream) % len(vowels)] for _ in range(syllables))
+
+
+def _renamed(value: str, stream: Iterator[int], counter: int) -> str:
+    """A person's name: title, order, initials, particles, separators and case stay."""
+    title = re.match(_TITLE, value)
+    core = value[title.end() :] if title else value
+    script = script_of(core)
+    if script == "han":
+        count = max(2, sum(ch.isalpha() for ch in core)) + counter
+        return (title.group() if title else "") + CJK_FAMILIES[next(stream) % len(CJK_FAMILIES)] + "".join(_GIVEN_HAN[next(stream) % len(_GIVEN_HAN)] for _ in range(count - 1))
+    parts = re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[\W_]+", core)
+    words = [i for i, p in enumerate(parts) if p[0].isalpha() and p.lower() not in PARTICLES]
+    comma = next((i for i, p in enumerate(parts) if "," in p), None)
+    # what stands before a comma, else the last word (the only one, with a title or none), is the family name
+    family = {i for i in words if i < comma} if comma is not None else set(words[-1:])
+    drawn, lasting = DRAWN.get(script), _family(script, stream, 2 + counter) if script in DRAWN else ""
+    given = drawn[gender_of(title.group() if title else "", core)] if drawn else []
+    givens = [given[next(stream) % len(given)] if given else "" for _ in words]
+    out, place = [], 0
+    for i, part in enumerate(parts):
+        if part[0].isdigit():
+            out.append("".join(str(next(stream) % 10) for _ in part))
+        elif i not in words:
+            out.append(part)
+        else:
+            new = (lasting if i in family else givens[place]) if drawn else _letters(part, stream) + (_letters(part[:1], stream) * counter if i in family else "")
+            place += i not in family
+            out.append(_cased(new[:1] if len(part) == 1 else new, part))
+    return (title.group() if title else "") + "".join(out)
+
+
+def _readdressed(value: str, stream: Iterator[int], counter: int) -> str:
+    """An address: house numbers and the proper words of the street change, street words, articles and order stay."""
+    named = False
+
+    def street(m: re.Match) -> str:
+        nonlocal named
+        named = True
+        return "".join(chr(0x4E00 + (next(stream) * 256 + next(stream)) % 5000) for _ in range(len(m.group()) + counter))
+
+    def word(m: re.Match) -> str:
+        nonlocal named
+        old = m.group()
+        if old.isdigit():
+            return str(1 + next(stream) % 9) + "".join(str(next(stream) % 10) for _ in old[1:])
+        script = script_of(old)
+        ending = next((e for e in sorted(GERMAN_ENDINGS + NORTHERN_ENDINGS, key=len, reverse=True) if old.lower().endswith(e) and len(old) > len(e)), "")
+        if old.lower() in STAYING or (len(old) == 1 and old.isascii()) or script == "han":
+            return old
+        new = _family(script, stream, 0 if named else counter) if script in DRAWN else _letters(old, stream)
+        named = True
+        return _cased(new + old[len(old) - len(ending) :] if ending else new, old)
+
+    out = re.sub(r"\d+|[^\W\d_]+", word, _CJK_STREET.sub(street, value))
+    return out if named else f"{out} {_family('latin', stream, counter)}"
 
 
 def surrogate(kind: str, value: str, key: bytes, counter: int = 0) -> str:
     """The replacement for a value: same kind, format, script, case and (names) gender; from the keyed hash of its normal form.
 
-    Mail addresses, names and the names of streets grow with ``counter``, so that there are always more of them than values.
+    Numbers are permuted, so that different ones never share a replacement; mail addresses, names and streets grow with ``counter``.
     """
-    digest = hmac.new(key, f"{kind}\0{normalise(kind, value)}\0{counter}".encode(), hashlib.sha512).digest()
-    stream = cycle(digest)
-    cjk = lambda n: "".join(chr(0x4E00 + (next(stream) * 256 + next(stream)) % 5000) for _ in range(n))
-    if kind == "EMAIL":
-        return f"{GIVEN['fm'[digest[0] % 2]][digest[1] % 24].lower()}.{SURNAMES[digest[2] % 24].lower()}{int.from_bytes(digest[3 : 6 + counter], 'big')}@mail.example"
+    if kind in ("PHONE", "ID_NUMBER"):
+        return _renumbered(kind, value, key, counter)
+    stream = _stream(key, kind, normalise(kind, value), counter)
     if kind == "NAME":
-        title = re.match(_TITLE, value)
-        core = value[title.end() :] if title else value
-        gender = _gender(title.group() if title else "", core)
-        given, family = GIVEN[gender][digest[0] % 24], SURNAMES[digest[1] % 24] + "".join(chr(97 + b % 26) for b in digest[2 : 5 + counter])
-        if re.search(r"[一-鿿]", core):
-            return cjk(max(2, len(core)) + counter)
-        words = core.split()
-        out = f"{family}, {given}" if "," in core else f"{given} {family}" if len(words) > 1 else family
-        out = out.upper() if core.isupper() and len(core) > 2 else out.lower() if core.islower() else out
-        return (title.group() if title else "") + out.replace(" ", "_" if "_" in core else "." if "." in core and " " not in core else " ")
-
-    if kind == "ADDRESS":  # numbers and the proper part of the street's name change, the street word stays
-        named = False
-
-        def name(word: str) -> str:
-            nonlocal named
-            named = True
-            longer = "".join(chr(97 + next(stream) % 26) for _ in range(counter))
-            return SURNAMES[next(stream) % 24] + longer + next((w for w in ("straße", "weg", "gasse") if word.endswith(w)), "")
-
-        def swap(m: re.Match) -> str:
-            word = m.group()
-            if word.isdigit():
-                return str(next(stream) % 10)
-            return word if word.lower() in _KEEP else name(word)
-
-        def street(m: re.Match) -> str:
-            nonlocal named
-            named = True
-            return cjk(len(m.group()) + counter)
-
-        out = re.sub(rf"\d|(?<!\w)[{_UP}]\w{{3,}}", swap, _CJK_STREET.sub(street, value))
-        if not named:  # a street's name of short or small words
-            out = re.sub(r"[^\W\d_]+(?!\w)", lambda m: m.group() if m.group().lower() in _KEEP | _KEEP_ALSO else name(m.group()), out)
-        return out if named else f"{out} {name('')}"
-    return "".join(str(next(stream) % 10) if ch.isdigit() else chr(65 + next(stream) % 26) if kind == "ID_NUMBER" and ch.isupper() else ch for ch in value)
+        return _renamed(value, stream, counter)
+    if kind == "ADDRESS":
+        return _readdressed(value, stream, counter)
+    local = f"{DRAWN['latin']['n'][next(stream) % 24].lower()}.{DRAWN['latin']['family'][next(stream) % 24].lower()}{sum(next(stream) << 8 * i for i in range(3 + counter))}"
+    at, mailto = re.search(_AT, value, re.I), re.match(r"(?i)mailto:", value)
+    dot = re.search(_DOT, value[at.end() :], re.I) if at else None
+    out = f"{mailto.group() if mailto else ''}{local}{at.group() if at else '@'}mail{dot.group() if dot else '.'}example"
+    return out.upper() if value.isupper() else out
+
+
+def _by_value(f: Callable[..., str]):
+    @pandas_udf("string")
+    def run(kind: pd.Series, value: pd.Series, counter: pd.Series) -> pd.Series:
+        return pd.Series([f(k, v, int(c)) for k, v, c in zip(kind, value, counter, strict=True)], dtype=object)
+
+    return run
 
 
 def surrogate_table(detected: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
-    """kind, value, replacement of every distinct value, distinct normal forms having distinct replacements.
+    """kind, value, replacement of every distinct value, distinct normal forms having distinct replacements, none of them a value of the data.
 
-    The collision check groups replacements by their normal form; all but the first of the values that share one are derived
-    again with the next counter, until none do.  Numbers keep their digits: if more of one format are in use than can be told
-    apart, so that ``rounds`` rounds in a row bring no fewer values in collision, an error is raised.
+    The collision check looks at the replacement of every spelling.  Normal forms that share one with a smaller normal form, or whose replacement
+    is itself found in the data, are derived again with the next counter, until there are none.  An error is raised if ``rounds``
+    rounds in a row bring no fewer: the data then hold almost all numbers of some format.
     """
     scratch = Scratch(detected.sparkSession, "surrogates")
-
-    @pandas_udf("string")
-    def norm(kind: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([normalise(k, v) for k, v in zip(kind, value, strict=True)], dtype=object)
-
-    @pandas_udf("string")
-    def derive(kind: pd.Series, value: pd.Series, counter: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, v, key, int(c)) for k, v, c in zip(kind, value, counter, strict=True)], dtype=object)
+    norm = _by_value(lambda k, v, _: normalise(k, v))
+    derive = _by_value(lambda k, v, c: surrogate(k, v, key, c))
+    target = _by_value(lambda k, v, c: normalise(k, surrogate(k, v, key, c)))
 
     values = detected.select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct()
-    values = scratch.keep(values.withColumn("normal", norm("kind", "value")), "values")
-    forms = values.groupBy("kind", "normal").agg(F.min("value").alias("lead"), F.lit(0).alias("counter"))
+    values = scratch.keep(values.withColumn("normal", norm("kind", "value", F.lit(0))).withColumn("counter", F.lit(0)), "values0")
+    real = values.select("kind", F.col("normal").alias("target"), F.lit(True).alias("is_real")).distinct()
     k, fewest, stuck = 0, None, 0
     while True:
-        forms = scratch.keep(forms.withColumn("target", norm("kind", derive("kind", "lead", "counter"))), f"forms{k}")
-        first = forms.groupBy("kind", "target").agg(F.min("normal").alias("keeps"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        clashes = first.agg(F.sum(F.col("n") - 1)).first()[0] or 0
-        if not clashes:
-            break
-        fewest, stuck = (clashes, 0) if fewest is None or clashes < fewest else (fewest, stuck + 1)
+        drawn = values.withColumn("target", target("kind", "value", "counter"))
+        owners = drawn.groupBy("kind", "target").agg(F.min("normal").alias("keeps"))
+        judged = drawn.join(owners, ["kind", "target"]).join(real, ["kind", "target"], "left")
+        again = (F.col("keeps") != F.col("normal")) | F.coalesce("is_real", F.lit(False))
+        bad = judged.filter(again).select("kind", "normal", F.lit(1).alias("more")).distinct()
+        bad, seen = scratch.keep_counted(bad, f"bad{k}", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return values.select("kind", "value", derive("kind", "value", "counter").alias("replacement"))
+        fewest, stuck = (seen["n"], 0) if fewest is None or seen["n"] < fewest else (fewest, stuck + 1)
         if stuck >= rounds:
-            raise ValueError(f"{clashes} values still share a replacement after {k + 1} rounds")
-        clash = forms.join(first, ["kind", "target"], "left")
-        forms = clash.select("kind", "normal", "lead", (F.col("counter") + F.when(F.col("keeps") != F.col("normal"), 1).otherwise(0)).alias("counter"))
+            raise ValueError(f"{seen['n']} values still share a replacement after {k + 1} rounds")
         k += 1
-    return values.join(forms.select("kind", "normal", "counter"), ["kind", "normal"]).select("kind", "value", derive("kind", "value", "counter").alias("replacement"))
+        moved = values.join(bad, ["kind", "normal"], "left").withColumn("counter", F.col("counter") + F.coalesce("more", F.lit(0))).select("kind", "value", "normal", "counter")
+        values = scratch.keep(moved, f"values{k}")
+
+
+def replaced(detected: DataFrame, replacements: DataFrame) -> DataFrame:
+    """record_table, record_id, kind: one row for each kind of which a record holds a value that is replaced."""
+    flat = detected.select("record_table", "record_id", F.explode("spans").alias("s")).select("record_table", "record_id", "s.kind", "s.value").distinct()
+    return flat.join(replacements, ["kind", "value"]).select("record_table", "record_id", "kind").distinct()
 
 
 def redact(detected: DataFrame, replacements: DataFrame | None = None) -> DataFrame:

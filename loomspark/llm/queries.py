@@ -22,8 +22,10 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kinds of personal data in every record."""
-    return pii.found(_detected(spark, sf_dir))
+    """The kinds of personal data that every record has replaced by surrogates."""
+    spans = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))
+    detected = Scratch(spark, "detected").keep(_detected(spark, sf_dir).select("record_table", "record_id", spans.alias("spans")), "detected")  # read twice
+    return pii.replaced(detected, pii.surrogate_table(detected, SURROGATE_KEY))
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
