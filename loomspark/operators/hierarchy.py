@@ -1,14 +1,16 @@
 """Parent-child rows of unknown depth to full hierarchies, by tree contraction.
 
-Each round rakes the leaves (nodes that no remaining node points to) and compresses unary chains (a node whose
-parent has no other child moves its pointer to the grandparent, so chains halve).  Every raked node is recorded with the
-pointer, distance and path segment it had at that moment.  When only roots are left, the recorded rounds are
-replayed backwards and hand root, depth and path down.  A forest always has a leaf, so a round that finds none while
-nodes remain has isolated the cycles; the nodes of a cycle take its smallest id as root, and everything recorded
-below inherits that with depth -1.
-
-Rounds grow with the logarithm of the longest chain plus that of the number of nodes, not with the depth.  All
-joins are on node ids; a parent with a third of all nodes as children is one row of a pre-aggregated count, and the
+Each round rakes the leaves (nodes that no remaining node points to) and compresses unary chains: a node with one child is spliced out if
+its keyed hash beats those of its child and its parent, so that no two neighbours go at once and about a third of every chain goes a round.
+Every removed node is recorded with the pointer, distance and path segment it had at that moment.  A raked node hands the size of its subtree on,
+with what was spliced out below its pointer; a spliced one remembers its child.  A forest always has a leaf, so a round that finds none while nodes
+remain has isolated the cycles; the nodes of a cycle take its smallest id as root, and everything recorded below inherits that with depth -1.
+
+The records are reversed by doubling: a record points to one of a later round, so chains of records are as long as there were rounds, and after the
+logarithm of that number of joins every record points to a root or a cycle.  Finished records take no further part.
+
+Rounds grow with the logarithm of the longest chain plus that of the number of nodes, not with the depth; what is left shrinks from round to round.
+All joins are on node ids; a parent with a third of all nodes as children is one row of a pre-aggregated count, and the
 rows that look it up are spread by AQE's skew handling.  Round tables go to the shared scratch folder, so
 lineage stays flat and a lost executor costs only its own tasks.
 """
@@ -47,55 +49,111 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     """Root and depth of every node of ``links`` (node unique; parent null, or a node).
 
     Returns node, root, depth (bigint; -1 in or below a cycle) and, with ``with_paths``, path: the ids from the
-    root down to the node (for nodes in or below a cycle: from the cycle's first met node), and in_cycle.  Parents that are
+    root down to the node (for nodes in or below a cycle: from the cycle's first met node), in_cycle and n_descendants (how many other
+    nodes have the node on their way up; for a node of a cycle the rest of its cycle and all that hangs below it).  Parents that are
     no node themselves end the way up and count as roots without a row.  An empty table gives no rows.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "hierarchy")
+    scratch = Scratch(links.sparkSession, "hierarchy")
     segment = F.array(F.col("node")) if with_paths else F.lit(None).cast("array<string>")
     nodes = scratch.keep(links.select("node", "parent"), "nodes")
+    removed, core = _contract(nodes, segment, scratch)
+    ends = _reverse(removed, scratch) if removed is not None else None
+
+    roots = nodes.filter("parent IS NULL").select("node")
+    out = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), segment.alias("path"))
+    path = lambda df: F.concat(F.array("ptr"), "seg") if with_paths else df["seg"]
+    if core is None:
+        if ends is not None:
+            out = out.unionByName(ends.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), path(ends).alias("path")))
+    else:
+        labels = _cycle_labels(core, scratch)
+        out = out.unionByName(labels.select("node", F.col("label").alias("root"), F.lit(-1).cast("bigint").alias("depth"), segment.alias("path")))
+        if ends is not None:
+            known = ends.join(labels.select(F.col("node").alias("ptr"), "label"), "ptr", "left")
+            depth = F.when(F.col("label").isNull(), F.col("dist")).otherwise(-1).cast("bigint")
+            out = out.unionByName(known.select("node", F.coalesce("label", "ptr").alias("root"), depth.alias("depth"), path(known).alias("path")))
+    if not with_paths:
+        return out.drop("path")
+    # the segments of the core, which may overlap, hold the nodes compressed out of the cycles too
+    cyclic = core.select(F.explode("seg").alias("node")).distinct().withColumn("in_cycle", F.lit(True)) if core is not None else roots.limit(0).withColumn("in_cycle", F.lit(True))
+    out = out.join(cyclic, "node", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    sizes = _sizes(removed, roots, scratch)
+    around = out.filter("depth < 0").groupBy("root").agg(F.count(F.lit(1)).alias("n_around"))
+    n = F.when(F.col("in_cycle"), F.col("n_around") - 1).otherwise(F.coalesce("size", F.lit(1)) - 1)
+    return out.join(sizes, "node", "left").join(around, "root", "left").withColumn("n_descendants", n.cast("bigint")).drop("size", "n_around")
+
+
+def _contract(nodes: DataFrame, segment: Column, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """The records of all removed nodes (node, ptr, dist, seg; size and give of raked ones, via and more of spliced ones), and what is left: cycles, or none.
+
+    ``size`` counts a node's subtree with itself; a spliced node's is ``more`` plus that of its child ``via``.
+    """
+    none, zero = F.lit(None), F.lit(0).cast("bigint")
     # a pointer to a parent without a row ends at that parent
-    active = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("dist"), F.col("node").alias("low"), segment.alias("seg"))
-    raked, core, round_no = [], None, 0
+    active = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("dist"), F.col("node").alias("low"), segment.alias("seg"), F.lit(1).cast("bigint").alias("w"), zero.alias("acc"))
+    gave, removed, core, round_no = None, [], None, 0
     while True:
-        children = active.groupBy("ptr").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("ptr", "node")
-        counted = active.join(children, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        below = active.select(F.col("ptr").alias("node"), F.lit(1).alias("n"), F.col("node").alias("kid"), F.col("acc").alias("kid_acc"), zero.alias("gain"))
+        if gave is not None:
+            below = below.unionByName(gave.select(F.col("ptr").alias("node"), F.lit(0).alias("n"), none.cast("string").alias("kid"), none.cast("bigint").alias("kid_acc"), F.col("give").alias("gain")))
+        below = below.groupBy("node").agg(F.sum("n").alias("n"), F.min("kid").alias("kid"), F.min("kid_acc").alias("kid_acc"), F.sum("gain").alias("gain"))
+        draw = lambda c, r=round_no: F.xxhash64(F.col(c), F.lit(r))
+        goes = (F.col("n") == 1) & (draw("node") > draw("kid")) & (draw("node") > draw("ptr"))
+        counted = active.join(below, "node", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "w": F.col("w") + F.coalesce("gain", F.lit(0))}).drop("gain").withColumn("goes", F.coalesce(goes, F.lit(False)))
         state, seen = scratch.keep_counted(counted, f"state{round_no}", left=F.count(F.lit(1)), leaves=F.count_if(F.col("n") == 0))
         if not seen["left"]:
             break
         if not seen["leaves"]:
             core = state
             break
-        raked.append(state.filter("n = 0").select("node", "ptr", "dist", "seg"))
-        up = state.filter("n = 1").select(F.col("node").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("dist").alias("up_dist"), F.col("low").alias("up_low"), F.col("seg").alias("up_seg"))
-        kept = state.filter("n > 0").join(up, "ptr", "left")
-        seg = F.when(F.col("up_ptr").isNotNull(), F.concat("up_seg", "seg")).otherwise(F.col("seg")) if with_paths else F.col("seg")
-        active = kept.select("node", F.coalesce("up_ptr", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("up_dist", F.lit(0))).alias("dist"), F.least("low", "up_low").alias("low"), seg.alias("seg"))
+        up = state.filter("goes").select(F.col("node").alias("ptr"), *[F.col(c).alias(f"up_{c}") for c in ("ptr", "dist", "low", "seg", "w", "acc")])
+        moved = state.filter("NOT goes").join(up, "ptr", "left")
+        seg = F.when(F.col("up_ptr").isNotNull(), F.concat("up_seg", "seg")).otherwise(F.col("seg"))
+        plus = lambda c, *more: (F.col(c) + sum((F.coalesce(m, F.lit(0)) for m in more), F.lit(0))).alias(c)
+        moved = moved.select("node", F.coalesce("up_ptr", "ptr").alias("ptr"), plus("dist", "up_dist"), F.least("low", "up_low").alias("low"), seg.alias("seg"), "w", plus("acc", "up_w", "up_acc"), "n")
+        raked = moved.filter("n = 0").select("node", "ptr", "dist", "seg", F.col("w").alias("size"), (F.col("w") + F.col("acc")).alias("give"), none.cast("string").alias("via"), none.cast("bigint").alias("more"))
+        spliced = state.filter("goes").select("node", "ptr", "dist", "seg", none.cast("bigint").alias("size"), none.cast("bigint").alias("give"), F.col("kid").alias("via"), (F.col("w") + F.col("kid_acc")).alias("more"))
+        removed += [raked, spliced]
+        gave = raked.select("ptr", "give")
+        active = moved.filter("n > 0").drop("n")
         round_no += 1
-
-    path = F.array(F.col("node")) if with_paths else F.lit(None).cast("array<string>")
-    ends = nodes.select(F.col("parent").alias("node")).filter("node IS NOT NULL").distinct().join(nodes.select("node"), "node", "left_anti")
-    done = nodes.filter("parent IS NULL").select("node", F.lit(True).alias("listed")).unionByName(ends.select("node", F.lit(False).alias("listed")))
-    done = done.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), path.alias("path"), "listed")
-    if core is not None:
-        labels = _cycle_labels(core, scratch)
-        done = done.unionByName(labels.select("node", F.col("label").alias("root"), F.lit(-1).cast("bigint").alias("depth"), path.alias("path"), F.lit(True).alias("listed")))
-    # replay: a node raked in round r points to one that is a root, in a cycle, or raked later
-    parts = [scratch.keep(done, "done")]
-    for r in reversed(range(len(raked))):
-        known = reduce(lambda a, b: a.unionByName(b), parts)
-        above = known.select(F.col("node").alias("ptr"), "root", "depth", "path")
-        depth = F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + F.col("dist"))
-        full = F.concat("path", "seg") if with_paths else F.col("seg")
-        parts.append(scratch.keep(raked[r].join(above, "ptr").select("node", "root", depth.alias("depth"), full.alias("path"), F.lit(True).alias("listed")), f"found{r}"))
-    out = reduce(lambda a, b: a.unionByName(b), parts).filter("listed").drop("listed")
-    if not with_paths:
-        return out.drop("path")
-    if core is None:
-        return out.withColumn("in_cycle", F.lit(False))
-    # the segments of the core, which may overlap, hold the nodes compressed out of the cycles too
-    cyclic = core.select(F.explode("seg").alias("node")).distinct().withColumn("in_cycle", F.lit(True))
-    return out.join(cyclic, "node", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    return (scratch.keep(reduce(lambda a, b: a.unionByName(b), removed), "removed") if removed else None), core
+
+
+def _reverse(removed: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, ptr, dist, seg of every record, followed up to what was never removed."""
+    ahead = lambda df, done: df.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"), done.alias("done2"))
+    seg = F.when(F.col("ptr2").isNotNull(), F.concat("seg2", "seg")).otherwise(F.col("seg"))
+    step = lambda df: df.select("node", F.coalesce("ptr2", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), seg.alias("seg"), F.coalesce("done2", F.lit(True)).alias("done"))
+    records = removed.select("node", "ptr", "dist", "seg")
+    every, seen = scratch.keep_counted(step(records.join(ahead(records, F.lit(False)), "ptr", "left")), "ends0", open=F.count_if(~F.col("done")))
+    finished, k = [every.filter("done")], 0
+    while seen["open"]:
+        k += 1
+        moved = step(every.filter("NOT done").join(ahead(reduce(lambda a, b: a.unionByName(b), [*finished, every.filter("NOT done")]), F.col("done")), "ptr", "left"))
+        every, seen = scratch.keep_counted(moved, f"ends{k}", open=F.count_if(~F.col("done")))
+        finished.append(every.filter("done"))
+    return reduce(lambda a, b: a.unionByName(b), finished).drop("done")
+
+
+def _sizes(removed: DataFrame | None, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, size of the subtree of every removed node and every root that has one."""
+    if removed is None:
+        return roots.limit(0).withColumn("size", F.lit(0).cast("bigint"))
+    given = removed.filter("give IS NOT NULL").groupBy(F.col("ptr").alias("node")).agg(F.sum("give").alias("below"))
+    out = [removed.filter("size IS NOT NULL").select("node", "size"), roots.join(given, "node").select("node", (F.col("below") + 1).alias("size"))]
+    waits, k = removed.filter("via IS NOT NULL").select("node", "via", "more"), 0
+    known = removed.select("node", "via", "more", "size")
+    while True:
+        ahead = known.select(F.col("node").alias("via"), F.col("via").alias("via2"), F.col("more").alias("more2"), F.col("size").alias("size2"))
+        moved = waits.join(ahead, "via", "left").select("node", F.col("via2").alias("via"), (F.col("more") + F.coalesce("more2", F.lit(0))).alias("more"), (F.col("more") + F.col("size2")).alias("size"))
+        moved, seen = scratch.keep_counted(moved, f"sizes{k}", open=F.count_if(F.col("via").isNotNull()))
+        out.append(moved.filter("size IS NOT NULL").select("node", "size"))
+        if not seen["open"]:
+            return reduce(lambda a, b: a.unionByName(b), out)
+        waits, k = moved.filter("via IS NOT NULL").drop("size"), k + 1
+        # those still waiting know twice as far; the others are known
+        known = removed.filter("size IS NOT NULL").select("node", "via", "more", "size").unionByName(waits.withColumn("size", F.lit(None).cast("bigint"))).unionByName(reduce(lambda a, b: a.unionByName(b), out[2:]).select("node", F.lit(None).cast("string").alias("via"), F.lit(None).cast("bigint").alias("more"), "size"))
 
 
 def _cycle_labels(core: DataFrame, scratch: Scratch) -> DataFrame:
@@ -117,19 +175,8 @@ def _cycle_labels(core: DataFrame, scratch: Scratch) -> DataFrame:
 def descendants(paths: DataFrame) -> DataFrame:
     """All ancestor-descendant pairs from ``resolve(..., with_paths=True)``: ancestor, descendant, distance.
 
-    Its rows are the sum of all depths, which is what the result asks for; nodes in or below a cycle have none (as in the
-    query's SQL), ``descendant_counts`` counts those too.
+    Its rows are the sum of all depths, which is what the result asks for (``n_descendants`` is counted without it); nodes in or below a
+    cycle have none, as in the query's SQL.
     """
     rows = paths.filter("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "ancestor"))
     return rows.select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
-
-
-def descendant_counts(paths: DataFrame) -> DataFrame:
-    """The rows of ``resolve(..., with_paths=True)`` with n_descendants (bigint): how many other nodes have the node on their way up.
-
-    For a node of a cycle these are the rest of its cycle and all that hangs below it.
-    """
-    below = paths.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_below"))
-    around = paths.filter("depth < 0").groupBy("root").agg(F.count(F.lit(1)).alias("n_around"))
-    n = F.when(F.col("in_cycle"), F.col("n_around") - 1).otherwise(F.coalesce("n_below", F.lit(0)))
-    return paths.join(below, "node", "left").join(around, "root", "left").withColumn("n_descendants", n.cast("bigint")).drop("n_below", "n_around")

@@ -6,27 +6,27 @@ magnitude, length).  A contract field's reference sketch comes from all files th
 those it has beyond the contract, an optimal bipartite matching on sketch and name similarity finds the renames;
 what stays unmatched was removed or added.
 
-Everything that grows with the data is pre-aggregated by Spark; Python only sees one small score matrix per file and
-event type, whose sides are sets of field names.
+Sketches are tables of features and their shares, whole, and are compared by joins on the feature; what Python sees of a pair of
+fields is a handful of sums for each class of features, and of a file and event type its pairs, whose number depends on field names only.
+No rule changes with the number of records or values: their weight fades in and out.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from loomspark.session import Scratch, salted_lookup
 
-#: Features kept for a sketch, the most frequent first.
-SKETCH_SIZE = 256
-#: Least score of a rename, and the weight of names in it.
-LEAST_SCORE, NAME_WEIGHT = 0.45, 0.3
-
-#: A field counts as one of few values if so many hold this share of its records, each four times on average.
-CATEGORICAL, MOST_VALUES = 0.9, 16
-#: Records below which numbers of few values are told by their name.
-FEW_RECORDS = 6
+#: Least score of a rename, and the weight of names in it: usually, and where values say nothing.
+LEAST_SCORE, NAME_WEIGHT, NAME_WEIGHT_FLAT = 0.45, 0.3, 0.6
+#: Effective number of values up to which a field is one of few values, and number of records at which half their weight is lost.
+FEW_VALUES, FEW_RECORDS = 16, 6
+#: Weight of a class of features in the likeness of two sketches.
+CLASS_WEIGHTS = {"type": 1.0, "shape": 2.0, "value": 1.0, "word": 1.5, "key": 2.0, "size": 1.5, "long": 0.5}
 
 _TYPE = {"BIGINT": "integer", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "number", "FLOAT": "number"}
 
@@ -75,51 +75,63 @@ def value_features(kind: Column, value: Column) -> Column:
 
 
 def sketches(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, of (number of non-null values), sketch: map of a feature to the share of non-null values that show it; the ``SKETCH_SIZE`` most frequent."""
+    """keys, feature, share (of the non-null values that show it), of (their number): one row per feature."""
     rows = fields.filter("type <> 'null'")
-    feature = rows.select(*keys, F.explode(value_features(F.col("type"), F.col("value"))).alias("feature"))
-    counts = feature.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(*keys, F.explode(value_features(F.col("type"), F.col("value"))).alias("feature")).groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("of"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "feature"))).filter(F.col("rank") <= SKETCH_SIZE)
-    kept = ranked.groupBy(*keys).agg(F.collect_list(F.struct("feature", "n")).alias("kept"))
-    joined = kept.join(totals, keys)
-    return joined.select(*keys, "of", F.map_from_entries(F.transform("kept", lambda s: F.struct(s["feature"], s["n"] / F.col("of")))).alias("sketch"))
+    return counts.join(totals, keys).select(*keys, "feature", (F.col("n") / F.col("of")).alias("share"), "of")
+
+
+_CLASS_OF = "substring_index(feature, ' ', 1)"
+
 
+def compared(pairs: DataFrame, own: DataFrame, reference: DataFrame, unit: list[str], ref: list[str]) -> DataFrame:
+    """pairs with what their sketches have in common: own (class, mass, known, shared) and reference (class, mass, top, concentration, values), of and ref_of.
 
-def is_categorical(sketch: dict, of: int) -> bool:
-    """Whether nearly all values of a field are a few that repeat."""
-    values = [v for k, v in sketch.items() if k.startswith("value ")]
-    return 0 < len(values) <= of / 4 and len(values) <= MOST_VALUES and sum(values) >= CATEGORICAL
+    ``own`` is sketched by unit and file_field, ``reference`` by ``ref``.  Null where a side has no values.
+    """
+    both = pairs.join(own.withColumnRenamed("share", "y"), [*unit, "file_field"]).join(reference.select(*ref, "feature", F.col("share").alias("x")), [*ref, "feature"], "left")
+    kinds = both.groupBy(*unit, "contract_field", "file_field", "of", F.expr(_CLASS_OF).alias("class")).agg(F.sum("y").alias("mass"), F.sum(F.when(F.col("x").isNotNull(), F.col("y")).otherwise(0.0)).alias("known"), F.sum(F.coalesce(F.least("x", "y"), F.lit(0.0))).alias("shared"))
+    mine = kinds.groupBy(*unit, "contract_field", "file_field", "of").agg(F.collect_list(F.struct("class", "mass", "known", "shared")).alias("own"))
+    theirs = reference.groupBy(*ref, F.col("of").alias("ref_of"), F.expr(_CLASS_OF).alias("class")).agg(F.sum("share").alias("mass"), F.max("share").alias("top"), F.sum(F.col("share") * F.col("share")).alias("concentration"), F.count(F.lit(1)).alias("values"))
+    theirs = theirs.groupBy(*ref, "ref_of").agg(F.collect_list(F.struct("class", "mass", "top", "concentration", "values")).alias("reference"))
+    return pairs.join(mine, [*unit, "contract_field", "file_field"], "left").join(theirs, ref, "left")
+
+
+def few_values(reference: dict, ref_of: float) -> float:
+    """0 to 1: how much a field is one of few values that repeat, by the share of repeats and the effective number of values."""
+    values = reference.get("value")
+    if not values or not ref_of:
+        return 0.0
+    repeats = 1 - values["values"] / ref_of
+    return max(0.0, min(1.0, (repeats - 0.5) / 0.25)) * min(1.0, FEW_VALUES * values["concentration"])
 
 
-def sketch_similarity(reference: dict, own: dict, of: int = 0) -> float:
+def sketch_similarity(reference: dict[str, dict], own: dict[str, dict], ref_of: float) -> float:
     """How well a field's sketch fits a reference sketch, 0 to 1, over the feature classes either shows.
 
-    ``of`` is the number of values behind the reference.  A class counts by the mean of the shares both have and the share of the field's features the reference knows at
-    all: a file with two records can't show the reference's shares, but what it shows must be known there.
+    A class counts by the mean of the shares both have and the share of the field's features the reference knows at all: a file with two
+    records can't show the reference's shares, but what it shows must be known there.  The more a field is one of few values, the more
+    it matters whether the values are among them.
     """
-    weights = {"type": 1.0, "shape": 2.0, "value": 1.0, "word": 1.5, "key": 2.0, "size": 1.5, "long": 0.5}
     total = score = 0.0
-    for kind, weight in weights.items():
-        x = {k: v for k, v in reference.items() if k.startswith(kind + " ")}
-        y = {k: v for k, v in own.items() if k.startswith(kind + " ")}
-        if kind == "value" and max([0, *x.values()]) < 0.05:
-            continue  # values that hardly repeat say nothing
+    for kind, weight in CLASS_WEIGHTS.items():
+        x, y = reference.get(kind), own.get(kind)
+        if kind == "value":  # values that hardly repeat say little
+            weight *= min(1.0, (x["top"] if x else 0.0) / 0.05) ** 4
         if x or y:
             total += weight
-            shared = sum(min(v, x.get(k, 0.0)) for k, v in y.items()) / max(sum(x.values()), sum(y.values()))
-            known = sum(v for k, v in y.items() if k in x) / sum(y.values()) if y else 0.0
+            shared = y["shared"] / max(x["mass"] if x else 0.0, y["mass"]) if y else 0.0
+            known = y["known"] / y["mass"] if y else 0.0
             score += weight * (shared + known) / 2
     rest = score / total if total else 0.0
-    known_values = {k: v for k, v in reference.items() if k.startswith("value ")}
-    own_values = {k: v for k, v in own.items() if k.startswith("value ")}
-    if own_values and is_categorical(reference, of):
-        # a field of few values: what matters is whether the values are among them
-        mass = sum(own_values.values())
-        known = sum(v for k, v in own_values.items() if k in known_values) / mass
-        shared = sum(min(v, known_values.get(k, 0.0)) for k, v in own_values.items()) / mass
-        return 0.25 * rest + 0.75 * (known + max(shared, known / 2)) / 2 if known < 1 else 0.25 * rest + 0.75 * known
-    return rest
+    values = own.get("value")
+    if not values:
+        return rest
+    known, shared = values["known"] / values["mass"], values["shared"] / values["mass"]
+    among = known if known >= 1 else (known + max(shared, known / 2)) / 2
+    weight = 0.75 * few_values(reference, ref_of)
+    return (1 - weight) * rest + weight * among
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -168,21 +180,29 @@ def best_matching(score: list[list[float]]) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
-def _renames(group: pd.DataFrame) -> pd.DataFrame:
-    """The matching of one file and event type: rows are its (contract_field, file_field) candidates with sketches."""
-    wanted, extra = sorted(set(group["contract_field"])), sorted(set(group["file_field"]))
-    score = [[0.0] * len(extra) for _ in wanted]
-    for row in group.itertuples(index=False):
-        ref, own = dict(row.reference or {}), dict(row.sketch or {})
-        names = name_similarity(row.contract_field, row.file_field)
-        # few values say little, least where only a few records show them: then the name decides
-        flat = row.json_type == "boolean" or (row.json_type == "integer" and (row.of or 0) < FEW_RECORDS and is_categorical(ref, row.ref_of or 0))
-        weight = 0.6 if flat else NAME_WEIGHT
-        value = (1 - weight) * sketch_similarity(ref, own, row.ref_of or 0) + weight * names if ref and own else names * 0.6
-        score[wanted.index(row.contract_field)][extra.index(row.file_field)] = value if value >= LEAST_SCORE else 0.0
-    pairs = [(wanted[i], extra[j]) for i, j in best_matching(score) if score[i][j] >= LEAST_SCORE]
-    first = group.iloc[0]
-    return pd.DataFrame([(first.source_file_id, first.adapter_key, first.event_key, a, b) for a, b in pairs], columns=["source_file_id", "adapter_key", "event_key", "contract_field", "file_field"])
+def pair_score(contract_field: str, file_field: str, json_type: str, reference: dict[str, dict] | None, own: dict[str, dict] | None, ref_of: float, of: float) -> float:
+    """The score of a rename: likeness of the sketches and of the names; names weigh more where values say little, least in a few records."""
+    names = name_similarity(contract_field, file_field)
+    if not reference or not own:
+        return 0.6 * names
+    flat = 1.0 if json_type == "boolean" else few_values(reference, ref_of) / (1 + (of / FEW_RECORDS) ** 2) if json_type == "integer" else 0.0
+    weight = NAME_WEIGHT + (NAME_WEIGHT_FLAT - NAME_WEIGHT) * flat
+    return (1 - weight) * sketch_similarity(reference, own, ref_of) + weight * names
+
+
+@pandas_udf(ArrayType(StructType([StructField("contract_field", StringType()), StructField("file_field", StringType())])))
+def _renames(pairs: pd.Series) -> pd.Series:
+    """The matching of each file and event type, from its candidate pairs."""
+    by_class = lambda sums: {s["class"]: s for s in sums} if sums is not None else None
+    out = []
+    for group in pairs:
+        wanted, extra = sorted({p["contract_field"] for p in group}), sorted({p["file_field"] for p in group})
+        score = [[0.0] * len(extra) for _ in wanted]
+        for p in group:
+            value = pair_score(p["contract_field"], p["file_field"], p["json_type"], by_class(p["reference"]), by_class(p["own"]), p["ref_of"] or 0, p["of"] or 0)
+            score[wanted.index(p["contract_field"])][extra.index(p["file_field"])] = value if value >= LEAST_SCORE else 0.0
+        out.append([(wanted[i], extra[j]) for i, j in best_matching(score) if score[i][j] >= LEAST_SCORE])
+    return pd.Series(out, dtype=object)
 
 
 class Drift:
@@ -204,7 +224,7 @@ class Drift:
         ).dropDuplicates(["adapter_key", "event_key", "contract_field"])
         keyed = records.withColumns({"adapter": F.coalesce("adapter", F.lit("")), "event_type": F.coalesce("event_type", F.lit(""))})
         self.keyed = keyed
-        self.fields = explode_fields(keyed)
+        self.fields = self.scratch.keep(explode_fields(keyed), "fields")  # read several times
         self._renamed: DataFrame | None = None
 
     def _profiles(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -224,15 +244,13 @@ class Drift:
         pairs = self.absent.join(self.extra.filter("size(types) > 0"), self.unit)
         pairs = pairs.filter(F.array_contains("types", F.col("json_type")) | ((F.col("json_type") == "number") & F.array_contains("types", "integer")))
         pairs = self.scratch.keep(pairs, "pairs")
-        new = self.fields.withColumnRenamed("field", "file_field").join(pairs.select("file_field").distinct(), "file_field", "left_semi")
-        own = sketches(new, [*self.unit, "file_field"])
-        wanted = pairs.select("adapter_key", "event_key", F.col("contract_field").alias("field"), F.col("json_type").alias("type")).distinct()
-        held = self.fields.join(wanted, ["adapter_key", "event_key", "field", "type"], "left_semi")
-        reference = sketches(held, ["adapter_key", "event_key", "field"]).select("adapter_key", "event_key", F.col("field").alias("contract_field"), F.col("of").alias("ref_of"), F.col("sketch").alias("reference"))
-        scored = pairs.join(own, [*self.unit, "file_field"], "left").join(reference, ["adapter_key", "event_key", "contract_field"], "left")
-        scored = scored.select(*self.unit, "contract_field", "file_field", "json_type", "of", "ref_of", "sketch", "reference")
-        schema = "source_file_id string, adapter_key string, event_key string, contract_field string, file_field string"
-        self._renamed = self.scratch.keep(scored.groupBy(*self.unit).applyInPandas(_renames, schema), "renamed")
+        ref = ["adapter_key", "event_key", "contract_field"]
+        new = self.fields.withColumnRenamed("field", "file_field").join(pairs.select(*self.unit, "file_field").distinct(), [*self.unit, "file_field"], "left_semi")
+        wanted = pairs.select(*ref, F.col("json_type").alias("type")).distinct()
+        held = self.fields.withColumnRenamed("field", "contract_field").join(wanted, [*ref, "type"], "left_semi")
+        scored = compared(pairs.select(*self.unit, "contract_field", "file_field", "json_type"), sketches(new, [*self.unit, "file_field"]), sketches(held, ref), self.unit, ref)
+        group = scored.groupBy(*self.unit).agg(F.collect_list(F.struct("contract_field", "file_field", "json_type", "of", "ref_of", "own", "reference")).alias("pairs"))
+        self._renamed = self.scratch.keep(group.select(*self.unit, F.explode(_renames("pairs")).alias("r")).select(*self.unit, "r.*"), "renamed")
 
     def changes(self) -> DataFrame:
         """source_file_id, event_type, change, contract_field, file_field: one row per change."""

@@ -18,8 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session with root, depth, full path from the root and the number of its descendants."""
     paths = hierarchy.resolve(hierarchy.session_links(table(spark, sf_dir, "unified_events")), with_paths=True)
-    counted = hierarchy.descendant_counts(paths)
-    return counted.select(F.col("node").alias("session_id"), F.col("root").alias("root_session_id"), "depth", F.array_join("path", "/").alias("path"), "n_descendants")
+    return paths.select(F.col("node").alias("session_id"), F.col("root").alias("root_session_id"), "depth", F.array_join("path", "/").alias("path"), "n_descendants")
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

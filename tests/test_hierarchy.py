@@ -1,6 +1,6 @@
 import random
 
-from loomspark.operators.hierarchy import descendant_counts, descendants, resolve, session_links
+from loomspark.operators.hierarchy import descendants, resolve, session_links
 
 
 def brute(parent):
@@ -28,6 +28,14 @@ def check(spark, parent):
         root, depth, path = expected[r.node]
         assert (r.root, r.depth) == (root, depth)
         assert depth < 0 or r.path == path
+    below = {}
+    for node in parent:
+        above, seen = parent[node], {node}
+        while above and above not in seen:
+            seen.add(above)
+            below[above] = below.get(above, 0) + 1
+            above = parent.get(above)
+    assert {r.node: r.n_descendants for r in rows} == {n: below.get(n, 0) for n in parent}
     return rows
 
 
@@ -51,6 +59,12 @@ def test_star_holds_a_hot_parent(spark):
     check(spark, {"hub": None, **{f"k{i}": "hub" for i in range(500)}, **{f"m{i}": f"k{i}" for i in range(100)}})
 
 
+def test_long_chain(spark):
+    links = spark.range(3000).selectExpr("format_string('c%05d', id) AS node", "CASE WHEN id > 0 THEN format_string('c%05d', id - 1) END AS parent")
+    rows = resolve(links, with_paths=True).select("depth", "n_descendants", "root").collect()
+    assert sorted(r.depth for r in rows) == list(range(3000)) and all(r.n_descendants == 2999 - r.depth and r.root == "c00000" for r in rows)
+
+
 def test_descendants(spark):
     rows = resolve(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "d")], "node string, parent string"), with_paths=True)
     assert sorted(map(tuple, descendants(rows).collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
@@ -70,7 +84,7 @@ def test_descendants_in_and_below_cycles_are_counted(spark):
             seen.add(above)
             expected[above] += 1
             above = parent[above]
-    rows = descendant_counts(resolve(spark.createDataFrame(list(parent.items()), "node string, parent string"), with_paths=True)).collect()
+    rows = resolve(spark.createDataFrame(list(parent.items()), "node string, parent string"), with_paths=True).collect()
     assert {r.node: r.n_descendants for r in rows} == expected and len(rows) == len(expected)
     assert {r.node for r in rows if r.in_cycle} == {f"{tag}{i}" for size, tag in ((1, "w"), (2, "x"), (3, "y"), (8, "z")) for i in range(size)}
 

@@ -3,7 +3,7 @@ import json
 import random
 import uuid
 
-from loomspark.operators.schema_drift import Drift, best_matching, name_similarity, sketch_similarity
+from loomspark.operators.schema_drift import Drift, best_matching, few_values, name_similarity, pair_score, sketch_similarity
 
 CONTRACT = [("A-x", "msg", f, t) for f, t in (("session_id", "string"), ("timestamp", "string"), ("role", "string"), ("title", "string"), ("tokens", "integer"), ("cost", "number"), ("args", "object"), ("flag", "boolean"))]
 RECORDS = "source_file_id string, line_no bigint, adapter string, event_type string, record string, types string"
@@ -81,5 +81,17 @@ def test_matching_is_optimal():
 
 def test_similarities():
     assert name_similarity("session_id", "sessionId") == 1.0 and name_similarity("title", "session_title") == 0.9 and name_similarity("role", "cwd") == 0
-    uuid_like, words = {"type string": 1.0, "shape U": 1.0}, {"type string": 1.0, "shape text1": 1.0, "word old": 0.5}
-    assert sketch_similarity(uuid_like, uuid_like) == 1.0 > sketch_similarity(uuid_like, words)
+    ref = {k: dict(zip(("class", "mass", "top", "concentration", "values"), (k, *v), strict=True)) for k, v in {"type": (1, 1, 1, 1), "shape": (1, 1, 1, 1), "value": (1, 0.5, 0.5, 2)}.items()}
+    own = lambda known: {k: {"class": k, "mass": 1.0, "known": known, "shared": known} for k in ref}
+    assert sketch_similarity(ref, own(1.0), 100) == 1.0 > sketch_similarity(ref, own(0.5), 100) > sketch_similarity(ref, own(0.0), 100) == 0.0
+    assert few_values(ref, 100) == 1.0 and few_values(ref, 2) == 0.0 and few_values({}, 5) == 0.0
+
+
+def test_weights_fade():
+    """No jump where a field gets one value, or a file one record, more."""
+    value = lambda n: {"value": {"class": "value", "mass": 1.0, "top": 1 / n, "concentration": 1 / n, "values": n}}
+    steps = [few_values(value(n), 1000) for n in range(1, 60)]
+    assert max(a - b for a, b in zip(steps, steps[1:], strict=False)) < 0.08 and steps[0] == 1.0 and steps[-1] < 0.4
+    own = {"value": {"class": "value", "mass": 1.0, "known": 0.5, "shared": 0.5}}
+    scores = [pair_score("abc", "xyz", "integer", value(3), own, 1000, n) for n in range(1, 30)]
+    assert max(abs(a - b) for a, b in zip(scores, scores[1:], strict=False)) < 0.05
