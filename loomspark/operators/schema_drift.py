@@ -91,7 +91,7 @@ def compared(pairs: DataFrame, own: DataFrame, reference: DataFrame, unit: list[
     ``own`` is sketched by unit and file_field, ``reference`` by ``ref``.  Null where a side has no values.
     """
     both = pairs.join(own.withColumnRenamed("share", "y"), [*unit, "file_field"]).join(reference.select(*ref, "feature", F.col("share").alias("x")), [*ref, "feature"], "left")
-    kinds = both.groupBy(*unit, "contract_field", "file_field", "of", F.expr(_CLASS_OF).alias("class")).agg(F.sum("y").alias("mass"), F.sum(F.when(F.col("x").isNotNull(), F.col("y")).otherwise(0.0)).alias("known"), F.sum(F.coalesce(F.least("x", "y"), F.lit(0.0))).alias("shared"))
+    kinds = both.groupBy(*unit, "contract_field", "file_field", "of", F.expr(_CLASS_OF).alias("class")).agg(F.sum("y").alias("mass"), F.sum(F.when(F.col("x").isNotNull(), F.col("y")).otherwise(0.0)).alias("known"), F.sum(F.when(F.col("x").isNotNull(), F.least("x", "y")).otherwise(0.0)).alias("shared"))
     mine = kinds.groupBy(*unit, "contract_field", "file_field", "of").agg(F.collect_list(F.struct("class", "mass", "known", "shared")).alias("own"))
     theirs = reference.groupBy(*ref, F.col("of").alias("ref_of"), F.expr(_CLASS_OF).alias("class")).agg(F.sum("share").alias("mass"), F.max("share").alias("top"), F.sum(F.col("share") * F.col("share")).alias("concentration"), F.count(F.lit(1)).alias("values"))
     theirs = theirs.groupBy(*ref, "ref_of").agg(F.collect_list(F.struct("class", "mass", "top", "concentration", "values")).alias("reference"))
@@ -135,12 +135,14 @@ def sketch_similarity(reference: dict[str, dict], own: dict[str, dict], ref_of:
 
 
 def name_similarity(a: str, b: str) -> float:
-    """Share of common character pairs of two field names, case and separators aside (Dice); 0.9 where one contains the other."""
+    """Share of common character pairs of two field names, case and separators aside (Dice); 0.9 where one of three characters or more lies in the other."""
     a, b = ("".join(ch for ch in x.lower() if ch.isalnum()) for x in (a, b))
     if not a or not b:
         return 0.0
-    if a in b or b in a:
-        return 0.9 if a != b else 1.0
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) > 2 and (a in b or b in a):
+        return 0.9
     x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a, b))
     return 2 * len(x & y) / max(1, len(x) + len(y))
 
