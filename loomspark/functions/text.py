@@ -73,7 +73,7 @@ def session_from_filename(path: Column) -> Column:
 
 def normal_values(values: Column) -> Column:
     """Trimmed, non-empty, distinct, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")))
 
 
 def ordered_hash(ids: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as fx
 from loomspark.functions import tokens as tk
 from loomspark.operators import evidence as ev
-from loomspark.operators import lifecycle, ranges, retrieval, review, sanitize
+from loomspark.operators import context_units as cu
+from loomspark.operators import lifecycle, ranges, retrieval, review, sanitize, search
 from loomspark.operators.timestamps import known_zones, with_utc_micros
 from loomspark.session import table
 
@@ -117,10 +118,17 @@ def r_p17_reliable_times(spark, sf_dir):
 # ---- tokens, redaction, classification ---------------------------------------------------------------------------
 
 
+@query(r"SELECT DISTINCT doc_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9_.\-]*'), lambda t: length(t) >= 2) AS tokens FROM documents WHERE title IS NOT NULL AND title = regexp_replace(title, '[^\x00-\x7F]', '', 'g')")
+def r_t01_title_tokens(spark, sf_dir):
+    """Tokens of every title in ASCII, in order."""
+    titles = table(spark, sf_dir, "documents").select("doc_id", "title").filter(r"title IS NOT NULL AND NOT title RLIKE '[^\\x00-\\x7F]'").distinct()
+    return titles.select("doc_id", tk.tokens("title").alias("tokens"))
+
+
 @query()
 def r_t01_tokens(spark, sf_dir):
-    """Tokens of every title."""
-    return table(spark, sf_dir, "documents").select("doc_id", tk.tokens(F.coalesce("title", F.lit(""))).alias("tokens"))
+    """Number of tokens of every text, and how many of them differ."""
+    return table(spark, sf_dir, "documents").select("doc_id", tk.tokens("text").alias("t")).select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 @query()
@@ -465,14 +473,18 @@ def _search_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     docs = table(spark, sf_dir, "documents").dropDuplicates(["doc_id"])
     tasks = docs.filter("doc_id % 50 = 0 AND title IS NOT NULL").select(F.col("doc_id").cast("string").alias("task_id"), F.col("title").alias("task"))
     words = tk.keywords(docs, "doc_id", F.coalesce("text", F.lit("")))
-    return tasks, docs.join(words, "doc_id").select(F.col("doc_id").cast("string").alias("doc_key"), "title", "path", F.array(F.col("source")).alias("aliases"), "keywords")
+    return tasks, docs.join(words, "doc_id").select(F.col("doc_id").cast("string").alias("doc_key"), F.col("doc_id").alias("position"), "project_key", "title", "path", F.array(F.col("source")).alias("aliases"), "keywords")
 
 
 @query()
 def r_q04_search(spark, sf_dir):
-    """The three best documents for each stated task."""
+    """The documents a search returns for each stated task: the best projects by title, kind and whole text, their neighbours, and the rules first."""
     tasks, docs = _search_tables(spark, sf_dir)
-    return retrieval.ranked(retrieval.scores(tasks, docs)).select("task_id", "doc_key", "score", F.col("rank").cast("int").alias("rank"))
+    kind = F.when(F.col("position") == 1, "evidence").when(F.col("position") == 2, "identity").when(F.col("position") == 3, "collaboration").otherwise("project")
+    docs = docs.withColumn("type", kind)
+    after = docs.select("project_key", F.col("path").alias("target_path"), (F.col("position") - 1).alias("position"))
+    edges = docs.join(after, ["project_key", "position"]).select("position", F.col("path").alias("source_path"), "target_path", F.lit("follows").alias("relation"), F.lit("directed").alias("direction"), F.lit("confirmed").alias("status"))
+    return search.search(tasks, docs, edges)
 
 
 @query(
@@ -483,13 +495,91 @@ def r_q01_base_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("title")).distinct().select("doc_id", F.size(retrieval.base_context(F.col("title"))).alias("n"))
 
 
-@query()
+def _fill_sql(rows: str, facts: int, chars: int) -> str:
+    """The greedy fill over rows (k, pos, id, size): a step per fact, each the next row that still fits."""
+    steps = [f"f1 AS (SELECT k, min(pos) AS last, arg_min([id], pos) AS ids, arg_min(size, pos) AS used FROM {rows} WHERE size <= {chars} GROUP BY k)"]
+    for i in range(2, facts + 1):
+        steps.append(f"n{i} AS (SELECT r.k, min(r.pos) AS pos, arg_min(r.id, r.pos) AS id, arg_min(r.size, r.pos) AS size FROM {rows} r JOIN f{i - 1} f ON f.k = r.k AND r.pos > f.last AND f.used + r.size <= {chars} GROUP BY r.k)")
+        steps.append(f"f{i} AS (SELECT f.k, coalesce(n.pos, f.last) AS last, CASE WHEN n.k IS NULL THEN f.ids ELSE list_append(f.ids, n.id) END AS ids, f.used + coalesce(n.size, 0) AS used FROM f{i - 1} f LEFT JOIN n{i} n ON n.k = f.k)")
+    return ", ".join(steps)
+
+
+@query(
+    f"""WITH {_ONCE}, m AS (SELECT logical_session_id AS k, row(coalesce(timestamp, ''), logical_session_id, sequence, event_id) AS pos, event_id AS id, length(content) AS size FROM e WHERE event_type = 'message'),
+    {_fill_sql("m", 6, 1500)} SELECT k AS logical_session_id, ids AS event_ids, used FROM f6"""
+)
 def r_cu03_budget(spark, sf_dir):
-    """The events of each conversation's last 40 messages that fit a budget of 6 facts and 1,500 characters, newest first."""
-    order = Window.partitionBy("logical_session_id").orderBy(*[c.desc() for c in ev.total_order()])
-    last = _events(spark, sf_dir).filter("event_type = 'message'").withColumn("n", F.row_number().over(order)).filter("n <= 40")
-    units = last.groupBy("logical_session_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("event_id").alias("unit_id"), F.length("content").cast("bigint").alias("size")))).alias("units"))
-    return units.select("logical_session_id", retrieval.pick_units(F.col("units"), 6, 1500).alias("p")).select("logical_session_id", F.col("p.ids").alias("event_ids"), F.col("p.used").alias("used"))
+    """The messages of each conversation, in order, that fit a budget of 6 facts and 1,500 characters, whole."""
+    rows = _events(spark, sf_dir).filter("event_type = 'message'").select("logical_session_id", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ev.total_order())]).alias("at"), F.col("event_id").alias("unit_id"), F.length("content").cast("bigint").alias("size"))
+    return cu.fill(rows, ["logical_session_id"], "at", 6, 1500).select("logical_session_id", F.col("ids").alias("event_ids"), "used")
+
+
+def _units(events: DataFrame) -> DataFrame:
+    """Every project's messages, deliveries and errors as units of its document, the first of each content."""
+    rows = events.filter("project_key IS NOT NULL AND event_type IN ('message', 'delivery', 'error')")
+    status = F.when(F.col("event_type") == "message", "agent-reported").when(F.col("event_type") == "error", "odd").otherwise("observed")
+    none = F.array().cast("array<string>")
+    return rows.select(F.col("project_key").alias("doc_key"), F.struct("sequence", "event_id").alias("position"), F.substring(F.sha2("content", 256), 1, 12).alias("unit_id"), F.lit("history").alias("section"), F.col("content").alias("text"), status.alias("status"), F.array("event_id").alias("evidence_event_ids"), none.alias("conflicts"), none.alias("supersedes"))
+
+
+@query(
+    f"""WITH {_ONCE}, u AS (SELECT project_key AS doc_key, sha256(content)[1:12] AS unit_id, content, event_type FROM e WHERE project_key IS NOT NULL AND event_type IN ('message', 'delivery', 'error')),
+    x AS (SELECT doc_key, unit_id, 'unit has no text' AS message FROM u WHERE trim(regexp_replace(content, '{_SPACE}', ' ', 'g')) = '' UNION ALL SELECT doc_key, unit_id, 'status is not allowed' FROM u WHERE event_type = 'error'
+      UNION ALL SELECT doc_key, unit_id, 'unit id is not unique' FROM u GROUP BY 1, 2 HAVING count(*) > 1) SELECT message, count(*) AS n, count(DISTINCT doc_key) AS documents FROM x GROUP BY 1"""
+)
+def r_cu06_unit_errors(spark, sf_dir):
+    """What is wrong with units made of events: blank texts, errors as a status of their own, contents said twice."""
+    states = spark.createDataFrame([], "doc_key string, field string, unit_id string")
+    return cu.unit_errors(_units(_events(spark, sf_dir)), states).groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_key").alias("documents"))
+
+
+_TITLE_TOKENS = r"list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9_.\-]*'), lambda t: length(t) >= 2)"
+_GENERIC_SQL = ", ".join(f"'{t}'" for t in "the a an and or to of for in on my our me we please continue help write writing style voice identity project task agent ai update test tests fix code".split())
+_TITLED = f"""d AS (SELECT DISTINCT doc_id, title, path, source, project_key, {_TITLE_TOKENS} AS toks FROM documents WHERE title IS NOT NULL),
+    t AS (SELECT doc_id::VARCHAR AS task_id, doc_id, project_key, lower(trim(title)) AS task, list_filter(list_distinct(toks), lambda x: x NOT IN ({_GENERIC_SQL})) AS terms FROM d WHERE doc_id % 50 IN (0, 25)),
+    s AS (SELECT task_id, d.doc_id::VARCHAR AS doc_key, d.title, d.path, d.project_key, len(list_filter(terms, lambda x: list_contains(toks, x))) * 4 + len(list_filter(terms, lambda x: contains(lower(d.title), x))) * 3 + len(list_filter(terms, lambda x: contains(d.source, x))) * 4
+      + CASE WHEN contains(lower(d.title), task) THEN 20 ELSE 0 END + CASE WHEN contains(d.source, task) THEN 24 ELSE 0 END AS score FROM t JOIN d ON true WHERE len(terms) > 0),
+    best AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, title, path) AS rank FROM s WHERE score >= 4)"""
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Titles of the documents whose id divides by 25 as tasks, and all titled documents with the words of their titles as keywords."""
+    docs = table(spark, sf_dir, "documents").filter("title IS NOT NULL").select("doc_id", "title", "path", "source", "project_key").distinct()
+    tasks = docs.filter("doc_id % 50 IN (0, 25)").select(F.col("doc_id").cast("string").alias("task_id"), F.col("title").alias("task"), "doc_id", "project_key")
+    return tasks, docs.select(F.col("doc_id").cast("string").alias("doc_key"), F.col("doc_id").alias("position"), "path", F.lit("project").alias("type"), "project_key", "title", F.array("source").alias("aliases"), tk.tokens("title").alias("keywords"))
+
+
+@query(f"WITH {_TITLED} SELECT task_id, doc_key, score FROM s WHERE score > 0")
+def r_q03_scores(spark, sf_dir):
+    """Every score above 0 of the stated tasks against all documents, by title and kind."""
+    return retrieval.scores(*_titled(spark, sf_dir)).select("task_id", "doc_key", "score")
+
+
+@query(
+    f"""WITH {_TITLED}, q AS (SELECT task_id, list(project_key) AS projects, count(*) AS n FROM best WHERE rank <= 3 GROUP BY 1), c AS (SELECT task_id, CASE WHEN doc_id % 50 = 0 THEN 'related' ELSE 'hard_negative' END AS kind, project_key FROM t
+      UNION ALL SELECT 'n' || task_id, 'hard_negative', NULL FROM t) SELECT c.task_id AS case_id, kind, CASE WHEN kind = 'related' THEN coalesce(n, 0) >= 1 AND (c.project_key IS NULL OR coalesce(list_contains(projects, c.project_key), false)) ELSE q.task_id IS NULL END AS passed,
+      coalesce(n, 0) AS project_matches FROM c LEFT JOIN q USING (task_id)"""
+)
+def r_z02_suite(spark, sf_dir):
+    """Verdicts of a suite over the search: titles must find their project; titles called negative, and words nobody uses, must find nothing."""
+    tasks, docs = _titled(spark, sf_dir)
+    keys = F.array_compact(F.array("project_key"))
+    none = F.array().cast("array<string>")
+    asked = tasks.select(F.col("task_id").alias("case_id"), F.when(F.col("doc_id") % 50 == 0, "related").otherwise("hard-negative").alias("kind"), "task", F.when(F.col("doc_id") % 50 == 0, keys).otherwise(none).alias("expected_project_keys"))
+    unused = tasks.select(F.concat(F.lit("n"), "task_id").alias("case_id"), F.lit("hard-negative").alias("kind"), F.concat(F.lit("zzqx"), "task_id", F.lit("qq")).alias("task"), none.alias("expected_project_keys"))
+    ready = search.suite_cases(asked.unionByName(unused).withColumns({"expected_document_types": none, "min_project_matches": F.lit(None).cast("int"), "min_context_units": F.lit(None).cast("int")}))
+    found = search.search(ready.select(F.col("case_id").alias("task_id"), "task"), docs, spark.createDataFrame([], search.EDGES), base_context="none", max_related=0)
+    return search.suite_verdicts(ready, found).select("case_id", "kind", "passed", "project_matches")
+
+
+@query()
+def r_cu05_views(spark, sf_dir):
+    """What of each project's units a task about errors is given, under the usual budget."""
+    events = _events(spark, sf_dir)
+    documents = events.filter("project_key IS NOT NULL").groupBy(F.col("project_key").alias("doc_key")).agg(F.min("project_label").alias("title")).withColumn("aliases", F.array().cast("array<string>"))
+    chosen = documents.select(F.lit("t").alias("task_id"), "doc_key", F.array(F.lit("error"), F.lit("ledger")).alias("terms"))
+    states = spark.createDataFrame([], "doc_key string, field string, unit_id string")
+    return cu.unit_views(chosen, documents, _units(events).dropDuplicates(["doc_key", "unit_id"]), states, cu.selection_options(view="facts"))
 
 
 @query(

@@ -132,19 +132,6 @@ def r_p13_slugs(spark, sf_dir):
     return docs.select("doc_id", F.when(fx.slug(F.col("title"), F.col("title")).startswith("project-") & ~F.lower("title").startswith("project"), 0).otherwise(1).alias("named"))
 
 
-@query(
-    """WITH d AS (SELECT doc_id, title, project_key FROM documents GROUP BY ALL), t AS (SELECT doc_id, title, project_key FROM d WHERE title IS NOT NULL AND doc_id % 50 = 0), x AS (SELECT t.doc_id::VARCHAR AS case_id, list(DISTINCT d.project_key) FILTER (WHERE d.project_key IS NOT NULL) AS got, any_value(t.project_key) AS want FROM t JOIN d ON d.title = t.title GROUP BY 1)
-    SELECT case_id, len(coalesce(got, [])) >= 1 AND (want IS NULL OR list_contains(got, want)) AS passed FROM x"""
-)
-def r_z02_suite(spark, sf_dir):
-    """Verdicts of a retrieval suite: documents with the same title as a stated one must include its project."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "project_key").distinct()
-    asked = docs.filter("title IS NOT NULL AND doc_id % 50 = 0")
-    cases = asked.select(F.col("doc_id").cast("string").alias("case_id"), F.lit("related").alias("kind"), F.array_compact(F.array("project_key")).alias("expected"), F.lit(1).alias("min_matches"))
-    chosen = asked.select(F.col("doc_id").cast("string").alias("case_id"), "title").join(docs.select("title", "project_key"), "title").select("case_id", "project_key")
-    return retrieval.suite_verdicts(cases, chosen)
-
-
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").groupBy("path").agg(F.min("project_key").alias("project_key"), F.min("doc_id").alias("doc_id"))
     after = docs.select("project_key", F.col("path").alias("target_path"), (F.col("doc_id") - 1).alias("doc_id"))

