@@ -107,7 +107,7 @@ def bounded_int(text: Column, low: int, high: int) -> Column:
 def slug(label: Column, key: Column) -> Column:
     """A file name of a label: letters and digits, hyphens between, at most 48 characters, and a hash of the key.
 
-    Compatibility forms are folded by ``functions.tokens.nfkc`` beforehand where labels may hold them.
+    ``label`` goes through ``functions.tokens.folded`` first (compatibility forms and case), which the JVM lacks.
     """
     stem = F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
     stem = F.substring(stem, 1, 48)

@@ -172,17 +172,19 @@ def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter("size(errors) = 0").drop("errors").dropDuplicates(["source_file_id", "line_no"])
 
 
-def parse_results(lines: DataFrame, parsed: DataFrame) -> DataFrame:
-    """The bad lines as ParseResult rows: errors and excluded per source file, located by byte offset.
+def parse_results(lines: DataFrame, parsed: DataFrame, part_lines: int = 65_536) -> DataFrame:
+    """The bad lines as ParseResult rows: errors and excluded per source file and part of ``part_lines`` lines, located by byte offset.
 
-    An unterminated last line is excluded, not an error: a later run may find it complete.
+    A file of up to so many lines is one row (part 0); a longer one has a row for each part, so that no file, whatever its share of all lines,
+    is gathered.  An unterminated last line is excluded, not an error: a later run may find it complete.
     """
     at = lines.groupBy("source_file_id", "line_no").agg(F.min("byte_offset").alias("byte_offset"))
     bad = bad_lines(parsed).join(at, ["source_file_id", "line_no"])
     locator = F.concat(F.lit("byte:"), F.col("byte_offset"))
     error = F.when(F.col("reason") != "incomplete_tail", F.struct(F.col("line_no").alias("n"), locator.alias("record_locator"), F.col("reason").alias("error"), F.concat(F.lit("line "), F.col("line_no")).alias("detail")))
     excluded = F.when(F.col("reason") == "incomplete_tail", F.struct(F.col("line_no").alias("n"), locator.alias("record_locator"), F.col("reason").alias("reason")))
-    per_file = bad.groupBy("source_file_id").agg(F.sort_array(F.collect_list(error)).alias("errors"), F.sort_array(F.collect_list(excluded)).alias("excluded"))
-    seen = at.groupBy("source_file_id").agg(F.count(F.lit(1)).alias("records_seen"))
+    part = F.floor((F.col("line_no") - 1) / part_lines).cast("int").alias("part")
+    per_file = bad.groupBy("source_file_id", part).agg(F.sort_array(F.collect_list(error)).alias("errors"), F.sort_array(F.collect_list(excluded)).alias("excluded"))
+    seen = at.groupBy("source_file_id", part).agg(F.count(F.lit(1)).alias("records_seen"))
     strip = lambda a, *names: F.transform(a, lambda s: F.struct(*[s[x].alias(x) for x in names]))
-    return seen.join(per_file, "source_file_id", "left").select("source_file_id", strip("errors", "record_locator", "error", "detail").alias("errors"), strip("excluded", "record_locator", "reason").alias("excluded"), "records_seen")
+    return seen.join(per_file, ["source_file_id", "part"], "left").select("source_file_id", "part", strip("errors", "record_locator", "error", "detail").alias("errors"), strip("excluded", "record_locator", "reason").alias("excluded"), "records_seen")

@@ -22,11 +22,13 @@ def nodes(documents: DataFrame, claims: DataFrame, feedback: DataFrame, rules: D
 
 def edges(documents: DataFrame, claims: DataFrame, feedback: DataFrame, rules: DataFrame) -> DataFrame:
     """edge_id, source, target, relation: what contains, supports, contradicts, replaces or activates what."""
-    of_project = documents.filter("project_key IS NOT NULL").select("project_key", F.col("path").alias("source"))
+    # a project's records belong to its one document, the first by path should there be more
+    of_project = documents.filter("project_key IS NOT NULL").groupBy("project_key").agg(F.min("path").alias("source"))
     contains = claims.join(of_project, "project_key").select("source", F.col("claim_id").alias("target"), F.lit("contains-claim").alias("relation"))
     records = feedback.join(of_project, "project_key").select("source", F.col("feedback_id").alias("target"), F.lit("records-feedback").alias("relation"))
     links = lambda df, key, field, relation: df.select(F.col(key).alias("source"), F.explode(field).alias("target"), F.lit(relation).alias("relation"))
-    supports = rules.select(F.explode("feedback_ids").alias("source"), F.col("evolution_id").alias("target"), F.lit("supports-evolution").alias("relation"))
+    cited = "feedback_id" if "feedback_id" in rules.columns else F.explode("feedback_ids")  # rules may come as one row per signal
+    supports = rules.select((F.col(cited) if isinstance(cited, str) else cited).alias("source"), F.col("evolution_id").alias("target"), F.lit("supports-evolution").alias("relation"))
     activates = rules.filter("promoted_claim_id IS NOT NULL").select(F.col("evolution_id").alias("source"), F.col("promoted_claim_id").alias("target"), F.lit("activates-claim").alias("relation"))
     every = reduce(lambda a, b: a.unionByName(b), [contains, records, links(claims, "claim_id", "conflicts", "conflicts"), links(claims, "claim_id", "supersedes", "supersedes"), supports, activates]).distinct()
     return every.select(F.concat(F.lit("edge-"), stable_hash("source", "target", "relation", length=24)).alias("edge_id"), "source", "target", "relation")

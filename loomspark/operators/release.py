@@ -16,8 +16,8 @@ def scan(texts: DataFrame, key: str, text: Column, rules: list[tuple[str, str]]
 
     The text itself isn't in the result.  Null texts have no lines.
     """
-    lines = texts.select(key, F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("at", "content"))
-    tests = [F.when(F.col("content").rlike(pattern), F.lit(label)) for label, pattern in (RULES if rules is None else rules)]
-    tests += [F.when(F.lower("content").contains(term.lower()), F.lit(f"DENIED_{n}")) for n, term in enumerate(denied or [], 1)]
-    found = lines.select(key, (F.col("at") + 1).alias("line"), F.array_distinct(F.array_compact(F.array(*tests))).alias("rules"))
+    lines = texts.select(key, F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("_at", "_line"))
+    tests = [F.when(F.col("_line").rlike(pattern), F.lit(label)) for label, pattern in (RULES if rules is None else rules)]
+    tests += [F.when(F.lower("_line").contains(term.lower()), F.lit(f"DENIED_{n}")) for n, term in enumerate(denied or [], 1)]
+    found = lines.select(key, (F.col("_at") + 1).alias("line"), F.array_distinct(F.array_compact(F.array(*tests))).alias("rules"))
     return found.select(key, "line", F.explode("rules").alias("rule"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import normalised
+from loomspark.functions.text import normalised, set_hash
 
 # The vocabularies of a review.
 HISTORY_STATUSES = ("observed", "inferred", "disputed", "superseded", "stale", "retracted", "candidate")
@@ -32,8 +32,9 @@ def outside(rows: DataFrame, key: str, field: str, allowed: tuple[str, ...], rul
 
 
 def evidence_rows(items: DataFrame, key: str, project: str | None = None) -> DataFrame:
-    """key, (project,) event_id: the cited events of items, exploded."""
-    return items.select(key, *([project] if project else []), F.explode("evidence_event_ids").alias("event_id"))
+    """key, (project,) event_id: the cited events of items, exploded; items may come as one row per cited event (event_id) in the first place."""
+    event = "event_id" if "event_id" in items.columns else F.explode("evidence_event_ids").alias("event_id")
+    return items.select(key, *([project] if project else []), event)
 
 
 def unknown_evidence(items: DataFrame, key: str, events: DataFrame, rule: str) -> DataFrame:
@@ -88,10 +89,22 @@ def effective_actor(events: DataFrame, by_event: DataFrame, by_lane: DataFrame)
     return joined.select("event_id", F.coalesce("event_actor", by, "actor_kind").alias("actor"))
 
 
+_CLUSTER = ("scope", "object", "applies_to", "statement")
+
+
+def clustered(feedback: DataFrame) -> DataFrame:
+    """feedback_id, project_key and the cluster of every signal: scope, object, and what it applies to and states, normalised."""
+    applies = normalised(F.coalesce("applies_to", F.lit(""))) if "applies_to" in feedback.columns else F.lit("")
+    return feedback.select("feedback_id", "project_key", "scope", "object", applies.alias("applies_to"), normalised(F.col("statement")).alias("statement"))
+
+
 def feedback_clusters(feedback: DataFrame) -> DataFrame:
-    """Signals with one scope, object and normalised statement: their ids, number of projects and whether two or more agree."""
-    norm = normalised(F.col("statement"))
-    return feedback.groupBy("scope", "object", norm.alias("statement")).agg(F.array_sort(F.collect_set("feedback_id")).alias("feedback_ids"), F.countDistinct("project_key").alias("projects"), (F.countDistinct("project_key") >= 2).alias("promotable"))
+    """Clusters of signals that say the same: their number, first id, hash of the set of ids, number of projects, and whether two or more agree.
+
+    ``clustered`` lists the members; they are never gathered.
+    """
+    distinct = clustered(feedback).distinct()
+    return distinct.groupBy(*_CLUSTER).agg(F.countDistinct("feedback_id").alias("signals"), F.min("feedback_id").alias("first_id"), set_hash(F.col("feedback_id")).alias("members_sha256"), F.countDistinct("project_key").alias("projects"), (F.countDistinct("project_key") >= 2).alias("promotable"))
 
 
 def derived_membership(assignments: DataFrame) -> DataFrame:
@@ -101,6 +114,11 @@ def derived_membership(assignments: DataFrame) -> DataFrame:
     return merged.unionByName(parted)
 
 
+def reassigned(assignments: DataFrame) -> DataFrame:
+    """source, target: the distinct moves between projects."""
+    return assignments.filter("source <> target").select("source", "target").distinct()
+
+
 def membership(events: DataFrame, overrides: DataFrame) -> DataFrame:
     """event_id, proposed, target: the project each event goes to, overridden per event; unnamed events keep their proposal."""
     over = overrides.groupBy("event_id").agg(F.min("target").alias("override"))

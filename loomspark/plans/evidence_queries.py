@@ -191,8 +191,18 @@ _FLAG_TESTS["test_role"] = (
 _FLAG_TESTS["old_memory_reference"] = r"regexp_matches(content[1:8000], '(?i)(^|[/\\])(memory|memories|memorie|old[-_ ]?knowledge[-_ ]?base)([^a-z0-9_]|$)')"
 _FLAG_TESTS["binary_removed"] = "contains(content, '[BINARY_REMOVED')"
 _FLAG_TESTS["private_data_redacted"] = "contains(content, '[REDACTED:')"
+#: Markers put before the contents of some rows, so that every reason of a quarantine occurs.
+_PLANTED = ("", "<environment_context> ", "conversation summary ", "begin external transcript ", "sandbox approval ", "<delegated_task> ", "short message ", "quoted third-party ")
+_PLANTED_SQL = f"q AS (SELECT * REPLACE ([{', '.join(repr(m) for m in _PLANTED)}][sequence % {len(_PLANTED)} + 1] || coalesce(content, '') AS content) FROM r)"
+
+
+def _planted(rows: DataFrame) -> DataFrame:
+    marks = F.array(*map(F.lit, _PLANTED))
+    return rows.withColumn("content", F.concat(F.get(marks, F.pmod("sequence", F.lit(len(_PLANTED))).cast("int")), F.coalesce("content", F.lit(""))))
+
+
 _FLAGS_SQL = (
-    f"WITH {_RAW_ONCE}, l AS (SELECT *, lower(trim(coalesce(content, ''))) AS low FROM r), k AS (SELECT raw_event_id, role, event_type, actor_hint, list_sort(list_distinct(list_concat(coalesce(flags, []), list_filter(["
+    f"WITH {_RAW_ONCE}, {_PLANTED_SQL}, l AS (SELECT *, lower(trim(coalesce(content, ''))) AS low FROM q), k AS (SELECT raw_event_id, role, event_type, actor_hint, list_sort(list_distinct(list_concat(coalesce(flags, []), list_filter(["
     + ", ".join(f"CASE WHEN {test} THEN '{flag}' END" for flag, test in _FLAG_TESTS.items())
     + "], lambda x: x IS NOT NULL)))) AS flags FROM l)"
 )
@@ -204,7 +214,7 @@ _TYPES_SQL = ", ".join(f"'{t}'" for t in ev.OBSERVED_TYPES)
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "raw_events").dropDuplicates(["raw_event_id"])
+    rows = _planted(table(spark, sf_dir, "raw_events").dropDuplicates(["raw_event_id"]))
     rows = rows.withColumn("flags", ev.classify_flags(F.coalesce("content", F.lit("")), F.col("flags")))
     rows = rows.withColumn("actor", ev.actor_kind(F.col("role"), F.col("flags"), F.col("actor_hint")))
     return rows.withColumn("grade", ev.evidence_grade(F.col("role"), F.col("event_type"), F.col("actor")))
@@ -230,9 +240,9 @@ def r_k02_actors_and_grades(spark, sf_dir):
 
 @query(
     _FLAGS_SQL
-    + ", q AS (SELECT CASE "
+    + ", z AS (SELECT CASE "
     + " ".join(f"WHEN list_contains(flags, '{flag}') THEN '{reason}'" for flag, reason in ev.QUARANTINE)
-    + " END AS reason FROM k) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM q GROUP BY 1"
+    + " END AS reason FROM k) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM z GROUP BY 1"
 )
 def r_f01_quarantine(spark, sf_dir):
     """Raw events kept, and quarantined by their first reason."""
@@ -249,24 +259,27 @@ def r_f02_memory_rows(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_ONCE}, m AS (SELECT DISTINCT source_agent, session_id FROM e WHERE contains(content, 'review/') AND ({" OR ".join(f"contains(content, '{m}')" for m in ev.WORKFLOW_MARKERS)}))
-    SELECT count(*) AS kept FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source_agent = e.source_agent AND m.session_id = e.session_id)"""
+    """WITH e AS (SELECT * REPLACE (CASE WHEN event_type = 'error' AND sequence % 3 = 0 THEN content || ' wrote review/x and completion-report.json' ELSE content END AS content) FROM unified_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY source_file_id) = 1),
+    m AS (SELECT DISTINCT source_agent, session_id FROM e WHERE contains(content, 'review/') AND regexp_matches(content, 'session_kb\.py|audit/events\.jsonl|completion-report\.json|review/review\.json|review-init|validate-review'))
+    SELECT source_agent, count(*) AS kept, count(DISTINCT session_id) AS sessions FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source_agent = e.source_agent AND m.session_id = e.session_id) GROUP BY 1"""
 )
 def r_f03_without_own_work(spark, sf_dir):
-    """Events outside sessions that rebuild the knowledge base itself."""
-    return ev.without_self_reconstruction(_events(spark, sf_dir), ("review/",)).agg(F.count(F.lit(1)).alias("kept"))
+    """Events outside sessions that rebuild the knowledge base itself (which some errors are made to mention)."""
+    own = (F.col("event_type") == "error") & (F.col("sequence") % 3 == 0)
+    events = _events(spark, sf_dir).withColumn("content", F.when(own, F.concat("content", F.lit(" wrote review/x and completion-report.json"))).otherwise(F.col("content")))
+    return ev.without_self_reconstruction(events, ("review/",)).groupBy("source_agent").agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("session_id").alias("sessions"))
 
 
 @query(
     f"""WITH {_ONCE}, t AS (SELECT DISTINCT project_key FROM e WHERE starts_with(project_key, 'prj-0')), s AS (SELECT DISTINCT source_file_id FROM e WHERE starts_with(source_file_id, '0'))
-    SELECT count(*) AS n, count(DISTINCT logical_session_id) AS sessions FROM e WHERE coalesce(project_key, '') NOT IN (SELECT project_key FROM t) AND source_file_id NOT IN (SELECT source_file_id FROM s)"""
+    SELECT project_key, count(*) AS n, count(DISTINCT logical_session_id) AS sessions FROM e WHERE coalesce(project_key, '') NOT IN (SELECT project_key FROM t) AND source_file_id NOT IN (SELECT source_file_id FROM s) GROUP BY 1"""
 )
 def r_f04_forgotten(spark, sf_dir):
     """What is left after forgetting projects and sources by hashed tombstones."""
     events = _events(spark, sf_dir)
     projects = events.filter("project_key LIKE 'prj-0%'").select(F.lit("projects").alias("kind"), F.sha2("project_key", 256).alias("sha256"))
     sources = events.filter("source_file_id LIKE '0%'").select(F.lit("sources").alias("kind"), F.sha2("source_file_id", 256).alias("sha256"))
-    return ev.without_forgotten(events, projects.unionByName(sources).distinct()).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("logical_session_id").alias("sessions"))
+    return ev.without_forgotten(events, projects.unionByName(sources).distinct()).groupBy("project_key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("logical_session_id").alias("sessions"))
 
 
 @query(
@@ -347,7 +360,7 @@ def r_g08_changes(spark, sf_dir):
 
 @query(
     f"""WITH {_ONCE}, f AS (SELECT project_key, tool_name AS object, lower({_COLLAPSED}) AS statement, event_id FROM e WHERE event_type = 'tool_call' AND project_key IS NOT NULL AND tool_name IS NOT NULL)
-    SELECT 'project' AS scope, object, statement, list_sort(list(DISTINCT event_id)) AS feedback_ids, count(DISTINCT project_key) AS projects, count(DISTINCT project_key) >= 2 AS promotable FROM f GROUP BY object, statement"""
+    SELECT 'project' AS scope, object, '' AS applies_to, statement, count(DISTINCT event_id) AS signals, min(event_id) AS first_id, {_set_hash('event_id')} AS members_sha256, count(DISTINCT project_key) AS projects, count(DISTINCT project_key) >= 2 AS promotable FROM f GROUP BY object, statement"""
 )
 def r_g10_clusters(spark, sf_dir):
     """Signals that say the same, with the number of projects they come from."""
@@ -420,12 +433,13 @@ def r_w10_last_deliveries(spark, sf_dir):
     return rows.filter("n <= 40").select("project_key", "event_id", F.col("n").cast("bigint").alias("n"))
 
 
-_STITCH = """
+_STITCH = r"""
 pairs AS (SELECT DISTINCT source_agent || ':' || session_id AS a, source_agent || ':' || session_id AS b FROM unified_events
-  UNION SELECT source_agent || ':' || session_id, source_agent || ':' || parent_session_id FROM unified_events WHERE coalesce(parent_session_id, '') <> ''),
+  UNION SELECT source_agent || ':' || session_id, source_agent || ':' || parent_session_id FROM unified_events WHERE coalesce(parent_session_id, '') <> ''
+  UNION SELECT source_agent || ':' || session_id, 'Clacky:file:' || regexp_replace(regexp_replace(source_relpath, '(?i)-chunk-[0-9]+\.md$', '.md'), '(?i)\.(json|md)$', '') FROM unified_events WHERE source_agent = 'Clacky'),
 ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
-members AS (SELECT a AS node, {hash} AS set_hash FROM (SELECT DISTINCT a, b FROM reach) GROUP BY 1)
+members AS (SELECT a AS node, {hash} AS set_hash FROM (SELECT DISTINCT a, b FROM reach WHERE b NOT LIKE 'Clacky:file:%' AND a NOT LIKE 'Clacky:file:%') GROUP BY 1)
 """
 
 
@@ -445,10 +459,9 @@ def r_h01_logical_sessions(spark, sf_dir):
 
 
 def _claims(events: DataFrame) -> DataFrame:
-    """Claims as the data has them: what assistants and tools state in a project, citing the events of one call or message."""
-    body = F.sha2(fx.collapsed(F.col("content")), 256)
+    """Claims as the data has them: what assistants and tools state in a project, one row per event that says so."""
     rows = events.filter("project_key IS NOT NULL AND event_type IN ('message', 'delivery', 'error')")
-    return rows.groupBy("project_key", body.alias("claim_id"), F.when(F.col("event_type") == "message", "inferred").otherwise("observed").alias("status")).agg(F.collect_set("event_id").alias("evidence_event_ids"))
+    return rows.select("project_key", F.sha2(fx.collapsed(F.col("content")), 256).alias("claim_id"), F.when(F.col("event_type") == "message", "inferred").otherwise("observed").alias("status"), "event_id")
 
 
 _CLAIMS_SQL = f"""claims AS (SELECT project_key, {_SEMANTIC} AS claim_id, CASE WHEN event_type = 'message' THEN 'inferred' ELSE 'observed' END AS status, list(DISTINCT event_id) AS ids
@@ -464,8 +477,9 @@ _CLAIMS_SQL = f"""claims AS (SELECT project_key, {_SEMANTIC} AS claim_id, CASE W
 def r_v15_claim_checks(spark, sf_dir):
     """Violations of rules on claims: unique ids, allowed states, and evidence strong enough for what is called observed."""
     events = _events(spark, sf_dir)
-    claims = _claims(events)
-    return review.union([review.repeated(claims, "claim_id", "claim-id"), review.weak_observed(claims, "claim_id", events, "observed"), review.outside(claims, "claim_id", "status", ("observed", "stale"), "status")])
+    cited = _claims(events)
+    claims = cited.drop("event_id").distinct()
+    return review.union([review.repeated(claims, "claim_id", "claim-id"), review.weak_observed(cited, "claim_id", events, "observed"), review.outside(claims, "claim_id", "status", ("observed", "stale"), "status")])
 
 
 def _search_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -583,22 +597,32 @@ def r_cu05_views(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_ONCE}, {_CLAIMS_SQL}, h AS (SELECT * FROM e WHERE source_file_id IN (SELECT source_file_id FROM e WHERE event_type = 'error')), x AS (SELECT claim_id, unnest(ids) AS event_id FROM claims)
-    SELECT 'event' AS kind, count(DISTINCT event_id) AS n FROM h UNION ALL SELECT 'project', count(DISTINCT project_key) FROM h UNION ALL SELECT 'claim', count(DISTINCT claim_id) FROM x WHERE event_id IN (SELECT event_id FROM h)"""
+    f"""WITH {_ONCE}, {_CLAIMS_SQL}, h AS (SELECT * FROM e WHERE source_file_id IN (SELECT source_file_id FROM e WHERE event_type = 'error')), x AS (SELECT claim_id, unnest(ids) AS event_id FROM claims),
+    f AS (SELECT event_id, {_SEMANTIC} AS rule FROM e WHERE event_type = 'message' AND role = 'user' AND project_key IS NOT NULL), hc AS (SELECT DISTINCT claim_id FROM x WHERE event_id IN (SELECT event_id FROM h)),
+    more AS (SELECT event_id FROM h UNION SELECT event_id FROM x WHERE claim_id IN (SELECT claim_id FROM hc)), hp AS (SELECT DISTINCT coalesce(project_key, 'session:' || logical_session_id) AS project_key FROM e WHERE event_id IN (SELECT event_id FROM more)),
+    hf AS (SELECT f.event_id, rule FROM f JOIN e USING (event_id) WHERE event_id IN (SELECT event_id FROM more) OR project_key IN (SELECT project_key FROM hp)), d AS (SELECT path FROM documents WHERE project_key IN (SELECT project_key FROM hp))
+    SELECT 'event' AS kind, count(*) AS n FROM more UNION ALL SELECT 'project', count(*) FROM hp UNION ALL SELECT 'claim', count(*) FROM hc UNION ALL SELECT 'feedback', count(*) FROM hf UNION ALL SELECT 'rule', count(DISTINCT rule) FROM hf UNION ALL SELECT 'document', count(DISTINCT path) FROM d"""
 )
 def r_l02_impact(spark, sf_dir):
-    """What forgetting all files with an error would touch."""
+    """What forgetting all files with an error would touch: events, projects, claims, feedback, rules and documents."""
     events = _events(spark, sf_dir)
     files = events.filter("event_type = 'error'").select("source_file_id").distinct()
     selected = events.join(files, "source_file_id", "left_semi")
-    none = spark.createDataFrame([], "feedback_id string, evidence_event_ids array<string>"), spark.createDataFrame([], "evolution_id string, feedback_ids array<string>")
-    touched = lifecycle.impact(events, _claims(events), none[0], none[1], selected)
-    return touched.filter("kind IN ('event', 'project', 'claim')").groupBy("kind").agg(F.countDistinct("id").alias("n"))
+    feedback = events.filter("event_type = 'message' AND role = 'user' AND project_key IS NOT NULL").select(F.col("event_id").alias("feedback_id"), "event_id", "project_key", "content")
+    rules = feedback.select(F.sha2(fx.collapsed(F.col("content")), 256).alias("evolution_id"), "feedback_id")
+    tables = lifecycle.Tables(events, _claims(events), feedback, rules, table(spark, sf_dir, "documents").select("path", "project_key"))
+    return lifecycle.impact(tables, selected, "forget").groupBy("kind").agg(F.countDistinct("id").alias("n"))
 
 
-@query()
+@query(f"WITH {_ONCE} SELECT event_id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY coalesce(timestamp, ''), logical_session_id, sequence, event_id) AS place FROM e")
 def r_o01_total_order(spark, sf_dir):
+    """Every event's place in its project's total order; events without a project have one of their own."""
+    rows = _events(spark, sf_dir).select("event_id", "project_key", "timestamp", "logical_session_id", "sequence")
+    return ranges.numbered(rows, ["project_key"], ev.total_order()).select("event_id", "project_key", "place")
+
+
+@query()
+def r_o01_real_time_order(spark, sf_dir):
     """Every event's place in its project by real time: instants first, then conversation, number and id."""
     rows = with_utc_micros(_events(spark, sf_dir).select("event_id", "project_key", "logical_session_id", "sequence", "timestamp", F.col("metadata")["tz"].alias("tz")), F.col("timestamp"), F.col("tz"), known_zones(spark))
-    order = Window.partitionBy("project_key").orderBy("utc_us", "logical_session_id", "sequence", "event_id")
-    return rows.select("event_id", "project_key", F.row_number().over(order).alias("place"))
+    return ranges.numbered(rows.select("event_id", "project_key", "utc_us", "logical_session_id", "sequence"), ["project_key"], [F.col(c) for c in ("utc_us", "logical_session_id", "sequence", "event_id")]).select("event_id", "project_key", "place")

@@ -123,14 +123,17 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     none = F.array().cast("array<string>")
     said = events.filter("event_type IN ('delivery', 'error')").groupBy("project_key", F.concat_ws("/", "project_key", body).alias("claim_id")).agg(F.min("content").alias("statement")).select("*", none.alias("conflicts"), none.alias("supersedes"))
     asked = events.filter("event_type = 'message' AND role = 'user'").select("project_key", F.col("event_id").alias("feedback_id"), F.col("content").alias("statement"))
-    rules = asked.groupBy(F.sha2(fx.collapsed(F.col("statement")), 256).alias("evolution_id")).agg(F.min("statement").alias("rule"), F.array_sort(F.collect_set("feedback_id")).alias("feedback_ids")).filter("size(feedback_ids) > 1")
+    named = asked.select(F.sha2(fx.collapsed(F.col("statement")), 256).alias("evolution_id"), "feedback_id", "statement")
+    repeated = named.groupBy("evolution_id").agg(F.min("statement").alias("rule"), F.countDistinct("feedback_id").alias("n")).filter("n > 1").drop("n")
+    rules = repeated.join(named.select("evolution_id", "feedback_id"), "evolution_id")  # a row per signal
     return docs, said, asked, rules.withColumn("promoted_claim_id", F.lit(None).cast("string"))
 
 
 _KNOWLEDGE_SQL = f"""docs AS (SELECT path, min(project_key) AS project_key FROM documents GROUP BY 1), p AS (SELECT *, {_SEMANTIC} AS body FROM e WHERE project_key IS NOT NULL),
     claims AS (SELECT DISTINCT project_key, project_key || '/' || body AS claim_id FROM p WHERE event_type IN ('delivery', 'error')), asked AS (SELECT project_key, event_id, body FROM p WHERE event_type = 'message' AND role = 'user'),
     rules AS (SELECT body FROM asked GROUP BY 1 HAVING count(DISTINCT event_id) > 1),
-    edges AS (SELECT d.path AS source, c.claim_id AS target, 'contains-claim' AS relation FROM docs d JOIN claims c USING (project_key) UNION SELECT d.path, a.event_id, 'records-feedback' FROM docs d JOIN asked a USING (project_key)
+    owner AS (SELECT project_key, min(path) AS path FROM docs WHERE project_key IS NOT NULL GROUP BY 1),
+    edges AS (SELECT d.path AS source, c.claim_id AS target, 'contains-claim' AS relation FROM owner d JOIN claims c USING (project_key) UNION SELECT d.path, a.event_id, 'records-feedback' FROM owner d JOIN asked a USING (project_key)
       UNION SELECT a.event_id, r.body, 'supports-evolution' FROM asked a JOIN rules r USING (body))"""
 
 
@@ -147,11 +150,17 @@ def r_g13_link_audit(spark, sf_dir):
     return publication.link_audit(docs, publication.edges(docs, *rest))
 
 
-@query("SELECT NULL::VARCHAR AS location, NULL::VARCHAR AS message WHERE false")
+@query(
+    f"""WITH {_ONCE}, {_KNOWLEDGE_SQL}, kept AS (SELECT path FROM docs WHERE path NOT LIKE '%7.md'), idx AS (SELECT CASE WHEN path LIKE '%3.md' THEN '../' || path ELSE path END AS path FROM docs),
+    bad AS (SELECT DISTINCT source, target, relation FROM edges WHERE source LIKE '%7.md') SELECT 'an end does not exist' AS message, count(*) AS n FROM bad UNION ALL SELECT 'document is not in the index', count(*) FROM kept WHERE path LIKE '%3.md' UNION ALL SELECT 'document is not in the graph', count(*) FROM idx WHERE path NOT IN (SELECT path FROM kept)
+      UNION ALL SELECT 'unsafe path', count(*) FROM idx WHERE path LIKE '../%' UNION ALL SELECT 'node is not unique', count(*) FROM claims"""
+)
 def r_h05_graph_errors(spark, sf_dir):
-    """Whatever is wrong with the graph made of the tables: nothing."""
-    parts = _knowledge(spark, sf_dir)
-    return publication.graph_errors(publication.nodes(*parts).distinct(), publication.edges(*parts), parts[0])
+    """What is wrong with the graph after some documents left it, others moved out of the folder in the index, and claims were written twice."""
+    docs, claims, feedback, rules = _knowledge(spark, sf_dir)
+    nodes = publication.nodes(docs.filter("path NOT LIKE '%7.md'"), claims.unionByName(claims), feedback, rules.dropDuplicates(["evolution_id"]))
+    index = docs.withColumn("path", F.when(F.col("path").like("%3.md"), F.concat(F.lit("../"), "path")).otherwise(F.col("path")))
+    return publication.graph_errors(nodes, publication.edges(docs, claims, feedback, rules), index).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -168,14 +177,14 @@ def r_h03_reciprocal_links(spark, sf_dir):
 
 @query(
     f"""WITH {_ONCE}, o AS (SELECT event_id, source_file_id AS path, project_key, content FROM e WHERE event_type <> 'status'), n AS (SELECT event_id, source_file_id AS path, project_key, content FROM e WHERE event_type IN ('status', 'message')),
-    kept AS (SELECT * FROM o WHERE path >= '4') SELECT count(*) AS n, count(DISTINCT path) AS paths, sum(length(content)) AS chars FROM (SELECT * FROM kept UNION ALL SELECT * FROM n WHERE event_id NOT IN (SELECT event_id FROM kept))"""
+    kept AS (SELECT * FROM o WHERE path >= '4') SELECT path, count(*) AS n, sum(length(content)) AS chars FROM (SELECT * FROM kept UNION ALL SELECT * FROM n WHERE event_id NOT IN (SELECT event_id FROM kept)) GROUP BY 1"""
 )
 def r_i03_merge(spark, sf_dir):
     """The event table after a run that replaced some sources and extended the others."""
     events = _events(spark, sf_dir).select("event_id", F.col("source_file_id").alias("path"), "project_key", "content", "event_type")
     old, new = events.filter("event_type <> 'status'").drop("event_type"), events.filter("event_type IN ('status', 'message')").drop("event_type")
     actions = events.select("path", F.when(F.col("path") < "4", "parse").otherwise("tail").alias("action")).distinct()
-    return ingest.merge(old, new, actions).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("paths"), F.sum(F.length("content")).alias("chars"))
+    return ingest.merge(old, new, actions).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 @query(f"WITH {_ONCE} SELECT DISTINCT project_key FROM e WHERE event_type IN ('error', 'delivery') AND project_key IS NOT NULL")
@@ -200,10 +209,10 @@ _SPANS = """s AS (SELECT logical_session_id AS k, session_id, min(sequence) - 1
     o AS (SELECT *, coalesce(max("end") OVER (PARTITION BY k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM l)"""
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str, longer: int = 0) -> DataFrame:
     from pyspark.sql import Window
 
-    spans = _events(spark, sf_dir).groupBy(F.col("logical_session_id").alias("k"), "session_id").agg((F.min("sequence") - 1).alias("start"), F.max("sequence").alias("end"))
+    spans = _events(spark, sf_dir).groupBy(F.col("logical_session_id").alias("k"), "session_id").agg((F.min("sequence") - 1).alias("start"), (F.max("sequence") + longer).alias("end"))
     return spans.withColumn("length", F.max("end").over(Window.partitionBy("k")))
 
 
@@ -213,23 +222,25 @@ def r_w06_uncovered(spark, sf_dir):
     return ranges.uncovered(_spans(spark, sf_dir), "k")
 
 
-@query(f"""WITH {_ONCE}, {_SPANS} SELECT k, session_id, start, "end", length FROM o WHERE start < reach""")
+@query(f"""WITH {_ONCE}, {_SPANS.replace('max(sequence) AS "end"', 'max(sequence) + 2 AS "end"')} SELECT k, session_id, start, "end", length FROM o WHERE start < reach""")
 def r_j07_overlaps(spark, sf_dir):
-    """Sessions of a conversation that begin before an earlier one ends."""
-    return ranges.overlapping(_spans(spark, sf_dir), "k")
+    """Sessions of a conversation that begin before an earlier one, taken to be two rows longer, ends."""
+    return ranges.overlapping(_spans(spark, sf_dir, 2), "k")
 
 
 @query(
-    f"""WITH {_ONCE}, i AS (SELECT logical_session_id AS k, project_key, CASE WHEN bool_or(event_type = 'error') THEN 'disputed' ELSE 'observed' END AS status, list(event_id) AS ids FROM e WHERE project_key IS NOT NULL GROUP BY ALL),
-    x AS (SELECT k, project_key, unnest(ids) AS event_id FROM i) SELECT count(*) AS violations FROM (
-      SELECT k FROM i GROUP BY k HAVING count(*) > 1 UNION ALL SELECT DISTINCT x.k FROM x JOIN e USING (event_id) WHERE e.project_key <> x.project_key UNION ALL SELECT DISTINCT k FROM x WHERE event_id NOT IN (SELECT event_id FROM e))"""
+    f"""WITH {_ONCE}, x AS (SELECT logical_session_id AS k, CASE WHEN event_type = 'delivery' THEN 'prj-other' ELSE project_key END AS project_key, CASE WHEN event_type = 'error' THEN event_id || 'x' ELSE event_id END AS event_id FROM e WHERE project_key IS NOT NULL),
+    i AS (SELECT DISTINCT k, project_key FROM x) SELECT rule, location FROM (
+      SELECT 'id' AS rule, k AS location FROM i GROUP BY k HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'project', x.k FROM x JOIN e USING (event_id) WHERE e.project_key <> x.project_key UNION ALL SELECT DISTINCT 'event', k FROM x WHERE event_id NOT IN (SELECT event_id FROM e))"""
 )
 def r_j04_evidence_checks(spark, sf_dir):
-    """Violations among items made of conversations: ids that repeat, evidence that is missing or of another project."""
+    """Violations among items made of conversations, some of them under another project or citing events that don't exist: ids that repeat, evidence that is missing or of another project."""
     events = _events(spark, sf_dir)
-    items = events.filter("project_key IS NOT NULL").groupBy(F.col("logical_session_id").alias("k"), "project_key").agg(F.collect_list("event_id").alias("evidence_event_ids"))
-    parts = [review.repeated(items, "k", "id"), review.foreign_evidence(items, "k", events, "project"), review.unknown_evidence(items, "k", events, "event")]
-    return review.union(parts).agg(F.count(F.lit(1)).alias("violations"))
+    project = F.when(F.col("event_type") == "delivery", "prj-other").otherwise(F.col("project_key"))
+    event = F.when(F.col("event_type") == "error", F.concat("event_id", F.lit("x"))).otherwise(F.col("event_id"))
+    cited = events.filter("project_key IS NOT NULL").select(F.col("logical_session_id").alias("k"), project.alias("project_key"), event.alias("event_id"))
+    parts = [review.repeated(cited.select("k", "project_key").distinct(), "k", "id"), review.foreign_evidence(cited, "k", events, "project"), review.unknown_evidence(cited, "k", events, "event")]
+    return review.union(parts).select("rule", "location")
 
 
 @query(f"""WITH {_ONCE}, c AS (SELECT path, project_key FROM documents GROUP BY ALL) SELECT path FROM c WHERE project_key IS NOT NULL AND project_key NOT IN (SELECT project_key FROM e WHERE project_key IS NOT NULL)""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as fx
+from loomspark.functions.tokens import folded
 from loomspark.operators import evidence as ev
 from loomspark.operators import release, retrieval, review, snapshots
 from loomspark.plans.evidence_queries import _FILES_ONCE, _ONCE, _events
@@ -62,27 +63,31 @@ def r_j01_source_join(spark, sf_dir):
     return joined.groupBy(F.coalesce("agent_name", F.lit("unknown")).alias("agent"), (F.col("source_agent") == F.col("agent_name")).alias("agrees")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_ONCE}, c AS (SELECT source_file_id, call_id, min(event_id) AS call FROM e WHERE event_type IN ('tool_call', 'patch') AND call_id IS NOT NULL GROUP BY 1, 2), r AS (SELECT source_file_id, call_id, list_sort(list(event_id)) AS results FROM e WHERE event_type IN ('tool_result', 'error') AND call_id IS NOT NULL GROUP BY 1, 2) SELECT call, coalesce(results, []) AS results FROM c LEFT JOIN r USING (source_file_id, call_id)")
+@query(f"WITH {_ONCE}, c AS (SELECT source_file_id, call_id, min(event_id) AS call FROM e WHERE event_type IN ('tool_call', 'patch') AND call_id IS NOT NULL GROUP BY 1, 2) SELECT call, r.event_id AS result FROM c LEFT JOIN (SELECT * FROM e WHERE event_type IN ('tool_result', 'error')) r USING (source_file_id, call_id)")
 def r_j05_calls_with_results(spark, sf_dir):
-    """Every call with the results that answer it, none where it has no result."""
+    """Every call with each result that answers it, once with none where it has no result."""
     events = _events(spark, sf_dir).filter("call_id IS NOT NULL")
     calls = events.filter("event_type IN ('tool_call', 'patch')").groupBy("source_file_id", "call_id").agg(F.min("event_id").alias("call"))
-    results = events.filter("event_type IN ('tool_result', 'error')").groupBy("source_file_id", "call_id").agg(F.array_sort(F.collect_list("event_id")).alias("results"))
-    return calls.join(results, ["source_file_id", "call_id"], "left").select("call", F.coalesce("results", F.array().cast("array<string>")).alias("results"))
-
-
-_SCAN = [("RUN", r"Run [0-9]+ finished"), ("HASH", r"(?:^|[^0-9A-Za-z])[0-9a-f]{10}(?:[^0-9A-Za-z]|$)"), ("ADDRESS", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}")]
+    results = events.filter("event_type IN ('tool_result', 'error')").select("source_file_id", "call_id", F.col("event_id").alias("result"))
+    return calls.join(results, ["source_file_id", "call_id"], "left").select("call", "result")
 
 
 @query(
     r"WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS lines FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)), x AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS content FROM l), y AS (SELECT doc_id, line, unnest(["
-    + ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{n}' END" for n, p in _SCAN)
-    + ", CASE WHEN contains(lower(content), 'tombstone') THEN 'DENIED_1' END]) AS rule FROM x) SELECT doc_id, line, rule FROM y WHERE rule IS NOT NULL"
+    "CASE WHEN contains(lower(content), 'tombstone') THEN 'DENIED_1' END, CASE WHEN contains(lower(content), 'the ledger') THEN 'DENIED_2' END]) AS rule FROM x) SELECT doc_id, line, rule FROM y WHERE rule IS NOT NULL"
 )
-def r_y01_release_scan(spark, sf_dir):
-    """Lines of documents that show a rule or a denied term."""
+def r_y01_denied_terms(spark, sf_dir):
+    """Lines of documents that hold a denied term, which is named by its place only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").distinct()
-    return release.scan(docs, "doc_id", F.col("text"), _SCAN, ["tombstone"])
+    return release.scan(docs, "doc_id", F.col("text"), [], ["tombstone", "The Ledger"])
+
+
+@query()
+def r_y01_release_scan(spark, sf_dir):
+    """Lines of documents and event contents that show what must not be released, by the whole set of rules."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("at"), "text").distinct()
+    events = _events(spark, sf_dir).select(F.concat(F.lit("event:"), "event_id").alias("at"), F.col("content").alias("text"))
+    return release.scan(docs.unionByName(events), "at", F.col("text"))
 
 
 @query("WITH s AS (SELECT source_file_id AS path, count(*) AS n FROM source_files GROUP BY 1), e AS (SELECT DISTINCT source_file_id AS path FROM unified_events) SELECT path, 'repeated' AS message FROM s WHERE n > 1 UNION ALL SELECT path, 'unexpected' FROM s WHERE path NOT IN (SELECT path FROM e) UNION ALL SELECT path, 'missing' FROM e WHERE path NOT IN (SELECT path FROM s)")
@@ -115,21 +120,25 @@ def r_v20_effective_actors(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_ONCE}, c AS (SELECT logical_session_id AS k, CASE WHEN count(DISTINCT project_key) > 1 THEN 'global' ELSE 'project' END AS scope, list(event_id) AS ids FROM e GROUP BY 1), g AS (SELECT k, unnest(ids) AS event_id FROM c WHERE scope = 'global')
-    SELECT 'scope' AS rule, k AS location, 'fewer than 3 projects' AS message FROM g JOIN e USING (event_id) GROUP BY k HAVING count(DISTINCT project_key) < 3"""
+    f"""WITH {_ONCE}, x AS (SELECT sha256(content) AS k, project_key FROM e WHERE event_type = 'tool_call'), g AS (SELECT k, count(DISTINCT project_key) AS n FROM x GROUP BY 1)
+    SELECT 'scope' AS rule, k AS location, 'fewer than 3 projects' AS message FROM g WHERE n = 2"""
 )
 def r_v27_global_scope(spark, sf_dir):
-    """Conversations called global that touch fewer than three projects."""
+    """Calls made in more than one project, and so called global, that touch fewer than three."""
     events = _events(spark, sf_dir)
-    items = events.groupBy(F.col("logical_session_id").alias("k")).agg(F.when(F.countDistinct("project_key") > 1, "global").otherwise("project").alias("scope"), F.collect_list("event_id").alias("evidence_event_ids"))
-    return review.too_few_projects(items, "k", events, 3, "scope")
+    calls = events.filter("event_type = 'tool_call'").select(F.sha2("content", 256).alias("k"), "event_id", "project_key")
+    several = calls.groupBy("k").agg(F.countDistinct("project_key").alias("n")).filter("n > 1").select("k", F.lit("global").alias("scope"))
+    return review.too_few_projects(calls.select("k", "event_id").join(several, "k"), "k", events, 3, "scope")
 
 
-@query("SELECT doc_id, CASE WHEN length(regexp_replace(lower(trim(title)), '[^\\p{L}\\p{N}]+', '-', 'g')) > 0 THEN 1 ELSE 0 END AS named FROM (SELECT DISTINCT doc_id, coalesce(title, '') AS title FROM documents)")
+@query(
+    r"""WITH d AS (SELECT DISTINCT doc_id, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:48] AS stem FROM documents WHERE title IS NOT NULL AND title = regexp_replace(title, '[^\x00-\x7F]', '', 'g'))
+    SELECT doc_id, CASE WHEN stem = '' THEN 'project' ELSE stem END || '-' || sha256(title)[1:10] || '.md' AS slug FROM d"""
+)
 def r_p13_slugs(spark, sf_dir):
-    """Whether a title gives a file name of its own; the names are tested on fixtures."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("title")).distinct()
-    return docs.select("doc_id", F.when(fx.slug(F.col("title"), F.col("title")).startswith("project-") & ~F.lower("title").startswith("project"), 0).otherwise(1).alias("named"))
+    """The file name of every title in ASCII; others are tested on fixtures."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title").filter(r"title IS NOT NULL AND NOT title RLIKE '[^\\x00-\\x7F]'").distinct()
+    return docs.select("doc_id", fx.slug(folded("title"), F.col("title")).alias("slug"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -22,11 +22,13 @@ _shipped: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder for scratch tables: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder for scratch tables: ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="loomspark-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -53,11 +55,26 @@ def ship(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """A numbered set of Parquet tables in the shared folder; ``drop`` removes one once nothing reads it."""
+    """A set of Parquet tables in the shared folder.  Results read them lazily, so they stay until ``drop``, or until the application ends."""
+
+    _open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not Scratch._open:
+            atexit.register(Scratch.drop_all)  # runs before the session's own exit, which was registered earlier
+        Scratch._open.append(self)
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Remove every table of this application from the shared folder."""
+        for scratch in cls._open:
+            try:
+                scratch.drop()
+            except Exception:  # noqa: BLE001 - the session is gone already
+                break
+        cls._open.clear()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -66,12 +66,61 @@ def test_forget_and_impact(spark):
     dead = spark.createDataFrame([("q",)], "id string").select(F.lit("projects").alias("kind"), F.sha2("id", 256).alias("sha256"))
     assert sorted(r.event_id for r in evidence.without_forgotten(events, dead).collect()) == ["e1", "e3"]
     claims = spark.createDataFrame([("c1", "confirmed", ["e1", "e2"]), ("c2", "confirmed", ["e3"])], "claim_id string, status string, evidence_event_ids array<string>")
-    feedback = spark.createDataFrame([("f1", ["e1"])], "feedback_id string, evidence_event_ids array<string>")
-    rules = spark.createDataFrame([("r1", ["f1"]), ("r2", ["f9"])], "evolution_id string, feedback_ids array<string>")
-    touched = lifecycle.impact(events, claims, feedback, rules, events.filter("event_id = 'e1'"))
-    assert sorted(map(tuple, touched.collect())) == [("claim", "c1"), ("event", "e1"), ("feedback", "f1"), ("project", "p"), ("rule", "r1")]
+    feedback = spark.createDataFrame([("f1", "z", ["e1"]), ("f2", "q", ["e9"])], "feedback_id string, project_key string, evidence_event_ids array<string>")
+    rules = spark.createDataFrame([("r1", ["f1"], None, []), ("r2", ["f9"], "c1", []), ("r3", [], None, ["e2"])], "evolution_id string, feedback_ids array<string>, promoted_claim_id string, approval_event_ids array<string>")
+    docs = spark.createDataFrame([("p.md", "p"), ("q.md", "q")], "path string, project_key string")
+    nodes = spark.createDataFrame([("p.md", "p"), ("c1", None), ("x", "q"), ("y", None)], "id string, project_key string")
+    edges = spark.createDataFrame([("g1", "c1", "y"), ("g2", "y", "y")], "edge_id string, source string, target string")
+    tables = lifecycle.Tables(events, claims, feedback, rules, docs, nodes, edges)
+    one = events.filter("event_id = 'e1'")
+    got = lambda action: {(r.kind, r.id) for r in lifecycle.impact(tables, one, action).collect()}
+    retract = {("event", "e1"), ("project", "p"), ("project", "q"), ("claim", "c1"), ("feedback", "f1"), ("rule", "r1"), ("rule", "r2"), ("document", "p.md"), ("node", "p.md"), ("node", "c1"), ("edge", "g1")}
+    assert got("retract") == retract
+    assert got("forget") == retract | {("event", "e2"), ("feedback", "f2"), ("rule", "r3"), ("document", "q.md"), ("node", "x")}
+    touched = lifecycle.impact(tables, one)
     assert {r.claim_id: r.status for r in lifecycle.retract(claims, touched).collect()} == {"c1": "retracted", "c2": "confirmed"}
-    assert lifecycle.tombstones(touched).count() == 2
+    assert lifecycle.tombstones(touched).count() == 3 and {r.kind for r in lifecycle.tombstones(touched, events, asked_projects=[]).collect()} == {"events", "event_locators"}
+    assert [r.event_id for r in lifecycle.without(events, touched, "event", "event_id").orderBy("event_id").collect()] == ["e2", "e3"]
+
+
+def test_requests(spark):
+    events = spark.createDataFrame([event(1), event(2, project_key=None), event(3, source_file_id="g")], EVENT)
+    claims = spark.createDataFrame([("c1", ["e3"])], "claim_id string, evidence_event_ids array<string>")
+    none = spark.createDataFrame([], "feedback_id string, project_key string, evidence_event_ids array<string>"), spark.createDataFrame([], "evolution_id string, feedback_ids array<string>")
+    tables = lifecycle.Tables(events, claims, *none)
+    asked = lifecycle.selectors(project_keys=[" session:l ", "zz"], claim_ids="c1")
+    touched, missing = lifecycle.plan(tables, asked, "forget")
+    assert {(r.kind, r.id) for r in touched.collect()} == {("event", "e2"), ("event", "e3"), ("project", "session:l"), ("project", "p"), ("project", "zz"), ("claim", "c1")}
+    assert [tuple(r) for r in missing.collect()] == [("project_keys", "zz")]
+    for wrong in ({}, {"event_ids": [" "]}, {"names": ["x"]}):
+        with pytest.raises(ValueError):
+            lifecycle.selectors(**wrong)
+    with pytest.raises(ValueError):
+        lifecycle.impact(tables, events, "burn")
+    rows = spark.createDataFrame([("ab abc x",), (None,)], "t string")
+    assert [r.t for r in lifecycle.scrub(rows, "t", ["ab", "abc", " "]).collect()] == ["[FORGOTTEN] [FORGOTTEN] x", None]
+    policies = spark.createDataFrame([("s1", "2025", "2026"), ("s2", "2025", None)], "selector_sha256 string, recheck_after string, retain_until string")
+    new = spark.createDataFrame([("s1", "2027", None), ("s3", "2024", None)], policies.schema)
+    assert sorted((r.selector_sha256, r.recheck_after) for r in lifecycle.schedule(policies, new).collect()) == [("s1", "2027"), ("s2", "2025"), ("s3", "2024")]
+
+
+def test_numbers_within_hot_keys(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i % 50, i) for i in range(3000)], "k string, x int, event_id int").repartition(7)
+    got = {}
+    for r in ranges.numbered(rows, ["k"], [F.col("x"), F.col("event_id")]).collect():
+        got.setdefault(r.k, []).append((r.place, r.x, r.event_id))
+    for key, places in got.items():
+        want = sorted((i % 50, i) for i in range(3000) if ("a" if i % 3 else None) == key)
+        assert [(x, i) for _, x, i in sorted(places)] == want and sorted(p for p, _, _ in places) == list(range(1, len(want) + 1))
+    packs = sorted((r.packet, r.start, r.end, r.previous_id is None, r.next_id is None) for r in ranges.packets(rows.filter("k = 'a'"), "k", [F.col("x"), F.col("event_id")], 900).collect())
+    assert packs == [(0, 0, 900, True, False), (1, 900, 1800, False, False), (2, 1800, 2000, False, True)]
+
+
+def test_sessions_of_one_document_are_stitched(spark):
+    schema = "source_agent string, session_id string, parent_session_id string, source_relpath string"
+    rows = [("Clacky", "a", None, "x/t.json"), ("Clacky", "b", None, "x/t-chunk-2.md"), ("Clacky", "c", None, "y/t.md"), ("Codex", "a", None, "x/t.json"), ("Codex", "d", "a", None)]
+    got = {(r.source_agent, r.session_id): r.logical_session_id for r in evidence.logical_sessions(spark.createDataFrame(rows, schema)).collect()}
+    assert got[("Clacky", "a")] == got[("Clacky", "b")] != got[("Clacky", "c")] and got[("Codex", "a")] == got[("Codex", "d")] != got[("Clacky", "a")] and len(got) == 5
 
 
 def test_manifest_does_not_depend_on_order(spark):
@@ -104,7 +153,6 @@ def test_retrieval(spark):
     tasks = spark.createDataFrame([("t1", "Ledger"), ("t2", "please fix the code"), ("t3", "zebra")], "task_id string, task string")
     scored = {(r.task_id, r.doc_key): r.score for r in retrieval.scores(tasks, docs).collect()}
     assert scored == {("t1", "d1"): 4 + 3 + 4 + 20 + 24, ("t1", "d2"): 4}
-    assert {(r.task_id, r.doc_key): r.score for r in retrieval.scores(tasks, docs, block_tasks=1).collect()} == scored
     assert retrieval.scores(tasks.limit(0), docs).count() == 0
     assert [(r.doc_key, r.rank) for r in retrieval.ranked(retrieval.scores(tasks, docs), limit=1).collect()] == [("d1", 1)]
     edges = spark.createDataFrame([(1, "e1", "a.md", "b.md", "uses", "directed", "confirmed"), (2, "e2", "c.md", "a.md", "near", "symmetric", "confirmed"), (3, "e3", "c.md", "a.md", "x", "directed", "candidate")], "position int, edge_id string, source_path string, target_path string, relation string, direction string, status string")
