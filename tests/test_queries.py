@@ -3,10 +3,10 @@ import os
 import pytest
 
 import __spark_entry__
-from loomspark.plans import data_quality, evidence_queries, publication_queries, review_queries, source_queries
+from loomspark.plans import data_quality, evidence_queries, knowledge_queries, publication_queries, review_queries, source_queries
 from tests.oracle import SF, differences
 
-MODULES = [data_quality, evidence_queries, publication_queries, review_queries, source_queries]
+MODULES = [data_quality, evidence_queries, knowledge_queries, publication_queries, review_queries, source_queries]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
