@@ -93,13 +93,16 @@ def _contract(nodes: DataFrame, segment: Column, scratch: Scratch) -> tuple[Data
     active = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("dist"), F.col("node").alias("low"), segment.alias("seg"), F.lit(1).cast("bigint").alias("w"), zero.alias("acc"))
     gave, removed, core, round_no = None, [], None, 0
     while True:
-        below = active.select(F.col("ptr").alias("node"), F.lit(1).alias("n"), F.col("node").alias("kid"), F.col("acc").alias("kid_acc"), zero.alias("gain"))
+        # a node's own row and the rows of those that point to it meet in one aggregation; own is null for roots
+        own = F.struct("ptr", "dist", "low", "seg", "w", "acc")
+        below = active.select("node", own.alias("own"), F.lit(0).alias("n"), none.cast("string").alias("kid"), none.cast("bigint").alias("kid_acc"), zero.alias("gain"))
+        below = below.unionByName(active.select(F.col("ptr").alias("node"), none.cast(below.schema["own"].dataType).alias("own"), F.lit(1).alias("n"), F.col("node").alias("kid"), F.col("acc").alias("kid_acc"), zero.alias("gain")))
         if gave is not None:
-            below = below.unionByName(gave.select(F.col("ptr").alias("node"), F.lit(0).alias("n"), none.cast("string").alias("kid"), none.cast("bigint").alias("kid_acc"), F.col("give").alias("gain")))
-        below = below.groupBy("node").agg(F.sum("n").alias("n"), F.min("kid").alias("kid"), F.min("kid_acc").alias("kid_acc"), F.sum("gain").alias("gain"))
+            below = below.unionByName(gave.select(F.col("ptr").alias("node"), none.cast(below.schema["own"].dataType).alias("own"), F.lit(0).alias("n"), none.cast("string").alias("kid"), none.cast("bigint").alias("kid_acc"), F.col("give").alias("gain")))
+        below = below.groupBy("node").agg(F.first("own", ignorenulls=True).alias("own"), F.sum("n").alias("n"), F.min("kid").alias("kid"), F.min("kid_acc").alias("kid_acc"), F.sum("gain").alias("gain"))
         draw = lambda c, r=round_no: F.xxhash64(F.col(c), F.lit(r))
         goes = (F.col("n") == 1) & (draw("node") > draw("kid")) & (draw("node") > draw("ptr"))
-        counted = active.join(below, "node", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "w": F.col("w") + F.coalesce("gain", F.lit(0))}).drop("gain").withColumn("goes", F.coalesce(goes, F.lit(False)))
+        counted = below.filter("own IS NOT NULL").select("node", "own.ptr", "own.dist", "own.low", "own.seg", (F.col("own.w") + F.col("gain")).alias("w"), "own.acc", "n", "kid", "kid_acc").withColumn("goes", F.coalesce(goes, F.lit(False)))
         state, seen = scratch.keep_counted(counted, f"state{round_no}", left=F.count(F.lit(1)), leaves=F.count_if(F.col("n") == 0))
         if not seen["left"]:
             break

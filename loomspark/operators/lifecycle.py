@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import Scratch
+
 # What may be selected, what may be done, kinds a tombstone keeps.
 SELECTORS, ACTIONS = ("source_file_ids", "event_ids", "claim_ids", "project_keys"), ("retract", "forget", "schedule")
 TOMBSTONES = {"event": "events", "project": "projects", "source": "sources", "event_locator": "event_locators"}
@@ -71,20 +73,23 @@ def impact(tables: Tables, selected: DataFrame, action: str = "retract", claim_i
     """
     if action not in ACTIONS:
         raise ValueError(f"no such action: {action}")
+    scratch = Scratch(tables.events.sparkSession, "impact")  # sets of ids are read again and again
     ids = lambda df, column: df.select(F.col(column).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
     union = lambda *parts: reduce(lambda a, b: a.unionByName(b), [p for p in parts if p is not None]).distinct()
-    events = tables.events.select("event_id", own_project(tables.events).alias("own")).dropDuplicates(["event_id"])
+    events = scratch.keep(tables.events.select("event_id", own_project(tables.events).alias("own")).dropDuplicates(["event_id"]), "events")
     on = lambda df, among, column="event_id": df.join(among.select(F.col("id").alias(column)), column, "left_semi")
-    hit = ids(selected, "event_id")
+    hit = scratch.keep(ids(selected, "event_id"), "selected")
     direct = union(ids(on(events, hit), "own"), ids(project_keys, "project_key") if project_keys is not None else None)
-    claim_cites = cited(tables.claims, "claim_id")
+    claim_cites = scratch.keep(cited(tables.claims, "claim_id"), "cites")
     claims = union(ids(on(claim_cites, hit), "id"), ids(tables.claims.join(claim_ids.select("claim_id"), "claim_id", "left_semi"), "claim_id") if claim_ids is not None else None)
+    claims = scratch.keep(claims, "claims")
     of_claims = ids(claim_cites.join(claims, "id", "left_semi"), "event_id")
-    projects = union(direct, ids(on(events, of_claims), "own"))
+    projects = scratch.keep(union(direct, ids(on(events, of_claims), "own")), "projects")
     if action == "forget":
-        hit = union(hit, ids(on(events, of_claims), "event_id"))
+        hit = scratch.keep(union(hit, ids(on(events, of_claims), "event_id")), "hit")
         direct = projects
     feedback = union(ids(on(cited(tables.feedback, "feedback_id"), hit), "id"), ids(on(tables.feedback, direct, "project_key"), "feedback_id") if "project_key" in tables.feedback.columns else None)
+    feedback = scratch.keep(feedback, "feedback")
     signals = tables.rules.select(F.col("evolution_id").alias("id"), (F.col("feedback_id") if "feedback_id" in tables.rules.columns else F.explode("feedback_ids")).alias("feedback_id"))
     promoted = ids(on(tables.rules, claims, "promoted_claim_id"), "evolution_id") if "promoted_claim_id" in tables.rules.columns else None
     rules = union(ids(on(signals, feedback, "feedback_id"), "id"), ids(on(cited(tables.rules, "evolution_id"), hit), "id"), promoted)

@@ -18,6 +18,7 @@ from loomspark.functions.text import collapsed
 from loomspark.operators import context_units as cu
 from loomspark.operators import retrieval
 from loomspark.operators.sanitize import sanitize_text
+from loomspark.session import Scratch
 
 # The profile of a search, its bounds, kinds of cases, and how many of each a suite needs.
 PROFILE = {"min_score": 4, "max_projects": 3, "max_related": 2}
@@ -51,6 +52,9 @@ def search(tasks: DataFrame, documents: DataFrame, edges: DataFrame, base_contex
     neighbours over confirmed links, in the order of the links.  A base document comes in as a neighbour only if it was asked for.
     """
     p = profile(**asked)
+    scratch = Scratch(tasks.sparkSession, "search")  # each is read several times
+    documents = scratch.keep(documents.select("doc_key", "position", "path", "type", "project_key", "title", "aliases", "keywords"), "documents")
+    edges = scratch.keep(edges.filter("status = 'confirmed'"), "edges") if p["max_related"] else edges
     docs = documents.select("path", "type", "project_key", "position").dropDuplicates(["path"])
     asked_base = tasks.select("task_id", F.explode(retrieval.base_context(F.col("task"), base_context)).alias("type"))
     firsts = docs.filter(F.col("type").isin(*BASE_TYPES, EVIDENCE)).groupBy("type").agg(F.min_by(F.struct("path", "project_key"), F.struct("position", "path")).alias("d"))
@@ -58,6 +62,7 @@ def search(tasks: DataFrame, documents: DataFrame, edges: DataFrame, base_contex
     best = retrieval.ranked(retrieval.scores(tasks, documents.filter("type = 'project'").select("doc_key", "path", "title", "aliases", "keywords")), p["min_score"], p["max_projects"])
     none = F.lit(None)
     text = lambda c: none.cast("string").alias(c)
+    best = scratch.keep(best, "best")
     rows = [base.select("task_id", F.lit(1).alias("part"), (F.col("type") == "collaboration").cast("int").alias("nth"), "path", none.cast("int").alias("score"), text("relation"), text("traversal"))]
     rows.append(best.select("task_id", F.lit(2).alias("part"), F.col("rank").alias("nth"), "path", "score", text("relation"), text("traversal")))
     selected = rows[0].unionByName(rows[1])

@@ -11,7 +11,7 @@ from loomspark.operators import evidence as ev
 from loomspark.operators import context_units as cu
 from loomspark.operators import lifecycle, ranges, retrieval, review, sanitize, search
 from loomspark.operators.timestamps import known_zones, with_utc_micros
-from loomspark.session import table
+from loomspark.session import Scratch, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -176,13 +176,24 @@ def r_p03_shown_paths(spark, sf_dir):
     return table(spark, sf_dir, "raw_events").select("working_dir").distinct().select("working_dir", sanitize.display_path(F.col("working_dir")).alias("shown"))
 
 
-_FLAG_TESTS = {flag: " OR ".join(f"contains(low, '{m}')" for m in markers) for flag, markers in ev.MARKERS.items()}
-_FLAG_TESTS["runtime_injection"] += " OR " + " OR ".join(f"starts_with(low, '{m}')" for m in ev.INJECTED_STARTS)
+# The SQL states its own lists, so that a slip in the operators' shows.
+_SQL_MARKERS = {
+    "runtime_injection": "<environment_context>|<permissions instructions>|<recommended_plugins>|# agents.md instructions|<apps_instructions>|<plugins_instructions>|<collaboration_mode>|<skills_instructions>|<codex_internal_context|<turn_aborted>",
+    "delegated_transcript": "<codex_delegation>|<delegated_task>|source_thread_id|sub_agent_activity",
+    "nested_approval": "<approval|sandbox approval|approval transcript|approvals_reviewer|>>> approval request start|reviewed codex session id:",
+    "imported_transcript": "the following is the codex agent history|<external session imported>|>>> transcript start|>>> transcript delta start|begin external transcript",
+    "external_material": "quoted third-party|third-party material|external article|reference article",
+}
+_SQL_COMPACTION = "this session is being continued from a previous conversation that ran out of context.|[compressed conversation summary|<summary>|## previous session archives|conversation summary"
+_SQL_QUARANTINE = "runtime_injection:runtime_injection|compacted_summary:compacted_summary|imported_transcript:imported_transcript|nested_approval:nested_approval_transcript|delegated_transcript:delegated_transcript|synthetic_fixture:synthetic_fixture"
+_any_sql = lambda test, words: " OR ".join(f"{test}(low, '{w}')" for w in words.split("|"))
+_FLAG_TESTS = {flag: _any_sql("contains", words) for flag, words in _SQL_MARKERS.items()}
+_FLAG_TESTS["runtime_injection"] += " OR " + _any_sql("starts_with", "base directory for this skill:|<!-- maintenance-runner · crystallize ·")
 _FLAG_TESTS["nested_approval"] += (
     " OR (json_valid(content) AND TRY_CAST(content AS JSON)->>'$.outcome' IN ('allow', 'deny', 'ask') AND len(list_filter(json_keys(TRY_CAST(content AS JSON)), lambda k: k NOT IN ('outcome', 'risk_level', 'user_authorization', 'rationale'))) = 0)"
 )
-_FLAG_TESTS["compacted_summary"] = " OR ".join(f"contains(low[1:2000], '{m}')" for m in ev.COMPACTION)
-_FLAG_TESTS["synthetic_fixture"] = " OR ".join(f"starts_with(low, '{m}')" for m in ev.SYNTHETIC_STARTS) + r" OR regexp_full_match(trim(content) || ' ', 'Response \d+: (?:Answer |Detailed response )+')"
+_FLAG_TESTS["compacted_summary"] = _any_sql("contains", _SQL_COMPACTION).replace("(low,", "(low[1:2000],")
+_FLAG_TESTS["synthetic_fixture"] = _any_sql("starts_with", "short message |conversation message |this is a detailed message number ") + r" OR regexp_full_match(trim(content) || ' ', 'Response \d+: (?:Answer |Detailed response )+')"
 _ROLE_LINE = r"regexp_replace(content[1:2000], '^\s+|\n$', '', 'g')"
 _FLAG_TESTS["test_role"] = (
     r"regexp_matches(content[1:2000], '(?i)\bonly (reply|respond) (with )?(ok|yes|no)\b') OR regexp_matches(content[1:2000], '(?i)只回复\s*[`''\x22]?(ok|好的|是|否)')"
@@ -210,7 +221,7 @@ _ACTOR_SQL = """CASE WHEN list_has_any(flags, ['delegated_transcript', 'nested_a
     WHEN list_has_any(flags, ['test_role', 'synthetic_fixture']) THEN 'test_actor' WHEN list_contains(flags, 'runtime_injection') OR role = 'system' THEN 'runtime'
     WHEN coalesce(actor_hint, '') <> '' THEN actor_hint WHEN list_has_any(flags, ['subagent', 'sidechain']) THEN 'subagent' WHEN role IN ('user', 'unknown') THEN 'unknown_user'
     WHEN role = 'assistant' THEN 'primary_agent' WHEN role = 'tool' THEN 'tool' ELSE 'observer' END"""
-_TYPES_SQL = ", ".join(f"'{t}'" for t in ev.OBSERVED_TYPES)
+_TYPES_SQL = "'tool_call', 'tool_result', 'patch', 'browser', 'device', 'attachment', 'status', 'delivery', 'error'"
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +252,7 @@ def r_k02_actors_and_grades(spark, sf_dir):
 @query(
     _FLAGS_SQL
     + ", z AS (SELECT CASE "
-    + " ".join(f"WHEN list_contains(flags, '{flag}') THEN '{reason}'" for flag, reason in ev.QUARANTINE)
+    + " ".join("WHEN list_contains(flags, '{}') THEN '{}'".format(*pair.split(":")) for pair in _SQL_QUARANTINE.split("|"))
     + " END AS reason FROM k) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM z GROUP BY 1"
 )
 def r_f01_quarantine(spark, sf_dir):
@@ -370,8 +381,8 @@ def r_g10_clusters(spark, sf_dir):
 
 # ---- sequences and order -----------------------------------------------------------------------------------------
 
-_RANK_SQL = "CASE coalesce(nullif(metadata['transport_lane'], ''), 'unknown') " + " ".join(f"WHEN '{lane}' THEN {p}" for lane, p in ev.LANES.items()) + " ELSE 70 END + CASE WHEN actor_kind = 'primary_user' THEN 10 ELSE 0 END"
-_MIRROR_SQL = " OR ".join(f"(list_contains(lanes, '{a}') AND list_contains(lanes, '{b}'))" for a, b in ev.MIRRORS)
+_RANK_SQL = "CASE coalesce(nullif(metadata['transport_lane'], ''), 'unknown') WHEN 'codex-event-message' THEN 100 WHEN 'clacky-json' THEN 90 WHEN 'claude-code' THEN 80 WHEN 'workbuddy' THEN 80 WHEN 'codex-response-item' THEN 60 WHEN 'clacky-chunk' THEN 50 ELSE 70 END + CASE WHEN actor_kind = 'primary_user' THEN 10 ELSE 0 END"
+_MIRROR_SQL = "(list_contains(lanes, 'codex-event-message') AND list_contains(lanes, 'codex-response-item')) OR (list_contains(lanes, 'clacky-json') AND list_contains(lanes, 'clacky-chunk'))"
 
 
 @query(
@@ -605,7 +616,8 @@ def r_cu05_views(spark, sf_dir):
 )
 def r_l02_impact(spark, sf_dir):
     """What forgetting all files with an error would touch: events, projects, claims, feedback, rules and documents."""
-    events = _events(spark, sf_dir)
+    fields = ("event_id", "source_file_id", "project_key", "logical_session_id", "event_type", "role", "content")
+    events = Scratch(spark, "events").keep(_events(spark, sf_dir).select(*fields), "once")
     files = events.filter("event_type = 'error'").select("source_file_id").distinct()
     selected = events.join(files, "source_file_id", "left_semi")
     feedback = events.filter("event_type = 'message' AND role = 'user' AND project_key IS NOT NULL").select(F.col("event_id").alias("feedback_id"), "event_id", "project_key", "content")

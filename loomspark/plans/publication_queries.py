@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return register
 
 
-_SKIP = ", ".join(f"'{s}'" for s in snapshots.SKIPPED)
+_SKIP = "'.git', 'node_modules', 'plugins', 'skills', 'cache', 'caches', 'file-history', 'binaries', 'connectors', 'connectors-marketplace', 'downloads', 'assets', 'docs', 'documentation'"
 
 
 @query(
