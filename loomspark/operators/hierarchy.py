@@ -49,7 +49,7 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     """Root and depth of every node of ``links`` (node unique; parent null, or a node).
 
     Returns node, root, depth (bigint; -1 in or below a cycle) and, with ``with_paths``, path: the ids from the
-    root down to the node (for nodes in or below a cycle: from the cycle's first met node), in_cycle and n_descendants (how many other
+    root down to the node (for nodes below a cycle from the cycle's first node met on the way up, for nodes of a cycle themselves alone), in_cycle and n_descendants (how many other
     nodes have the node on their way up; for a node of a cycle the rest of its cycle and all that hangs below it).  Parents that are
     no node themselves end the way up and count as roots without a row.  An empty table gives no rows.
     """
@@ -77,6 +77,12 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     # the segments of the core, which may overlap, hold the nodes compressed out of the cycles too
     cyclic = core.select(F.explode("seg").alias("node")).distinct().withColumn("in_cycle", F.lit(True)) if core is not None else roots.limit(0).withColumn("in_cycle", F.lit(True))
     out = out.join(cyclic, "node", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    if core is not None:  # a path from a node of the core may lead through more of the cycle before it leaves it
+        out = scratch.keep(out, "marked")
+        steps = out.filter("depth < 0 AND NOT in_cycle").select("node", F.explode("path").alias("_step"))
+        inside = steps.join(cyclic.select(F.col("node").alias("_step")), "_step").groupBy("node").agg(F.count(F.lit(1)).alias("_inside"))
+        own = F.when(F.col("in_cycle"), F.array("node")).when(F.col("_inside") > 1, F.slice("path", F.col("_inside").cast("int"), F.size("path"))).otherwise(F.col("path"))
+        out = out.join(inside, "node", "left").withColumn("path", own).drop("_inside")
     sizes = _sizes(removed, roots, scratch)
     around = out.filter("depth < 0").groupBy("root").agg(F.count(F.lit(1)).alias("n_around"))
     n = F.when(F.col("in_cycle"), F.col("n_around") - 1).otherwise(F.coalesce("size", F.lit(1)) - 1)
@@ -178,8 +184,11 @@ def _cycle_labels(core: DataFrame, scratch: Scratch) -> DataFrame:
 def descendants(paths: DataFrame) -> DataFrame:
     """All ancestor-descendant pairs from ``resolve(..., with_paths=True)``: ancestor, descendant, distance.
 
-    Its rows are the sum of all depths, which is what the result asks for (``n_descendants`` is counted without it); nodes in or below a
-    cycle have none, as in the query's SQL.
+    Its rows are the sum of all depths, which is what the result asks for (``n_descendants`` is counted without it).  For a descendant in or below a
+    cycle the ancestors are all nodes of the cycle but itself and those between, and the distance is -1, as the way up never ends.
     """
-    rows = paths.filter("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "ancestor"))
-    return rows.select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    up = paths.select(F.col("node").alias("descendant"), "depth", "root", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "ancestor"))
+    distance = F.when(F.col("depth") < 0, -1).otherwise(F.col("depth") - F.col("at")).cast("bigint")
+    around = paths.filter("in_cycle").select("root", F.col("node").alias("ancestor"))
+    cyclic = paths.filter("depth < 0").select(F.col("node").alias("descendant"), "root").join(around, "root").filter("ancestor <> descendant")
+    return up.select("ancestor", "descendant", distance.alias("distance")).unionByName(cyclic.select("ancestor", "descendant", F.lit(-1).cast("bigint").alias("distance"))).distinct()

@@ -22,7 +22,7 @@ def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ancestor-descendant pair with its distance; sessions in or below a cycle have none."""
+    """Every ancestor-descendant pair with its distance; -1 where the descendant is in or below a cycle."""
     return hierarchy.descendants(hierarchy.resolve(hierarchy.session_links(table(spark, sf_dir, "unified_events")), with_paths=True))
 
 
@@ -90,6 +90,14 @@ ORACLES = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT node AS session_id, root AS root_session_id, depth FROM resolved",
     "p1_descendants": f"""WITH RECURSIVE {_LINKS},
         deep AS (SELECT node, count(*) AS d FROM above GROUP BY node)
-        SELECT a.ancestor, a.node AS descendant, r.depth - coalesce(d.d, 0) AS distance
-        FROM above a JOIN resolved r ON r.node = a.node LEFT JOIN deep d ON d.node = a.ancestor WHERE r.depth >= 0""",
+        SELECT a.ancestor, a.node AS descendant, CASE WHEN r.depth < 0 THEN -1 ELSE r.depth - coalesce(d.d, 0) END AS distance
+        FROM above a JOIN resolved r ON r.node = a.node LEFT JOIN deep d ON d.node = a.ancestor WHERE a.node <> a.ancestor""",
+    "p1_hierarchy": f"""WITH RECURSIVE {_LINKS},
+        plain AS (SELECT node, ancestor FROM above WHERE ancestor NOT IN (SELECT node FROM cyclic) AND node <> ancestor),
+        nth AS (SELECT l.node, count(p.ancestor) AS n FROM links l LEFT JOIN plain p USING (node) GROUP BY 1),
+        steps AS (SELECT p.node, p.ancestor AS step, n.n FROM plain p JOIN nth n ON n.node = p.ancestor UNION ALL SELECT node, node, n FROM nth),
+        ways AS (SELECT node, string_agg(step, '/' ORDER BY n) AS way, arg_min(step, n) AS top FROM steps GROUP BY 1),
+        below AS (SELECT ancestor AS node, count(*) AS n FROM above WHERE node <> ancestor GROUP BY 1)
+        SELECT r.node AS session_id, r.root AS root_session_id, r.depth, CASE WHEN r.depth < 0 AND r.node NOT IN (SELECT node FROM cyclic) THEN l.parent || '/' || w.way ELSE w.way END AS path, coalesce(b.n, 0) AS n_descendants
+        FROM resolved r JOIN ways w USING (node) JOIN links l ON l.node = w.top LEFT JOIN below b ON b.node = r.node""",
 }

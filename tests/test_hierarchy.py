@@ -66,8 +66,10 @@ def test_long_chain(spark):
 
 
 def test_descendants(spark):
-    rows = resolve(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "d")], "node string, parent string"), with_paths=True)
-    assert sorted(map(tuple, descendants(rows).collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+    rows = resolve(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "d"), ("x", "y"), ("y", "z"), ("z", "x"), ("t", "y"), ("u", "t")], "node string, parent string"), with_paths=True)
+    cyclic = [(a, b, -1) for a in "xyz" for b in "xyztu" if a != b] + [("t", "u", -1)]
+    assert sorted(map(tuple, descendants(rows).collect())) == sorted([("a", "b", 1), ("a", "c", 2), ("b", "c", 1), *cyclic])
+    assert {r.node: "/".join(r.path) for r in rows.collect()} == {"a": "a", "b": "a/b", "c": "a/b/c", "d": "d", "x": "x", "y": "y", "z": "z", "t": "y/t", "u": "y/t/u"}
 
 
 def test_descendants_in_and_below_cycles_are_counted(spark):
