@@ -14,23 +14,35 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import stable_hash
 
 
-def nodes(documents: DataFrame, claims: DataFrame, feedback: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, kind, title of the graph: documents, claims, feedback signals and rules."""
+def nodes(documents: DataFrame, claims: DataFrame, feedback: DataFrame, rules: DataFrame, assertions: DataFrame | None = None) -> DataFrame:
+    """id, kind, title of the graph: documents, what projects assert, claims, feedback signals and rules."""
     pick = lambda df, key, kind, title: df.select(F.col(key).cast("string").alias("id"), F.lit(kind).alias("kind"), F.col(title).cast("string").alias("title"))
-    return pick(documents, "path", "document", "title").unionByName(pick(claims, "claim_id", "claim", "statement")).unionByName(pick(feedback, "feedback_id", "feedback_signal", "statement")).unionByName(pick(rules, "evolution_id", "rule_evolution", "rule"))
+    parts = [pick(documents, "path", "document", "title"), pick(claims, "claim_id", "claim", "statement"), pick(feedback, "feedback_id", "feedback_signal", "statement"), pick(rules, "evolution_id", "rule_evolution", "rule")]
+    if assertions is not None:
+        parts.append(pick(assertions, "assertion_id", "project_assertion", "text"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def edges(documents: DataFrame, claims: DataFrame, feedback: DataFrame, rules: DataFrame) -> DataFrame:
-    """edge_id, source, target, relation: what contains, supports, contradicts, replaces or activates what."""
-    # a project's records belong to its one document, the first by path should there be more
+def edges(documents: DataFrame, claims: DataFrame, feedback: DataFrame, rules: DataFrame, assertions: DataFrame | None = None, evidence: DataFrame | None = None, relationships: DataFrame | None = None) -> DataFrame:
+    """edge_id, source, target, relation: what contains, supports, contradicts, replaces or activates what.
+
+    A project's records belong to its one document, the first by path should there be more.  assertions: assertion_id, project_key; evidence: claim_id,
+    project_key of the events a claim cites; relationships: source_path, target_path, relation of documents.
+    """
     of_project = documents.filter("project_key IS NOT NULL").groupBy("project_key").agg(F.min("path").alias("source"))
-    contains = claims.join(of_project, "project_key").select("source", F.col("claim_id").alias("target"), F.lit("contains-claim").alias("relation"))
-    records = feedback.join(of_project, "project_key").select("source", F.col("feedback_id").alias("target"), F.lit("records-feedback").alias("relation"))
+    within = lambda df, key, relation: df.join(of_project, "project_key").select("source", F.col(key).alias("target"), F.lit(relation).alias("relation"))
     links = lambda df, key, field, relation: df.select(F.col(key).alias("source"), F.explode(field).alias("target"), F.lit(relation).alias("relation"))
-    cited = "feedback_id" if "feedback_id" in rules.columns else F.explode("feedback_ids")  # rules may come as one row per signal
-    supports = rules.select((F.col(cited) if isinstance(cited, str) else cited).alias("source"), F.col("evolution_id").alias("target"), F.lit("supports-evolution").alias("relation"))
+    cited = F.col("feedback_id") if "feedback_id" in rules.columns else F.explode("feedback_ids")  # rules may come as one row per signal
+    supports = rules.select(cited.alias("source"), F.col("evolution_id").alias("target"), F.lit("supports-evolution").alias("relation"))
     activates = rules.filter("promoted_claim_id IS NOT NULL").select(F.col("evolution_id").alias("source"), F.col("promoted_claim_id").alias("target"), F.lit("activates-claim").alias("relation"))
-    every = reduce(lambda a, b: a.unionByName(b), [contains, records, links(claims, "claim_id", "conflicts", "conflicts"), links(claims, "claim_id", "supersedes", "supersedes"), supports, activates]).distinct()
+    parts = [within(claims, "claim_id", "contains-claim"), within(feedback, "feedback_id", "records-feedback"), links(claims, "claim_id", "conflicts", "conflicts"), links(claims, "claim_id", "supersedes", "supersedes"), supports, activates]
+    if assertions is not None:
+        parts.append(within(assertions, "assertion_id", "contains-assertion"))
+    if evidence is not None:
+        parts.append(within(evidence, "claim_id", "evidence-for-claim"))
+    if relationships is not None:
+        parts.append(relationships.select(F.col("source_path").alias("source"), F.col("target_path").alias("target"), "relation"))
+    every = reduce(lambda a, b: a.unionByName(b), parts).distinct()
     return every.select(F.concat(F.lit("edge-"), stable_hash("source", "target", "relation", length=24)).alias("edge_id"), "source", "target", "relation")
 
 

@@ -309,16 +309,24 @@ def r_g01_files_by_adapter(spark, sf_dir):
     return files.groupBy(F.lower(F.replace(F.trim("adapter"), F.lit("_"), F.lit("-"))).alias("adapter")).agg(F.count(F.lit(1)).alias("files"), F.sum("frozen_size").alias("bytes"))
 
 
+#: The counters of a run: name, and the test of the rows it counts (the same in both languages).
+_COUNTERS = {
+    **{f"type_{t}": f"event_type = '{t}'" for t in ("message", "tool_call", "tool_result", "patch", "browser", "device", "attachment", "status", "delivery", "error")},
+    **{f"grade_{g.lower()}": f"evidence_grade = '{g}'" for g in "ABCD"},
+    **{f"actor_{a}": f"actor_kind = '{a}'" for a in ("primary_user", "native_user", "unknown_user", "primary_agent", "subagent", "tool", "runtime", "observer")},
+    "users": "role = 'user'", "assistants": "role = 'assistant'", "with_call": "call_id IS NOT NULL", "with_parent": "parent_session_id IS NOT NULL AND parent_session_id <> ''", "without_project": "project_key IS NULL", "without_title": "session_title IS NULL", "without_directory": "working_dir IS NULL",
+    "redacted": "content LIKE '%[REDACTED:%'", "binary_removed": "content LIKE '%[BINARY_REMOVED%'", "empty": "content = ''",
+}
+
+
 @query(
-    f"""WITH {_ONCE} SELECT count(*) AS events, count_if(event_type = 'message') AS messages, count_if(role = 'user') AS users, count_if(list_contains(flags, 'sidechain')) AS sidechains, count_if(evidence_grade = 'B') AS observed,
-    count_if(call_id IS NOT NULL) AS calls, count(DISTINCT session_id) AS sessions, sum(length(content)) AS chars FROM e"""
+    f"WITH {_ONCE} SELECT count(*) AS events, count_if(list_contains(flags, 'sidechain')) AS sidechains, count(DISTINCT session_id) AS sessions, count(DISTINCT source_file_id) AS sources, count(DISTINCT project_key) AS projects, sum(length(content)) AS chars, "
+    + ", ".join(f"count_if({test}) AS {name}" for name, test in _COUNTERS.items()) + " FROM e"
 )
 def r_g02_counters(spark, sf_dir):
     """The counters of a run, in one pass."""
-    return _events(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "message").alias("messages"), F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.array_contains("flags", "sidechain")).alias("sidechains"),
-        F.count_if(F.col("evidence_grade") == "B").alias("observed"), F.count_if(F.col("call_id").isNotNull()).alias("calls"), F.countDistinct("session_id").alias("sessions"), F.sum(F.length("content")).alias("chars"),
-    )
+    distinct = [F.countDistinct(c).alias(n) for c, n in (("session_id", "sessions"), ("source_file_id", "sources"), ("project_key", "projects"))]
+    return _events(spark, sf_dir).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.array_contains("flags", "sidechain")).alias("sidechains"), *distinct, F.sum(F.length("content")).alias("chars"), *[F.count_if(F.expr(test)).alias(name) for name, test in _COUNTERS.items()])
 
 
 @query(

@@ -137,10 +137,20 @@ _KNOWLEDGE_SQL = f"""docs AS (SELECT path, min(project_key) AS project_key FROM
       UNION SELECT a.event_id, r.body, 'supports-evolution' FROM asked a JOIN rules r USING (body))"""
 
 
-@query(f"WITH {_ONCE}, {_KNOWLEDGE_SQL} SELECT relation, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM edges GROUP BY 1")
+@query(
+    f"""WITH {_ONCE}, {_KNOWLEDGE_SQL}, every AS (SELECT * FROM edges UNION SELECT o.path, 'assert/' || p.event_id, 'contains-assertion' FROM p JOIN owner o USING (project_key) WHERE event_type = 'status'
+      UNION SELECT o.path, claim_id, 'evidence-for-claim' FROM claims c JOIN owner o USING (project_key) UNION SELECT a.path, b.path, 'follows' FROM (SELECT path, min(project_key) AS k, min(doc_id) AS i FROM documents GROUP BY 1) a JOIN (SELECT path, min(project_key) AS k, min(doc_id) AS i FROM documents GROUP BY 1) b ON a.k = b.k AND b.i = a.i + 1)
+    SELECT relation, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM every GROUP BY 1"""
+)
 def r_h02_graph(spark, sf_dir):
     """Edges of the knowledge graph by relation."""
-    return publication.edges(*_knowledge(spark, sf_dir)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+    docs, claims, feedback, rules = _knowledge(spark, sf_dir)
+    states = _events(spark, sf_dir).filter("event_type = 'status' AND project_key IS NOT NULL").select(F.concat(F.lit("assert/"), "event_id").alias("assertion_id"), "project_key")
+    numbered = table(spark, sf_dir, "documents").groupBy("path").agg(F.min("project_key").alias("project_key"), F.min("doc_id").alias("doc_id"))
+    after = numbered.select("project_key", F.col("path").alias("target_path"), (F.col("doc_id") - 1).alias("doc_id"))
+    follows = numbered.join(after, ["project_key", "doc_id"]).select(F.col("path").alias("source_path"), "target_path", F.lit("follows").alias("relation"))
+    made = publication.edges(docs, claims, feedback, rules, states, claims.select("claim_id", "project_key"), follows)
+    return made.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
 
 
 @query(f"WITH {_ONCE}, {_KNOWLEDGE_SQL} SELECT path, count(source) AS links FROM docs LEFT JOIN edges ON source = path GROUP BY 1")
