@@ -268,11 +268,22 @@ class Drift:
         return every.join(names, ["adapter_key", "event_key"], "left").select("source_file_id", F.coalesce("event_name", "event_key").alias("event_type"), "change", "contract_field", "file_field")
 
     def unified(self, fields: list[str]) -> DataFrame:
-        """Every record once, with ``fields`` (names of the contract) as text columns, renamed fields under their contract name."""
+        """Every record once, with ``fields`` (names of the contract) as columns f_<field>, renamed fields under their contract name.
+
+        A column has the type the contract gives the field: bigint, double or boolean where every event type agrees, else text (arrays and objects as
+        JSON).  A value of another type is cast where it reads as one of that type (``"12"`` as 12), else null; its text is in ``recast``, by field.
+        """
         self._find()
         moved = self._renamed.groupBy(*self.unit).agg(F.map_from_entries(F.collect_list(F.struct("contract_field", "file_field"))).alias("moved"))
         moved = moved.withColumn("unit", F.concat_ws("\u0001", *self.unit)).select("unit", "moved")
         rows = self.keyed.dropDuplicates(["source_file_id", "line_no"]).select("source_file_id", "line_no", compare_key(F.col("adapter")).alias("adapter_key"), compare_key(F.col("event_type")).alias("event_key"), F.from_json("record", "map<string,variant>").alias("m"))
         rows = salted_lookup(rows.withColumn("unit", F.concat_ws("\u0001", *self.unit)), moved, "unit", "line_no")
-        value = lambda f: F.coalesce(F.expr(f"cast(m['{f}'] as string)"), F.expr(f"cast(m[moved['{f}']] as string)"))
-        return rows.select("source_file_id", "line_no", F.col("adapter_key").alias("adapter"), F.col("event_key").alias("event_type"), *[value(f).alias(f"f_{f}") for f in fields])
+        kinds = {r["contract_field"]: r["kinds"] for r in self.contract.groupBy("contract_field").agg(F.collect_set("json_type").alias("kinds")).collect()}  # as many rows as the contract has fields
+        sql = {"integer": "bigint", "number": "double", "boolean": "boolean"}
+        text = lambda f: F.coalesce(F.try_element_at("m", F.lit(f)).cast("string"), F.try_element_at("m", F.try_element_at("moved", F.lit(f))).cast("string"))
+        rows = rows.select("source_file_id", "line_no", F.col("adapter_key").alias("adapter"), F.col("event_key").alias("event_type"), *[text(f).alias(f"f_{f}") for f in fields])
+        typed = {f: sql[kinds[f][0]] for f in fields if len(kinds.get(f, [])) == 1 and kinds[f][0] in sql}
+        column = lambda f: F.col(f"`f_{f.replace('`', '``')}`")
+        lost = [F.when(column(f).isNotNull() & column(f).try_cast(kind).isNull(), F.struct(F.lit(f).alias("field"), column(f).alias("text"))) for f, kind in typed.items()]
+        recast = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.create_map().cast("map<string,string>")
+        return rows.select("source_file_id", "line_no", "adapter", "event_type", *[(column(f).try_cast(typed[f]) if f in typed else column(f)).alias(f"f_{f}") for f in fields], recast.alias("recast"))

@@ -55,6 +55,14 @@ def test_changes(spark):
     )
     rows = drift.unified(["session_id", "title"]).filter("source_file_id = 'renamed'").collect()
     assert len(rows) == 2 and all(r.f_session_id and r.f_title for r in rows)
+    typed = drift.unified(["tokens", "cost", "flag", "it's `odd`"])
+    assert [t for _, t in typed.dtypes[4:]] == ["bigint", "double", "boolean", "string", "map<string,string>"]
+    retyped = typed.filter("source_file_id = 'retyped'").collect()
+    assert all(isinstance(r.f_tokens, int) and r.recast == {} for r in retyped)
+    _, got = changes(spark, {"f": ("A-x", "msg", [{"tokens": "twelve", "cost": "1.5"}])})
+    drift, _ = changes(spark, {"f": ("A-x", "msg", [{"tokens": "twelve", "cost": "1.5"}])})
+    row = drift.unified(["tokens", "cost"]).first()
+    assert (row.f_tokens, row.f_cost, row.recast) == (None, 1.5, {"tokens": "twelve"})
 
 
 def test_odd_tables(spark):
