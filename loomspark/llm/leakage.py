@@ -32,7 +32,7 @@ from loomspark.session import Scratch, spread
 
 RUN, WIDTH, RANK = 12, 24, 96
 #: Least cosine of a candidate, of leaks and of paraphrases; low, because a check follows (recall against brute force is in the README).
-LEAST_COSINE, PARAPHRASE_COSINE = 0.2, 0.25
+LEAST_COSINE, PARAPHRASE_COSINE = 0.4, 0.25
 #: Characters of items searched at once: their vocabulary, vectors and passages are handed to every task.
 BLOCK_CHARS = 2_000_000
 #: Cells of the matrix of cosines a task holds at once.
