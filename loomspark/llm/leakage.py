@@ -8,9 +8,9 @@
    result orthogonalised; what reaches the driver is bounded by the vocabulary of a block of items times the rank.
 3. Every document passage is projected and compared by cosine with all item passages: the items are a stated set of queries, taken in
    blocks of ``BLOCK_CHARS`` characters.  Pairs above the threshold are the candidates; only they are looked at again.
-4. Each candidate pair is verified: enough words in common, then a longest common subsequence that is long enough, then either ``RUN``
-   consecutive words in common (a leak) or, for paraphrases, the item passage's numbers and rare words (the answer check).  For a paraphrase
-   the subsequence is looked for in the passage and ``RUN`` words on either side, wherever it begins.
+4. Each candidate pair is verified: enough words in common, then ``RUN`` consecutive ones (a leak) or, for paraphrases, the item passage's numbers
+   and rare words (the answer check) and a longest common subsequence that is long enough, looked for in the passage and ``RUN`` words on either
+   side, wherever it begins.
 
 Documents are processed whole; nothing is sampled or capped.
 """
@@ -185,10 +185,10 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
 
-def shares_run(a: list[int], b: list[int], n: int = RUN) -> bool:
-    """Whether ``n`` consecutive known words of ``a`` are consecutive in ``b``."""
-    runs = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
-    return any(tuple(a[i : i + n]) in runs for i in range(len(a) - n + 1))
+def runs_of(codes: np.ndarray, n: int = RUN) -> set[bytes]:
+    """The runs of ``n`` known words of a passage."""
+    known = np.concatenate([[0], np.cumsum(codes < 0)])
+    return {codes[i : i + n].tobytes() for i in range(len(codes) - n + 1) if known[i + n] == known[i]}
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -208,6 +208,7 @@ class Targets:
 
     def __init__(self, items: Items):
         self.words = [p.tolist() for _, p in items.passages]
+        self.runs = [runs_of(p) for _, p in items.passages]
         self.absent = len(items.word)
         self.matrix = np.full((len(self.words), WIDTH), self.absent, dtype=np.int32)
         self.rare = np.zeros(self.matrix.shape, dtype=bool)
@@ -247,14 +248,19 @@ def _search(items_bc, basis_bc, exact: bool, least_cosine: float, lcs_share: flo
             ids = batch.column(0).to_pylist()
             for at in range(0, len(codes), step):
                 near = unit(times(codes[at : at + step], items.idf, basis)).astype(np.float32) @ latent.T >= least_cosine
-                part = wide[at : at + step]
+                part, of, runs = wide[at : at + step], -1, set()
                 for i, p in targets.possible(part, near, least, 0.0 if exact else 0.5):
-                    target, passage = targets.words[p], part[i].tolist()
-                    common = lcs_length(target, passage)
-                    if common >= least[p] and (not exact or shares_run(target, passage)):
+                    if exact:
+                        if i != of:  # pairs come passage by passage
+                            of, runs = i, runs_of(part[i])
+                        share = 0.0 if runs.isdisjoint(targets.runs[p]) else 1.0
+                    else:
+                        common = lcs_length(targets.words[p], part[i].tolist())
+                        share = common / len(targets.words[p]) if common >= least[p] else 0.0
+                    if share:
                         docs.append(ids[at + i])
                         hits.append(int(items.owner[p]))
-                        scores.append(1.0 if exact else common / len(target))
+                        scores.append(share)
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(hits, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return run

@@ -108,5 +108,8 @@ def test_retrieval_decides(spark):
 
 
 def test_shared_runs():
+    import numpy as np
+
+    runs = lambda *words: leakage.runs_of(np.array(words, dtype=np.int32))
     a = list(range(20))
-    assert leakage.shares_run(a, [99] * 5 + a[3:15]) and not leakage.shares_run(a, a[3:14] + [99] + a[14:]) and not leakage.shares_run([], a)
+    assert runs(*a) & runs(*[99] * 5, *a[3:15]) and not runs(*a) & runs(*a[3:14], 99, *a[14:]) and runs() == set() == runs(*[-1] * 12) == runs(*a[:5], -1, *a[5:11])
