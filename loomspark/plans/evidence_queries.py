@@ -270,7 +270,7 @@ def r_f02_memory_rows(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT * REPLACE (CASE WHEN event_type = 'error' AND sequence % 3 = 0 THEN content || ' wrote review/x and completion-report.json' ELSE content END AS content) FROM unified_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY source_file_id) = 1),
+    r"""WITH e AS (SELECT * REPLACE (CASE WHEN event_type = 'error' AND sequence % 3 = 0 THEN content || ' wrote review/x and completion-report.json' ELSE content END AS content) FROM unified_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY source_file_id) = 1),
     m AS (SELECT DISTINCT source_agent, session_id FROM e WHERE contains(content, 'review/') AND regexp_matches(content, 'session_kb\.py|audit/events\.jsonl|completion-report\.json|review/review\.json|review-init|validate-review'))
     SELECT source_agent, count(*) AS kept, count(DISTINCT session_id) AS sessions FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.source_agent = e.source_agent AND m.session_id = e.session_id) GROUP BY 1"""
 )
