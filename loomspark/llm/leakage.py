@@ -99,7 +99,11 @@ def transposed_times(passages: list[np.ndarray], idf: np.ndarray, matrix: np.nda
     """The transposed TF-IDF matrix times ``matrix`` (passages by k)."""
     rows, cols, values = tfidf_rows(passages, idf)
     out = np.zeros((len(idf), matrix.shape[1]))
-    np.add.at(out, cols, matrix[rows] * values[:, None])
+    if len(cols):
+        order = np.argsort(cols, kind="stable")
+        rows, cols, values = rows[order], cols[order], values[order]
+        firsts = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]]))
+        out[cols[firsts]] = np.add.reduceat(matrix[rows] * values[:, None], firsts, axis=0)
     return out
 
 
@@ -203,6 +207,19 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return row.bit_count()
 
 
+def lcs_lengths(targets: np.ndarray, lengths: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """``lcs_length`` of many pairs at once: rows of word ids, the targets' first ``lengths`` (at most 64) count; what equals no word of the other side may pad."""
+    one = np.uint64(1)
+    bits = one << np.arange(targets.shape[1], dtype=np.uint64)
+    full = np.where(lengths < 64, (one << lengths.astype(np.uint64)) - one, ~np.uint64(0))
+    row = np.zeros(len(targets), dtype=np.uint64)
+    for k in range(passages.shape[1]):
+        places = np.where(targets == passages[:, k, None], bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        x = row | places
+        row = x & (x ^ (x - ((row << one) | one))) & full
+    return np.bitwise_count(row).astype(np.int64)
+
+
 class Targets:
     """The items' passages as a matrix of word ids, to tell for many pairs at once which can pass the checks of a paraphrase."""
 
@@ -220,7 +237,7 @@ class Targets:
         self.length = np.array([len(t) for t in self.words])
         self.answers = self.rare.sum(axis=1)
 
-    def possible(self, wide: list[np.ndarray], near: np.ndarray, least: np.ndarray, answers: float) -> Iterator[tuple[int, int]]:
+    def possible(self, wide: list[np.ndarray], near: np.ndarray, least: np.ndarray, answers: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs (passage, target) of ``near`` with ``least`` words of the target in common, in any order, and a share ``answers`` of its rare words."""
         held = np.zeros((len(wide), self.absent + 1), dtype=bool)
         for i, passage in enumerate(wide):
@@ -232,7 +249,16 @@ class Targets:
             fits = common.sum(axis=1) >= least[p]
             i, p, common = i[fits], p[fits], common[fits]
             fits = (common & self.rare[p]).sum(axis=1) >= answers * self.answers[p]
-            yield from zip(i[fits].tolist(), p[fits].tolist(), strict=True)
+            yield i[fits], p[fits]
+
+    def shares(self, wide: list[np.ndarray], i: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The longest common subsequence of each pair as a share of the target."""
+        passages = np.full((len(wide), max(map(len, wide), default=1)), -1, dtype=np.int32)
+        for k, passage in enumerate(wide):
+            passages[k, : len(passage)] = passage
+        parts = [slice(at, at + (1 << 14)) for at in range(0, len(i), 1 << 14)]
+        common = [lcs_lengths(self.matrix[p[at]], self.length[p[at]], passages[i[at]]) for at in parts]
+        return np.concatenate(common) / self.length[p] if common else np.zeros(0)
 
 
 def _search(items_bc, basis_bc, exact: bool, least_cosine: float, lcs_share: float):
@@ -249,18 +275,16 @@ def _search(items_bc, basis_bc, exact: bool, least_cosine: float, lcs_share: flo
             for at in range(0, len(codes), step):
                 near = unit(times(codes[at : at + step], items.idf, basis)).astype(np.float32) @ latent.T >= least_cosine
                 part, of, runs = wide[at : at + step], -1, set()
-                for i, p in targets.possible(part, near, least, 0.0 if exact else 0.5):
-                    if exact:
+                for found, aims in targets.possible(part, near, least, 0.0 if exact else 0.5):
+                    shares = np.zeros(len(found)) if exact else targets.shares(part, found, aims)
+                    for n, (i, p) in enumerate(zip(found.tolist(), aims.tolist(), strict=True)) if exact else ():
                         if i != of:  # pairs come passage by passage
                             of, runs = i, runs_of(part[i])
-                        share = 0.0 if runs.isdisjoint(targets.runs[p]) else 1.0
-                    else:
-                        common = lcs_length(targets.words[p], part[i].tolist())
-                        share = common / len(targets.words[p]) if common >= least[p] else 0.0
-                    if share:
-                        docs.append(ids[at + i])
-                        hits.append(int(items.owner[p]))
-                        scores.append(share)
+                        shares[n] = not runs.isdisjoint(targets.runs[p])
+                    kept = shares > 0 if exact else shares * targets.length[aims] >= least[aims] - 1e-9
+                    docs += [ids[at + i] for i in found[kept].tolist()]
+                    hits += items.owner[aims[kept]].tolist()
+                    scores += shares[kept].tolist()
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(hits, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return run

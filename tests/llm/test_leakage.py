@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomspark.llm import leakage
@@ -20,6 +21,10 @@ def test_lcs():
     for _ in range(200):
         a, b = ([rng.randrange(6) for _ in range(rng.randrange(30))] for _ in range(2))
         assert lcs_length(a, b) == lcs(a, b)
+    pairs = [([rng.randrange(6) for _ in range(rng.randrange(1, 25))], [rng.randrange(-1, 6) for _ in range(rng.randrange(49))]) for _ in range(300)]
+    pad = lambda rows, n, by: np.array([r + [by] * (n - len(r)) for r in rows], dtype=np.int32)
+    many = leakage.lcs_lengths(pad([a for a, _ in pairs], 24, 99), np.array([len(a) for a, _ in pairs]), pad([b for _, b in pairs], 48, -1))
+    assert many.tolist() == [lcs(a, b) for a, b in pairs]
 
 
 def brute(docs, items):
@@ -108,8 +113,6 @@ def test_retrieval_decides(spark):
 
 
 def test_shared_runs():
-    import numpy as np
-
     runs = lambda *words: leakage.runs_of(np.array(words, dtype=np.int32))
     a = list(range(20))
     assert runs(*a) & runs(*[99] * 5, *a[3:15]) and not runs(*a) & runs(*a[3:14], 99, *a[14:]) and runs() == set() == runs(*[-1] * 12) == runs(*a[:5], -1, *a[5:11])
