@@ -145,7 +145,9 @@ def _cut(items_bc, least: int | None = None):
 
 def _passages(batch: pa.RecordBatch, left: int, codes: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The passages of a batch, without their margins and with them."""
-    wide = [np.asarray(p, dtype=np.int32) for p in batch.column(codes).to_pylist()]
+    lists = batch.column(codes)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    wide = [flat[begin:end] for begin, end in zip([0, *ends], ends, strict=False)]
     return [p[k : k + WIDTH] for p, k in zip(wide, batch.column(left).to_pylist(), strict=True)], wide
 
 
