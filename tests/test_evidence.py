@@ -164,6 +164,34 @@ def test_retrieval(spark):
     assert [r.ids for r in cu.fill(rows, ["k"], "n", 1, 95).collect()] == [["u1"]] and cu.fill(rows.limit(0), ["k"], "n", 3, 95).count() == 0
 
 
+def test_scores_without_pairs_shuffled(spark, monkeypatch):
+    from loomspark.operators import postings
+
+    rng = random.Random(7)
+    words = ["ledger", "merge", "led", "plan", "ger merge", "zebra", "note"]
+    docs = [(f"d{i}", f"{i % 5}.md", rng.choice([None, "", " ".join(rng.choices(words, k=2))]), rng.choice([None, ["note"], ["big ledger", "note", "Ledger"]]), rng.choice([None, rng.choices(words, k=4)])) for i in range(60)]
+    tasks = [(f"t{i}", rng.choice([None, "please", "Ledger", " ".join(rng.choices(words, k=2))])) for i in range(30)]
+    want = {}
+    for t, task in tasks:
+        terms = [w for w in dict.fromkeys(tk.tokenize(task)) if w not in tk.GENERIC_TOKENS]
+        for d, _, title, aliases, known in docs if terms else ():
+            low, others = (title or "").lower(), [a.lower() for a in aliases or []]
+            inside = lambda x, low=low, others=others: (x in low, any(x in a for a in others))
+            score = sum(4 * (x in (known or [])) + 3 * inside(x)[0] + 4 * inside(x)[1] for x in terms) + 20 * inside(task.lower())[0] + 24 * inside(task.lower())[1]
+            if score:
+                want[t, d] = score
+    tables = spark.createDataFrame(tasks, "task_id string, task string"), spark.createDataFrame(docs, "doc_key string, path string, title string, aliases array<string>, keywords array<string>")
+    pairs = retrieval.scores(*tables)
+    assert "keys=[task_id" not in pairs._jdf.queryExecution().executedPlan().toString()  # pairs are not shuffled to be added up
+    assert {(r.task_id, r.doc_key): r.score for r in pairs.collect()} == want and pairs.count() == len(want)
+    monkeypatch.setattr(retrieval, "TASKS_AT_ONCE", 9)  # several blocks
+    monkeypatch.setattr(postings, "AT_ONCE", 50)
+    assert {(r.task_id, r.doc_key): r.score for r in retrieval.scores(*tables).collect()} == want
+    kept = {d: (title or "", path, d) for d, path, title, _, _ in docs}
+    first = {(t, d) for t, _ in tasks for d in sorted((d for x, d in want if x == t and want[t, d] >= 7), key=lambda d: (-want[t, d], kept[d]))[:3]}
+    assert {(r.task_id, r.doc_key): r.score for r in retrieval.best(*tables, 7, 3).collect()} == {k: want[k] for k in first}
+
+
 DOCS = "doc_key string, position int, path string, type string, project_key string, title string, aliases array<string>, keywords array<string>"
 
 
