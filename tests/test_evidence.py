@@ -218,6 +218,13 @@ def test_search(spark):
             search.profile(**wrong)
 
 
+def test_search_lists_no_pairs(spark, monkeypatch):
+    docs, edges = knowledge(spark)
+    monkeypatch.setattr(retrieval, "scores", None)  # a search ranks without it
+    found = search.search(spark.createDataFrame([("t1", "ledger"), ("t2", "Ledger"), ("t3", "zebra")], "task_id string, task string"), docs, edges, max_projects=1, max_related=0)
+    assert sorted((r.task_id, r.place, r.path, r.score) for r in found.collect()) == [(t, n, p, s) for t in ("t1", "t2") for n, p, s in ((1, "00.md", None), (2, "a.md", 55))]
+
+
 def test_units(spark):
     docs, _ = knowledge(spark)
     rows = [("d1", 1, "u1", "s", "the ledger grows", "observed", ["e1"], [], []), ("d1", 2, "u2", "s", "a zebra and another zebra", "confirmed", ["e1"], ["u9"], ["u1"]), ("d1", 3, "u3", "s", "z" * 400, "observed", ["e2"], [], []), ("d2", 1, "u4", "s", " ", "odd", [], [""], None), ("d2", 2, "u4", "s", "x", "stale", ["e"], None, None)]
