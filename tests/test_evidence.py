@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -7,6 +8,8 @@ from loomspark.functions import text as fx
 from loomspark.functions import tokens as tk
 from loomspark.operators import context_units as cu
 from loomspark.operators import evidence, lifecycle, ranges, retrieval, review, search
+from loomspark.plans import evidence_queries
+from tests.oracle import SF
 
 
 def test_tokens():
@@ -267,3 +270,10 @@ def test_release_scan(spark):
     rows = spark.createDataFrame([(1, "fine\r\npassword = hunter22\nx Secret Project y\n-----BEGIN RSA PRIVATE KEY-----"), (2, None), (3, "")], "i int, t string")
     out = sorted(map(tuple, release.scan(rows, "i", F.col("t"), denied=["secret project"]).collect()))
     assert (1, 3, "DENIED_1") in out and (1, 4, "PRIVATE_KEY") in out and {(i, n) for i, n, _ in out} == {(1, 2), (1, 3), (1, 4)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_suite_cleans_tasks_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "scores", None)  # and lists no pairs
+    plan = evidence_queries.QUERIES["r_z02_suite"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ArrowEvalPython" not in plan
